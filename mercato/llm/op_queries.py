@@ -7,6 +7,33 @@ from pyspark.sql import functions as F
 from . import common
 
 
+def op1_minhash_near_dedup(spark, sf_dir):
+    from .minhash import near_duplicates
+
+    return near_duplicates(common.documents(spark, sf_dir), percent=85)
+
+
+def op2_suffix_array_dedup(spark, sf_dir):
+    from .suffix_dedup import deduplicate
+
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    return deduplicate(docs).select(
+        "doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256")
+    )
+
+
+def op6_quality_weak_supervision(spark, sf_dir):
+    from .quality import judge
+
+    return judge(common.documents(spark, sf_dir))
+
+
+def op10_language_mixture(spark, sf_dir):
+    from .language import identify
+
+    return identify(common.documents(spark, sf_dir))
+
+
 def op9_best_fit_packing(spark, sf_dir):
     from .packing import pack_documents
 
@@ -14,5 +41,5 @@ def op9_best_fit_packing(spark, sf_dir):
     return out.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", F.col("offset").cast("long").alias("offset"))
 
 
-QUERIES = {f.__name__: f for f in (op9_best_fit_packing,)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_suffix_array_dedup, op6_quality_weak_supervision, op9_best_fit_packing, op10_language_mixture)}
 ORACLES: dict[str, str] = {}
