@@ -9,29 +9,39 @@ worker keeps the ids of those it has met, in a bounded table.
 from __future__ import annotations
 
 import re
-from itertools import islice
+from itertools import chain
 
 import numpy as np
 
 _GLUED = re.compile(r" (?=\s|\Z)")
-_LONG = 256
+_LONG = 64
+_MARKS = frozenset(".,;:!?")
 
 
 def _space_start(piece: str) -> bool:
     return not piece or piece[0].isspace()
 
 
+class _Known(dict):
+    """Ids of pieces that come again, with those of this batch only (``once``) behind them."""
+
+    once: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.once[piece]
+
+
 class ChunkEncoder:
-    """``encode_bytes(text)``: the ids as little-endian unsigned 32-bit integers."""
+    """``encode_many(texts)``: each text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.most, self.known = most, {}
+        self.most, self.known = most, _Known()
 
     def chunks(self, text: str) -> list[str]:
         first, *rest = text.split(" ")
@@ -45,33 +55,47 @@ class ChunkEncoder:
                 out.append(" " + p)
         return out if out[0] else out[1:]
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        new = list({c for c in chunks if c not in self.known})
-        if len(self.known) + len(new) > self.most:
-            self.known = {}
-            new = list(set(chunks))
-        fresh = {}
-        it = iter(new)
-        while part := list(islice(it, 4096)):
-            for c, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                fresh[c] = np.asarray(e.ids, "<u4").tobytes()
-        for c, ids in fresh.items():
-            if len(c) <= _LONG:
-                self.known[c] = ids
-        return fresh
-
-    def encode_bytes(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if any(s in text for s in self.specials):
-            return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        chunks = self.chunks(text)
-        try:
-            return b"".join(map(self.known.__getitem__, chunks))
-        except KeyError:
-            fresh = self._learn(chunks)
-            known = self.known
-            return b"".join([known[c] if c in known else fresh[c] for c in chunks])
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        out = []
+        for a in range(0, len(chunks), 4096):
+            found = self.library.encode_batch_fast(chunks[a : a + 4096], add_special_tokens=False)
+            lists = [e.ids for e in found]
+            flat = np.fromiter(chain.from_iterable(lists), "<u4").tobytes()
+            at = 0
+            for x in lists:
+                out.append(flat[at : (at := at + 4 * len(x))])
+        return out
+
+    def learn(self, chunks: set[str]) -> None:
+        """Make the ids of all these pieces known. A letter run's ids do not depend on a mark behind it."""
+        known = self.known
+        known.once = {}
+        missing = chunks.difference(known)
+        if not missing:
+            return
+        if len(known) + len(missing) > self.most:
+            stay = {c: known[c] for c in chunks.intersection(known)}
+            known.clear()
+            known.update(stay)
+        marked = [c for c in missing if c[-1] in _MARKS and c[:-1].lstrip(" ").isalpha() and c.count(" ") < 2]
+        stems = {c[:-1] for c in marked} | {c[-1] for c in marked}
+        often = stems.intersection(known)
+        new = list(missing.difference(marked).union(stems.difference(often)))
+        for c, i in zip(new, self._ids(new)):
+            (known if len(c) <= _LONG else known.once)[c] = i
+        for c in marked:
+            stem = c[:-1]
+            (known if stem in often else known.once)[c] = known[stem] + known[c[-1]]
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        special = [bool(t) and any(s in t for s in self.specials) for t in texts]
+        split = [self.chunks(t) if t and not s else [] for t, s in zip(texts, special)]
+        self.learn(set(chain.from_iterable(split)))
+        of = self.known.__getitem__
+        out = [b"".join(map(of, c)) for c in split]
+        for i in np.flatnonzero(special):
+            out[i] = np.asarray(self.library.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -82,3 +106,11 @@ def encoder(path: str) -> ChunkEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
     return _ENCODERS[path]
+
+
+def slices(batches, rows: int = 1024):
+    """Ids and texts of the first two columns, some rows at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            part = batch.slice(a, rows)
+            yield part.column(0).to_pylist(), part.column(1).to_pylist()

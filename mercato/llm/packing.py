@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .chunked_tokens import encoder
+from .chunked_tokens import encoder, slices
 
 PIECE = np.dtype([("doc_id", "<i8"), ("has_id", "<i4"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
 _BINS = "bin_id long, fill int, closed boolean, members binary"
@@ -71,10 +71,10 @@ def _first_round(path: str, end_id: int | None, capacity: int, slack: int):
         enc = encoder(path)
         end = b"" if end_id is None else np.uint32(end_id).tobytes()
         parts: list[np.ndarray] = []
-        for batch in batches:
+        for doc_ids, texts in slices(batches):
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = enc.encode_bytes(text) + end
+            for doc_id, ids in zip(doc_ids, enc.encode_many(texts)):
+                ids += end
                 n = len(ids) // 4
                 if not n:
                     continue

@@ -57,12 +57,14 @@ class Rule:
 
 RULES = (
     Rule("length", lambda m: m["n_words"], 20, 60),
-    Rule("repeats", lambda m: _share(m["n_repeat_words"], m["n_words"]), 0.20, 0.05, 8),
+    Rule("repeats", lambda m: _share(m["n_repeat_words"], m["n_words"]), 0.30, 0.10, 8),
     Rule("symbols", lambda m: _share(m["n_symbols"], m["word_chars"]), 0.08, 0.01, 1),
-    Rule("copied_lines", lambda m: _share(m["n_dup_lines"], m["n_lines"]), 0.30, 0.05, 1),
-    Rule("letters", lambda m: _share(m["n_letters"], m["word_bytes"]), 0.65, 0.85, 1),
+    Rule("copied_lines", lambda m: _share(m["n_dup_lines"], m["n_lines"]), 0.50, 0.10, 1),
+    Rule("marked_words", lambda m: _share(m["n_symbol_words"], m["n_words"]), 0.25, 0.03, 1),
+    Rule("letters", lambda m: _share(m["n_letters"], m["word_bytes"]), 0.75, 0.85, 1),
     Rule("capitals", lambda m: _share(m["n_upper"], m["n_letters"]), 0.40, 0.15, 1),
-    Rule("variety", lambda m: _share(m["n_distinct"], np.minimum(m["n_words"], 2000)), 0.12, 0.25, 50),
+    Rule("variety", lambda m: _share(m["n_distinct"], np.minimum(m["n_words"], 2000)), 0.18, 0.30, 30),
+    Rule("stutter", lambda m: _share(m["n_echoes"], m["n_words"]), 0.30, 0.05, 1),
     Rule("exclaimed", lambda m: _share(m["n_marks"], m["n_words"]), 0.25, 0.05, 1),
 )
 _POWERS = 3 ** np.arange(len(RULES))
@@ -77,6 +79,7 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     doc = np.repeat(np.arange(n), counts)
     per_doc = lambda x: np.bincount(doc, weights=x, minlength=n).astype(np.int64)
     out = {"n_words": counts, "word_chars": per_doc(pc.utf8_length(flat).to_numpy(zero_copy_only=False)), "word_bytes": per_doc(pc.binary_length(flat).to_numpy(zero_copy_only=False))}
+    out["n_symbol_words"] = per_doc(pc.match_substring_regex(flat, "[#*$%&|<>]").to_numpy(zero_copy_only=False))
     h = common.word_hashes(flat)
     salt = common.mix64(np.arange(1, n + 1, dtype=np.uint64))[doc]
     own = np.sort(common.mix64(h ^ salt))
@@ -85,6 +88,9 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     fresh = np.ones(len(h), bool)
     fresh[order[1:]] = own[1:] != own[:-1]
     out["n_distinct"] = per_doc(fresh)
+    echo = np.zeros(len(h), bool)
+    echo[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
+    out["n_echoes"] = per_doc(echo)
     m = max(0, len(h) - _WINDOW + 1)
     full = np.zeros(m, np.uint64)
     for j in range(_WINDOW):
@@ -169,9 +175,11 @@ def fit_table(rows: DataFrame) -> dict:
     return fit({r["pattern"]: r["n"] for r in rows.groupBy("pattern").agg(F.count("*").alias("n")).collect()})
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.1) -> DataFrame:
     """A row per document: its counts, base_failed, quality (posterior of being good) and kept.
 
+    A document goes if it fails the base test or is bad with probability over ``1 - least``.
+
     A null text counts as empty: no words, so it fails the base test. Repeated rows count as often as they
     come and get equal results. An empty table gives no rows. Other columns are not read.
     """
@@ -183,7 +191,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", least: float = 0.1) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns. The texts are read twice: to fit and to filter."""
     numbered = docs.select(F.lit(0).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     good = fit_table(measured(numbered))["good"]
