@@ -9,6 +9,7 @@ worker keeps the ids of those it has met, in a bounded table.
 from __future__ import annotations
 
 import re
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -22,19 +23,48 @@ def _space_start(piece: str) -> bool:
     return not piece or piece[0].isspace()
 
 
+def cut(text: str) -> list[str]:
+    """The pieces of a text, cut before every space that something other than white space follows."""
+    first, *rest = text.split(" ")
+    if not _GLUED.search(text):
+        return [first, *(" " + p for p in rest)] if first else [" " + p for p in rest]
+    out = [first]
+    for p in rest:
+        if _space_start(p):
+            out[-1] += " " + p
+        else:
+            out.append(" " + p)
+    return out if out[0] else out[1:]
+
+
 class _Known(dict):
     """Ids of pieces that come again, with those of this batch only (``once``) behind them."""
 
     once: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> bytes:
-        return self.once[piece]
+    def __missing__(self, key: str) -> bytes:
+        return self.once[key]
+
+
+def keys(text: str) -> list[str]:
+    """The pieces of ``cut`` as keys: without their space if that is their only one, else behind a NUL."""
+    if "\0" in text or _GLUED.search(text):
+        return ["\0" + p for p in cut(text)]
+    parts = text.split(" ")
+    if parts[0]:
+        parts[0] = "\0" + parts[0]
+        return parts
+    return parts[1:]
+
+
+def _literal(key: str) -> str:
+    return key[1:] if key[0] == "\0" else " " + key
 
 
 class ChunkEncoder:
     """``encode_many(texts)``: each text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -43,58 +73,40 @@ class ChunkEncoder:
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.most, self.known = most, _Known()
 
-    def chunks(self, text: str) -> list[str]:
-        first, *rest = text.split(" ")
-        if not _GLUED.search(text):
-            return [first, *(" " + p for p in rest)] if first else [" " + p for p in rest]
-        out = [first]
-        for p in rest:
-            if _space_start(p):
-                out[-1] += " " + p
-            else:
-                out.append(" " + p)
-        return out if out[0] else out[1:]
-
-    def _ids(self, chunks: list[str]) -> list[bytes]:
+    def _ids(self, texts: list[str]) -> list[bytes]:
         out = []
-        for a in range(0, len(chunks), 4096):
-            found = self.library.encode_batch_fast(chunks[a : a + 4096], add_special_tokens=False)
-            lists = [e.ids for e in found]
-            flat = np.fromiter(chain.from_iterable(lists), "<u4").tobytes()
-            at = 0
-            for x in lists:
-                out.append(flat[at : (at := at + 4 * len(x))])
+        for a in range(0, len(texts), 8192):
+            out += [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts[a : a + 8192], add_special_tokens=False)]
         return out
 
-    def learn(self, chunks: set[str]) -> None:
-        """Make the ids of all these pieces known. A letter run's ids do not depend on a mark behind it."""
+    def learn(self, wanted: set[str]) -> None:
+        """Make the ids of all these keys known. A letter run's ids do not depend on a mark behind it."""
         known = self.known
         known.once = {}
-        missing = chunks.difference(known)
+        missing = wanted.difference(known)
         if not missing:
             return
         if len(known) + len(missing) > self.most:
-            stay = {c: known[c] for c in chunks.intersection(known)}
+            stay = {k: known[k] for k in wanted.intersection(known)}
             known.clear()
             known.update(stay)
-        marked = [c for c in missing if c[-1] in _MARKS and c[:-1].lstrip(" ").isalpha() and c.count(" ") < 2]
-        stems = {c[:-1] for c in marked} | {c[-1] for c in marked}
+        marked = [k for k in missing if k[-1] in _MARKS and k[:-1].lstrip("\0").isalpha()]
+        stems = {k[:-1] for k in marked} | {"\0" + k[-1] for k in marked}
         often = stems.intersection(known)
         new = list(missing.difference(marked).union(stems.difference(often)))
-        for c, i in zip(new, self._ids(new)):
-            (known if len(c) <= _LONG else known.once)[c] = i
-        for c in marked:
-            stem = c[:-1]
-            (known if stem in often else known.once)[c] = known[stem] + known[c[-1]]
+        for k, i in zip(new, self._ids([_literal(k) for k in new])):
+            (known if len(k) <= _LONG else known.once)[k] = i
+        for k in marked:
+            (known if k[:-1] in often else known.once)[k] = known[k[:-1]] + known["\0" + k[-1]]
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         special = [bool(t) and any(s in t for s in self.specials) for t in texts]
-        split = [self.chunks(t) if t and not s else [] for t, s in zip(texts, special)]
+        split = [keys(t) if t and not s else [] for t, s in zip(texts, special)]
         self.learn(set(chain.from_iterable(split)))
         of = self.known.__getitem__
-        out = [b"".join(map(of, c)) for c in split]
+        out = [b"".join(map(of, k)) for k in split]
         for i in np.flatnonzero(special):
-            out[i] = np.asarray(self.library.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+            out[i] = array("I", self.library.encode(texts[i], add_special_tokens=False).ids).tobytes()
         return out
 
 

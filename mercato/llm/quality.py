@@ -61,7 +61,7 @@ RULES = (
     Rule("symbols", lambda m: _share(m["n_symbols"], m["word_chars"]), 0.08, 0.01, 1),
     Rule("copied_lines", lambda m: _share(m["n_dup_lines"], m["n_lines"]), 0.50, 0.10, 1),
     Rule("marked_words", lambda m: _share(m["n_symbol_words"], m["n_words"]), 0.25, 0.03, 1),
-    Rule("letters", lambda m: _share(m["n_letters"], m["word_bytes"]), 0.75, 0.85, 1),
+    Rule("letters", lambda m: _share(m["n_letters"], m["word_bytes"]), 0.75, 0.85, 40),
     Rule("capitals", lambda m: _share(m["n_upper"], m["n_letters"]), 0.40, 0.15, 1),
     Rule("variety", lambda m: _share(m["n_distinct"], np.minimum(m["n_words"], 2000)), 0.18, 0.30, 30),
     Rule("stutter", lambda m: _share(m["n_echoes"], m["n_words"]), 0.30, 0.05, 1),
@@ -139,7 +139,9 @@ def _measured(batches):
 def fit(counts: dict[int, int], rounds: int = 200, prior: float = 0.1, strength: float = 0.02) -> dict:
     """Accuracies of the rules and the posterior of being good for each pattern.
 
-    Beta priors worth ``strength`` of all documents keep "bad" the class that the rules' bad votes mean, also where a
+    A rule knows some kinds of bad text only, so its good vote is weak evidence (``sens`` stays at most 0.5) and its bad
+    vote is precise (``spec`` at least 0.97); without these bounds the largest kind of bad text would become the bad class
+    alone. Beta priors worth ``strength`` of all documents keep "bad" the class that the rules' bad votes mean, also where a
     rule never votes. Without documents the priors are returned.
     """
     codes = np.array(sorted(counts), np.int64)
@@ -148,7 +150,7 @@ def fit(counts: dict[int, int], rounds: int = 200, prior: float = 0.1, strength:
     is_bad, is_good = (votes == BAD).astype(float), (votes == GOOD).astype(float)
     total = n.sum()
     weight = max(1.0, strength * total)
-    sens, spec, rate = np.full(len(RULES), 0.6), np.full(len(RULES), 0.95), prior
+    sens, spec, rate = np.full(len(RULES), 0.4), np.full(len(RULES), 0.98), prior
     bad = np.zeros(len(codes))
     for _ in range(rounds):
         lb = np.log(rate) + is_bad @ np.log(sens) + is_good @ np.log1p(-sens)
@@ -156,8 +158,8 @@ def fit(counts: dict[int, int], rounds: int = 200, prior: float = 0.1, strength:
         new = 1 / (1 + np.exp(np.clip(lg - lb, -700, 700)))
         done, bad = np.abs(new - bad).max(initial=0) < 1e-9, new
         wb, wg = n * bad, n * (1 - bad)
-        sens = np.clip((wb @ is_bad + 0.6 * weight) / (wb @ (is_bad + is_good) + weight), 0.05, 0.999)
-        spec = np.clip((wg @ is_good + 0.95 * weight) / (wg @ (is_bad + is_good) + weight), 0.5, 0.9999)
+        sens = np.clip((wb @ is_bad + 0.4 * weight) / (wb @ (is_bad + is_good) + weight), 0.05, 0.5)
+        spec = np.clip((wg @ is_good + 0.98 * weight) / (wg @ (is_bad + is_good) + weight), 0.97, 0.9999)
         rate = float(np.clip((wb.sum() + prior * weight) / (total + weight), 1e-4, 0.5))
         if done:
             break
@@ -175,10 +177,10 @@ def fit_table(rows: DataFrame) -> dict:
     return fit({r["pattern"]: r["n"] for r in rows.groupBy("pattern").agg(F.count("*").alias("n")).collect()})
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.1) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """A row per document: its counts, base_failed, quality (posterior of being good) and kept.
 
-    A document goes if it fails the base test or is bad with probability over ``1 - least``.
+    A document goes if it fails the base test or its posterior is under ``least``.
 
     A null text counts as empty: no words, so it fails the base test. Repeated rows count as often as they
     come and get equal results. An empty table gives no rows. Other columns are not read.
@@ -191,7 +193,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", least: float = 0.1) -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns. The texts are read twice: to fit and to filter."""
     numbered = docs.select(F.lit(0).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     good = fit_table(measured(numbered))["good"]
