@@ -51,6 +51,13 @@ def op7_one_permutation_fingerprints(spark, sf_dir):
     return fingerprint_edits(common.documents(spark, sf_dir))
 
 
+def op4_context_mixing_ids(spark, sf_dir):
+    from .id_files import read_ids, write_ids
+
+    back = read_ids(spark, write_ids(common.documents(spark, sf_dir)))
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op6_quality_weak_supervision(spark, sf_dir):
     from .quality import judge
 
@@ -77,5 +84,5 @@ def op9_best_fit_packing(spark, sf_dir):
     return out.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", F.col("offset").cast("long").alias("offset"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_suffix_array_dedup, op3_hypergeometric_sharding, op5_chat_state_machine, op6_quality_weak_supervision, op7_one_permutation_fingerprints, op8_transducer_bpe, op9_best_fit_packing, op10_language_mixture)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_suffix_array_dedup, op3_hypergeometric_sharding, op4_context_mixing_ids, op5_chat_state_machine, op6_quality_weak_supervision, op7_one_permutation_fingerprints, op8_transducer_bpe, op9_best_fit_packing, op10_language_mixture)}
 ORACLES: dict[str, str] = {}
