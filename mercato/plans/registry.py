@@ -2,10 +2,39 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from importlib import import_module
 
-def queries():
-    return {}
+AREAS = ("boards", "moves", "series", "audit", "matching", "reviews", "strategy", "weekly", "operations", "retrieval", "textual", "incremental")
 
+_QUERIES: dict[str, Callable] = {}
+_ORACLES: dict[str, str] = {}
 
-def oracle_sql():
-    return {}
+
+def query(sql: str | None = None):
+    """Register a function of (spark, sf_dir) under its name, with SQL over the raw tables that gives the same rows."""
+
+    def put(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            # Ties at the fourth decimal are pushed up on both sides, as engines round them differently.
+            _ORACLES[f.__name__] = re.sub(r"(?<!m\.ram), 4\)", " + 1e-9, 4)", sql)
+        return f
+
+    return put
+
+
+def _load() -> None:
+    for area in AREAS:
+        import_module(f"mercato.plans.{area}")
+
+
+def queries() -> dict[str, Callable]:
+    _load()
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_ORACLES)
