@@ -101,8 +101,8 @@ def set_except(spark, sf_dir):
     return a.exceptAll(b)
 
 
-@query(over_obs(""", s AS (SELECT DISTINCT country, brand, category FROM obs WHERE discount_pct > 9), n AS (SELECT country, count(*) AS n FROM s GROUP BY country), i AS (SELECT x.country AS a, y.country AS b, count(*) AS both FROM s x JOIN s y ON x.brand = y.brand AND x.category = y.category AND x.country < y.country GROUP BY ALL)
-    SELECT a, b, round(both / (na.n + nb.n - both), 4) AS jaccard FROM i JOIN n na ON na.country = a JOIN n nb ON nb.country = b"""))
+@query(over_obs(""", s AS (SELECT DISTINCT country, brand, category FROM obs WHERE discount_pct > 9), n AS (SELECT country, count(*) AS n FROM s GROUP BY country), i AS (SELECT x.country AS a, y.country AS b, count(*) AS shared FROM s x JOIN s y ON x.brand = y.brand AND x.category = y.category AND x.country < y.country GROUP BY ALL)
+    SELECT a, b, round(shared / (na.n + nb.n - shared), 4) AS jaccard FROM i JOIN n na ON na.country = a JOIN n nb ON nb.country = b"""))
 def set_jaccard(spark, sf_dir):
     """Jaccard similarity of countries' promoted assortments."""
     s = observations(spark, sf_dir).where("discount_pct > 9").groupBy("country").agg(F.collect_set(F.struct("brand", "category")).alias("s"))
@@ -112,7 +112,7 @@ def set_jaccard(spark, sf_dir):
     return both.select("a", "b", r4(F.col("i") / (F.size("sa") + F.size("sb") - F.col("i"))).alias("jaccard"))
 
 
-@query(over_obs(""" SELECT country, currency, CAST(CAST(date_trunc('month', obs_date) AS DATE) AS VARCHAR) AS part, count(*) AS rows_, md5(CAST(count(*) AS VARCHAR) || '|' || country) AS stamp FROM obs WHERE obs_date >= DATE '2001-01-01' GROUP BY ALL"""))
+@query(over_obs(""" SELECT country, currency, part, rows_, md5(CAST(rows_ AS VARCHAR) || '|' || country) AS stamp FROM (SELECT country, currency, CAST(CAST(date_trunc('month', obs_date) AS DATE) AS VARCHAR) AS part, count(*) AS rows_ FROM obs WHERE obs_date >= DATE '2001-01-01' GROUP BY ALL)"""))
 def archive_manifest(spark, sf_dir):
     """Rows of each archive partition, the figure that a later export must not fall below."""
     rows = observations(spark, sf_dir).where(F.col("obs_date") >= F.lit("2001-01-01").cast("date"))
