@@ -79,6 +79,13 @@ def _sets(words: int):
     return run
 
 
+def _exploded(batches):
+    for batch in batches:
+        sets, ids = batch.column("hashes").to_pylist(), batch.column("doc_id").to_numpy()
+        sizes = np.array([len(x) // 8 for x in sets], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(sets), np.int64)), pa.array(np.repeat(ids, sizes))], names=["h", "doc_id"])
+
+
 def _verdicts(percent: int):
     def run(batches):
         for batch in batches:
@@ -116,13 +123,26 @@ def near_duplicates(
     first = some.groupBy("set_hi", "set_lo").agg(F.min(F.struct("doc_id", "left_keys", "right_keys")).alias("x"))
     reps = common.table(first.select("set_hi", "set_lo", F.col("x.doc_id").alias("rep"), "x.left_keys", "x.right_keys"), "reps")
     rows_ = reps.select("rep", F.posexplode("left_keys").alias("i", "a"), "right_keys").select("rep", "i", "a", F.posexplode("right_keys").alias("j", "b"))
-    keyed = rows_.select(F.xxhash64("i", "a", "j", "b").alias("key"), "rep")
+    keyed = rows_.select(F.xxhash64("i", "a", "j", "b").alias("key"), "i", "j", "rep")
     w = Window.partitionBy("key")
-    shared = keyed.select("key", "rep", F.min("rep").over(w).alias("hub"), F.max("rep").over(w).alias("top")).where("hub <> top").drop("top")
+    shared = keyed.select("key", "i", "j", "rep", F.min("rep").over(w).alias("hub"), F.max("rep").over(w).alias("top")).where("hub <> top").drop("top")
     buckets = common.table(shared, "buckets")
     wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
     sets = common.table(narrow.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, hashes binary"), "sets")
 
+    # A shingle that no other candidate has is in no intersection: ``own`` of them bound what a document can share.
+    once = sets.mapInArrow(_exploded, "h long, doc_id long").groupBy("h").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).where("rep = top")
+    own = once.groupBy("rep").agg(F.count("*").alias("own"))
+    sized = sets.select(F.col("doc_id").alias("rep"), (F.octet_length("hashes") / 8).cast("long").alias("n")).distinct()
+    sized = sized.join(own, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("may")).where(100 * F.col("may") >= percent * F.col("n"))
+    able = common.table(buckets.select("key", "i", "j", "rep").join(sized, "rep"), "able")
+    hubs = able.groupBy("key").agg(F.min(F.struct((-F.col("may") / F.col("n")).alias("rank"), "rep", "n", "may")).alias("h"), F.count("*").alias("k")).where("k > 1")
+    members = common.table(able.join(hubs, "key").select("key", "i", "j", "rep", "n", "may", F.col("h.rep").alias("hub"), "h.rank", F.col("h.n").alias("hn"), F.col("h.may").alias("hmay")), "members")
+
+    def could(n, may, hn, hmay):
+        both = F.least(F.col(may), F.col(hmay))
+        return 100 * both >= percent * (F.col(n) + F.col(hn) - both)
+
     def verify(pairs: DataFrame) -> DataFrame:
         x, y = sets.select(F.col("doc_id").alias("u"), F.col("hashes").alias("hx")), sets.select(F.col("doc_id").alias("v"), F.col("hashes").alias("hy"))
         both = pairs.join(x, "u").join(y, "v").select("u", "v", "hx", "hy")
@@ -132,22 +152,28 @@ def near_duplicates(
         c = found.select(F.col("node").alias(col), F.col("component").alias("_c"))
         return df.join(c, col, "left").withColumn(out, F.coalesce("_c", F.col(col))).drop("_c")
 
-    # 1. Each member against the smallest member it shares a bucket with.
-    tested = verify(buckets.where("rep <> hub").groupBy("rep").agg(F.min("hub").alias("v")).select(F.col("rep").alias("u"), "v"))
+    # 1. Each member against the most central hub of its buckets, the one with the least share of shingles of its own.
+    spokes = members.where("rep <> hub").where(could("n", "may", "hn", "hmay"))
+    tested = verify(spokes.groupBy("rep").agg(F.min(F.struct("rank", "hub")).alias("h")).select(F.col("rep").alias("u"), F.col("h.hub").alias("v")))
     found = components(tested.where("linked"))
-    # 2. Members against the smallest member of every bucket, where not yet in one component.
-    hubs = buckets.where("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
-    open_ = with_component(with_component(hubs, "u", "cu"), "v", "cv").where("cu <> cv").select("u", "v").join(tested.select("u", "v"), ["u", "v"], "left_anti")
-    more = verify(open_)
+    # 2. Members against the hub of every bucket, where not yet in one component.
+    open_ = with_component(with_component(spokes.select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct(), "u", "cu"), "v", "cv")
+    more = verify(open_.where("cu <> cv").select("u", "v").join(tested.select("u", "v"), ["u", "v"], "left_anti"))
     tested = tested.unionByName(more)
     found = components(_edges(found).unionByName(more.where("linked").select("u", "v")))
-    # 3. All pairs of a bucket whose members are in different components still.
-    marked = common.table(with_component(buckets.select("key", "rep"), "rep", "c"), "marked")
-    sizes = marked.groupBy("key", "c").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
-    rest = marked.join(mixed, "key").where("c <> main").select("key", F.col("rep").alias("x"), F.col("c").alias("cx"))
-    cross = rest.join(marked, "key").where("c <> cx").select(F.greatest("x", "rep").alias("u"), F.least("x", "rep").alias("v")).distinct()
-    more = verify(cross.join(tested.select("u", "v"), ["u", "v"], "left_anti"))
+    # 3. Members of a bucket that are in different components still and could share enough.
+    # A pair that shares many tables is emitted at the first only: the first equal half-key on either side.
+    marked = common.table(with_component(members.select("key", "i", "j", "rep", "n", "may"), "rep", "c"), "marked")
+    sizes = marked.groupBy("key", "c").agg(F.count("*").alias("k"))
+    mixed = sizes.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
+    halves = reps.select("rep", "left_keys", "right_keys")
+    both_sides = common.table(marked.join(mixed, "key").join(halves, "rep"), "mixed")
+    rest = both_sides.where("c <> main").select("key", F.col("rep").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("may").alias("mx"), F.col("left_keys").alias("lx"), F.col("right_keys").alias("rx"))
+    first = lambda p, q: F.array_position(F.zip_with(p, q, lambda a, b: a == b), F.lit(True)) - 1
+    fits = (F.col("c") != F.col("cx")) & ((F.col("c") == F.col("main")) | (F.col("x") > F.col("rep"))) & could("n", "may", "nx", "mx") & (first("left_keys", "lx") == F.col("i")) & (first("right_keys", "rx") == F.col("j"))
+    cross = rest.withColumnRenamed("key", "key_x").join(both_sides, (F.col("key_x") == F.col("key")) & fits).select(F.greatest("x", "rep").alias("u"), F.least("x", "rep").alias("v")).distinct()
+    done = tested.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    more = verify(cross.join(done, ["u", "v"], "left_anti"))
     found = components(_edges(found).unionByName(more.where("linked").select("u", "v")))
 
     named = with_component(reps.select("set_hi", "set_lo", "rep"), "rep", "component_id")
