@@ -8,10 +8,11 @@ it does not have are split by the vocabulary's pattern and merged by rank.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 import tempfile
+import uuid
+from array import array
 from collections import Counter
 from itertools import chain
 from pathlib import Path
@@ -34,6 +35,10 @@ def byte_symbols() -> dict[str, int]:
     return out | {chr(256 + i): b for i, b in enumerate(extra)}
 
 
+_NEVER = 1 << 30
+_MARKS = frozenset(".,;:!?")
+
+
 class Merger:
     """The vocabulary: exact ids of any piece, and bytes of any id."""
 
@@ -52,9 +57,32 @@ class Merger:
         for r, m in enumerate(spec["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             self.rank[vocab[a], vocab[b]] = (r, vocab[a + b])
+        self.order = {p: r for p, (r, _) in self.rank.items()}
+        self.made = {r: new for r, new in self.rank.values()}
         self.words = regex.compile(pattern).findall
 
     def merge(self, word: bytes) -> list[int]:
+        """Ids of one split. Merges only make pairs of later rank, so one merge at a time from the left is exact."""
+        if len(word) > 256:
+            return self._merge_long(word)
+        single, get, made = self.single, self.order.get, self.made
+        ids = [single[b] for b in word]
+        ranks = [get(p, _NEVER) for p in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == _NEVER:
+                break
+            i = ranks.index(best)
+            ids[i : i + 2] = [made[best]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), _NEVER)
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), _NEVER)
+        return ids
+
+    def _merge_long(self, word: bytes) -> list[int]:
+        """All places of the best pair in one pass: few passes also over a very long split."""
         ids = [self.single[b] for b in word]
         rank = self.rank
         while len(ids) > 1:
@@ -73,7 +101,8 @@ class Merger:
         return ids
 
     def piece(self, text: str) -> bytes:
-        return np.array([i for w in self.words(text) for i in self.merge(w.encode())], "<u4").tobytes()
+        words = [text] if text.removeprefix(" ").isalpha() else self.words(text)
+        return array("I", [i for w in words for i in self.merge(w.encode())]).tobytes()
 
 
 class _State:
@@ -193,7 +222,7 @@ class Lexicon:
 
 
 class LexiconEncoder:
-    def __init__(self, lexicon: Lexicon, merger: Merger, most: int = 600_000):
+    def __init__(self, lexicon: Lexicon, merger: Merger, most: int = 1_000_000):
         self.lexicon, self.merger, self.most, self.merged = lexicon, merger, most, {}
         self.ids = np.ascontiguousarray(lexicon.ids).astype("<u4").tobytes()
         self.starts = (np.asarray(lexicon.starts) * 4).tolist()
@@ -201,7 +230,9 @@ class LexiconEncoder:
     def encode_many(self, texts: list[str]) -> list[bytes]:
         special = self.merger.special
         split = [cut(t) if not any(s in t for s in special) else None for t in texts]
-        pieces = list(set(chain.from_iterable(c for c in split if c)))
+        wanted = set(chain.from_iterable(c for c in split if c))
+        marked = [p for p in wanted if p[-1] in _MARKS and p[:-1].removeprefix(" ").isalpha()]  # the mark is a split of its own
+        pieces = list(wanted.difference(marked).union(p[:-1] for p in marked).union(p[-1] for p in marked))
         ids, starts, merged, table = self.ids, self.starts, self.merged, {}
         if len(merged) > self.most:
             merged.clear()
@@ -214,6 +245,8 @@ class LexiconEncoder:
                 table[p] = x = self.merger.piece(p)
                 if len(p) <= 64:
                     merged[p] = x
+        for p in marked:
+            table[p] = table[p[:-1]] + table[p[-1]]
         of = table.__getitem__
         return [self._special(t) if c is None else b"".join(map(of, c)) for t, c in zip(texts, split)]
 
@@ -282,7 +315,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     path, pattern = tokenizer or common.tokenizer_path(), pattern or public_tokenizers.PATTERN
     merger = Merger(path, pattern)
     words = sorted(p.encode() for p in frequent_pieces(docs, text_col, most_pieces) if not any(s in p for s in merger.special))
-    name = "lexicon-" + hashlib.sha256(b"\0".join(words)).hexdigest()[:16] + ".npy"
+    name = f"lexicon-{uuid.uuid4().hex}.npy"
     local = Path(tempfile.mkdtemp(prefix="mercato-lexicon-")) / name
     Lexicon.write(str(local), words, [merger.piece(w.decode()) for w in words])
     spark.sparkContext.addFile(str(local))  # the driver serves it; every executor gets a copy of its own to map
