@@ -15,6 +15,7 @@ chunks, and a slice settles them across chunks.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -108,7 +109,7 @@ def _find_anchors(length: int):
     return run
 
 
-_CONTEXTS = "ah long, k int, doc_id long, start int, context binary"
+_CONTEXTS = "ah long, k int, doc_id long, start int, off int, context binary"
 
 
 def _cut_contexts(length: int):
@@ -119,37 +120,58 @@ def _cut_contexts(length: int):
                 raw = text.encode()
                 for w in wanted:
                     a = max(0, w["pos"] - (length - GRAM))
-                    rows.append((w["ah"], w["k"], doc_id, a, raw[a : w["pos"] + length]))
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
-            cols = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5, types)]
-            yield pa.RecordBatch.from_arrays(cols, names=["ah", "k", "doc_id", "start", "context"])
+                    rows.append((w["ah"], w["k"], doc_id, a, w["pos"] - a, raw[a : w["pos"] + length]))
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            cols = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 6, types)]
+            yield pa.RecordBatch.from_arrays(cols, names=["ah", "k", "doc_id", "start", "off", "context"])
 
     return run
 
 
-def repeats(contexts: list[tuple[int, int, bytes]], length: int) -> list[tuple[int, int]]:
-    """(document, start) of each ``length``-byte string in the contexts that also starts earlier in them."""
-    total = sum(len(c[2]) + 1 for c in contexts)
-    symbols = [0] * total
-    text, origin, at = bytearray(), [], 0
-    for k, (_, _, c) in enumerate(contexts):
-        text += c + b"\0"
-        symbols[at : at + len(c)] = [b + 1 for b in c]
-        origin += [(k, j) for j in range(len(c) - length + 1)] + [None] * (min(len(c), length - 1) + 1)
-        at += len(c) + 1
-    text = bytes(text)
+def _longest_shared(parts: list[bytes]) -> list[int]:
+    """How long a prefix of each part some other part has."""
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    best = [0] * len(parts)
+    for i, j in zip(order, order[1:]):
+        n = len(os.path.commonprefix([parts[i], parts[j]]))
+        best[i] = max(best[i], n)
+        best[j] = n
+    return best
+
+
+def repeats(contexts: list[tuple[int, int, int, bytes]], length: int) -> list[tuple[int, int]]:
+    """(document, start) of each ``length``-byte string around one anchor that also starts earlier around it.
+
+    A context is (document, start, the anchor's place in it, bytes). The anchor is one symbol of the suffix array's text, and
+    what no other context shares to the left or right of it is left out.
+    """
+    left = _longest_shared([c[:off][::-1] for _, _, off, c in contexts])
+    right = _longest_shared([c[off + GRAM :] for _, _, off, c in contexts])
+    symbols, origin, texts = [], [], []
+    for k, ((_, _, off, c), a, b) in enumerate(zip(contexts, left, right)):
+        texts.append(c[off - a : off + GRAM + b])
+        m = a + GRAM + b - length + 1
+        if m < 1:
+            continue
+        symbols += [x + 1 for x in c[off - a : off]]
+        symbols.append(257)
+        symbols += [x + 1 for x in c[off + GRAM : off + GRAM + b]]
+        symbols.append(0)
+        origin += [(k, j) for j in range(m)]
+        origin += [None] * (a + b + 2 - m)
     late, run, key = [], [], None
 
     def settle():
         if len(run) > 1:
-            places = sorted({(contexts[k][0], contexts[k][1] + j) for k, j in run})
+            places = sorted({(contexts[k][0], contexts[k][1] + contexts[k][2] - left[k] + j) for k, j in run})
             late.extend(places[1:])
 
     for s in suffix_array(symbols):
         o = origin[s]
         if o is None:
             continue
-        this = text[s : s + length]
+        k, j = o
+        this = left[k] - j, texts[k][j : j + length]
         if this != key:
             settle()
             run, key = [], this
@@ -190,8 +212,8 @@ def _settle_groups(length: int):
 
     def run(batches):
         out = []
-        for _, rows in groupby(_rows(batches, ("ah", "doc_id", "start", "context")), key=lambda r: r[0]):
-            contexts = sorted({(d, s, c) for _, d, s, c in rows})
+        for _, rows in groupby(_rows(batches, ("ah", "doc_id", "start", "off", "context")), key=lambda r: r[0]):
+            contexts = sorted({r[1:] for r in rows})
             if len(contexts) > 1:
                 out.extend(_spans(repeats(contexts, length), length))
             if len(out) > 5000:
@@ -221,6 +243,8 @@ def _strings(contexts: list[tuple[int, int, bytes]], length: int) -> np.ndarray:
 
 def _late(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The strings with the earliest place of each value, and the others."""
+    if not len(x):  # a slice may get no string
+        return x, x
     x = np.unique(x)  # by h, g, document, start
     again = np.concatenate([[False], (x["h"][1:] == x["h"][:-1]) & (x["g"][1:] == x["g"][:-1])])
     return x[~again], x[again]
@@ -276,7 +300,7 @@ def covered(docs: DataFrame, length: int = 100, most_contexts: int = 512) -> Dat
     wanted = rows.where("ah is not null").groupBy("doc_id").agg(F.collect_list(F.struct("ah", "k", "pos")).alias("wanted"))
     cut = some.join(wanted, "doc_id").mapInArrow(_cut_contexts(length), _CONTEXTS)
     cut = common.table(cut, "contexts")
-    usual = cut.where(F.col("k") <= most_contexts).select("ah", "doc_id", "start", "context")
+    usual = cut.where(F.col("k") <= most_contexts).select("ah", "doc_id", "start", "off", "context")
     usual = usual.repartition(F.col("ah")).sortWithinPartitions("ah").mapInArrow(_settle_groups(length), _COVER)
     crowd = cut.where(F.col("k") > most_contexts)
     crowd = crowd.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "start"), F.ceil(F.col("k") / most_contexts)))
