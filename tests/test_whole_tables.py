@@ -38,3 +38,16 @@ def test_archive_manifest_counts_every_partition(spark, tables):
     got = registry.queries()["archive_manifest"](spark, star(tables, [(1, "red widget", "Brand#1", "A", 1, 1.0)], lines)).collect()
     want = Counter((*COUNTRIES[s], d.strftime("%Y-%m-01")) for _, s, d, _ in lines)
     assert {(r.country, r.currency, r.part): r.rows_ for r in got} == want and len(got) == len(want)
+
+
+def test_model_key_join_links_products_of_every_size(spark, tables):
+    names = ["Nova red ring", "Luma red ring", "Nova Red-Ring", "Luma blue box", "Nova x", None]
+    parts = [(i, names[i % 6], "Brand#1" if i % 5 < 2 else f"Brand#{i % 5}", "A", 1 + 7 * i % 50, 1.0) for i in range(60)]
+
+    def keys(name):
+        words = (name or "").lower().split()
+        return {k for k in ("".join(c for c in "".join(w) if c.isalnum()) for w in (words, words[1:])) if len(k) >= 3}
+
+    got = registry.queries()["model_key_join"](spark, tables("part", parts, PART)).collect()
+    want = {(a[0], b[0]): min(keys(a[1]) & keys(b[1])) for a in parts for b in parts if a[2] == "Brand#1" != b[2] and keys(a[1]) & keys(b[1])}
+    assert {(r.mine, r.rival): r.key for r in got} == want and len(got) == len(want)
