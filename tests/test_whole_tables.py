@@ -51,3 +51,11 @@ def test_model_key_join_links_products_of_every_size(spark, tables):
     got = registry.queries()["model_key_join"](spark, tables("part", parts, PART)).collect()
     want = {(a[0], b[0]): min(keys(a[1]) & keys(b[1])) for a in parts for b in parts if a[2] == "Brand#1" != b[2] and keys(a[1]) & keys(b[1])}
     assert {(r.mine, r.rival): r.key for r in got} == want and len(got) == len(want)
+
+
+def test_brand_category_coverage_counts_every_product_and_shows_zeros(spark, tables):
+    parts = [(i, "red ring", f"Brand#{i % 4}", "ABC"[i // 4 % 2 if i % 4 else 2], 1 + i % 50, 1.0) for i in range(100)]
+    got = registry.queries()["brand_category_coverage"](spark, tables("part", parts, PART)).collect()
+    n = Counter((b, c) for _, _, b, c, _, _ in parts)
+    want = {(b, c): n[b, c] for b in {k[0] for k in n} for c in {k[1] for k in n}}
+    assert 0 in want.values() and {(r.brand, r.category): r.products for r in got} == want and len(got) == len(want)
