@@ -29,7 +29,7 @@ def star(put, parts, lines):
     put("region", [(k, r) for k, (_, r) in COUNTRIES.items()], "r_regionkey int, r_name string")
     put("supplier", [(k, k) for k in COUNTRIES], "s_suppkey long, s_nationkey int")
     put("part", parts, PART)
-    return put("lineitem", [(p, s, 1, 1.0, price, 0.0, 0.0, "N", "O", day) for p, s, day, price in lines], LINE)
+    return put("lineitem", [(p, s, 1, 2.0, 2 * price, 0.0, 0.0, "N", "O", day) for p, s, day, price in lines], LINE)
 
 
 def test_archive_manifest_counts_every_partition(spark, tables):
@@ -59,3 +59,12 @@ def test_brand_category_coverage_counts_every_product_and_shows_zeros(spark, tab
     n = Counter((b, c) for _, _, b, c, _, _ in parts)
     want = {(b, c): n[b, c] for b in {k[0] for k in n} for c in {k[1] for k in n}}
     assert 0 in want.values() and {(r.brand, r.category): r.products for r in got} == want and len(got) == len(want)
+
+
+def test_alert_scan_watches_every_product(spark, tables):
+    parts = [(i, "red ring", "Brand#1", "A", i, 1.0) for i in range(1, 7)]
+    prices = [100.0, 104.0, 104 * 1.06, 104 * 1.06 * 1.12, 104 * 1.06 * 1.12 * 1.9]  # moves of 4, 6, 12 and 90 percent
+    lines = [(p[0], 1, datetime(2000, 1, 1 + d), v) for p in parts for d, v in enumerate(prices)]
+    got = registry.queries()["alert_scan"](spark, star(tables, parts, lines)).collect()
+    want = {(i, c) for i in range(1, 7) for c in (4, 6, 12) if c >= (3, 5, 10)[i % 3]}
+    assert {(r.product_id, round(r.change_pct)) for r in got} == want and len(got) == len(want)
