@@ -54,8 +54,8 @@ def launch_board(spark, sf_dir):
 @query("""WITH h AS (SELECT user_id AS channel_id, count(*) AS attempts, count(CASE WHEN event_type = 'error' THEN 1 END) AS failed, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS ok, max(CAST(ts AS DATE)) AS last_day FROM events WHERE CAST(ts AS DATE) > CAST('2024-01-23' AS DATE) GROUP BY ALL)
     SELECT channel_id, attempts, failed, ok, CASE WHEN attempts < 5 THEN 'thin' WHEN failed >= 0.5 * attempts THEN 'pause' WHEN failed >= 0.25 * attempts THEN 'slow_down' WHEN ok = 0 THEN 'check' ELSE 'keep' END AS verdict FROM h""")
 def channel_health(spark, sf_dir):
-    """A week's outcomes by channel, without the fan-out of joining raw history, and the first verdict that applies."""
-    rows = read(spark, sf_dir, "events").where(F.to_date("ts") > F.lit("2024-01-23").cast("date"))
+    """The last week's outcomes by channel, without the fan-out of joining raw history, and the first verdict that applies."""
+    rows = flt.recent(read(spark, sf_dir, "events").withColumn("day", F.to_date("ts")), 7, "day")
     n, bad, ok = F.count("*"), F.count(F.when(F.col("event_type") == "error", 1)), F.count(F.when(F.col("event_type") == "purchase", 1))
     verdict = F.when(n < 5, "thin").when(bad >= 0.5 * n, "pause").when(bad >= 0.25 * n, "slow_down").when(ok == 0, "check").otherwise("keep")
     return rows.groupBy(F.col("user_id").alias("channel_id")).agg(n.alias("attempts"), bad.alias("failed"), ok.alias("ok"), verdict.alias("verdict"))

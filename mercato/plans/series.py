@@ -26,8 +26,10 @@ def member_days(spark, sf_dir):
 
 
 def carried(spark, sf_dir):
+    """Every member on every day from the first to the last of the events, with its last price so far."""
     d = member_days(spark, sf_dir)
-    ends = d.agg(F.to_date(F.lit("2024-01-01")).alias("start"), F.to_date(F.lit("2024-01-30")).alias("end"))
+    day = F.to_date("ts")
+    ends = read(spark, sf_dir, "events").agg(F.min(day).alias("start"), F.max(day).alias("end"))
     axis = spine(d.select("user_id").distinct().crossJoin(F.broadcast(ends)), ["user_id"])
     rows = axis.join(d, ["user_id", "day"], "left")
     last, filled = carry_forward("v", ["user_id"])

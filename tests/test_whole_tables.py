@@ -1,7 +1,7 @@
 """Queries over small tables whose every row must count, held against plain Python."""
 
 from collections import Counter
-from datetime import datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 
@@ -68,3 +68,32 @@ def test_alert_scan_watches_every_product(spark, tables):
     got = registry.queries()["alert_scan"](spark, star(tables, parts, lines)).collect()
     want = {(i, c) for i in range(1, 7) for c in (4, 6, 12) if c >= (3, 5, 10)[i % 3]}
     assert {(r.product_id, round(r.change_pct)) for r in got} == want and len(got) == len(want)
+
+
+EVENT = "event_id long, ts timestamp, user_id long, event_type string, value double"
+
+
+def test_series_follow_the_days_of_the_events(spark, tables):
+    days = [(1, date(2023, 12, 20), 10.0), (2, date(2023, 12, 30), 7.0), (1, date(2024, 2, 10), 20.0), (2, date(2024, 1, 15), 14.0)]
+    at = lambda d: datetime(d.year, d.month, d.day, 12)
+    sf_dir = tables("events", [(i, at(d), u, "view", v) for i, (u, d, v) in enumerate(days)] + [(9, at(date(2024, 2, 12)), 1, "error", 1.0), (10, None, 1, "error", 1.0)], EVENT)
+    want, first = {}, {}
+    for u in (1, 2):
+        price = None
+        for k in range((date(2024, 2, 12) - date(2023, 12, 20)).days + 1):
+            d = date(2023, 12, 20) + timedelta(k)
+            new = [v for w, e, v in days if (w, e) == (u, d)]
+            price = new[0] if new else price
+            first.setdefault(u, price) if price else None
+            want[u, d] = (price, price is not None and not new)
+    q = registry.queries()
+    assert {(r.user_id, r.day): (r.price, r.is_filled) for r in q["locf_series"](spark, sf_dir).collect()} == want
+    index = {(r.user_id, r.day): r.index_100 for r in q["index_series"](spark, sf_dir).collect()}
+    assert index == {(u, d): pytest.approx(100 * p / first[u]) for (u, d), (p, _) in want.items() if p}
+
+
+def test_channel_health_takes_the_last_week_of_the_events(spark, tables):
+    rows = [(i, datetime(2025, 3, 1 + i % 20, 23), i % 3, "error" if i % 4 else "purchase", 1.0) for i in range(120)]
+    got = registry.queries()["channel_health"](spark, tables("events", rows, EVENT)).collect()
+    week = [r for r in rows if r[1].date() > date(2025, 3, 13)]
+    assert {(r.channel_id, r.attempts, r.failed, r.ok) for r in got} == {(c, len(x), sum(e[3] == "error" for e in x), sum(e[3] == "purchase" for e in x)) for c in range(3) for x in [[e for e in week if e[2] == c]]}
