@@ -4,8 +4,8 @@ Rows are in ``P`` source partitions by a hash of their key. Shards are cut into
 no task ever sorts a whole shard; part sizes are fixed and shard sizes differ by one row at most. Row ``p`` of the matrix
 says how many rows of partition ``p`` go to each part. It is drawn exactly: a multivariate hypergeometric draw of the
 partition's size from the slots that are left. A partition is then permuted locally, dealt out along its matrix row, and
-each part is permuted again. There are about ``most_parts`` sources and parts at most, so the driver draws a
-bounded matrix; the drawn cells that are not
+each part is permuted again. There are ``least_sources`` sources at any size, so that one task never orders the whole table,
+and about ``most_parts`` sources and parts at most, so the driver draws a bounded matrix; the drawn cells that are not
 empty go out as a table (a marker for each), never as a broadcast.
 """
 
@@ -66,6 +66,7 @@ def communication_matrix(sources: list[int], parts: list[int], seed: int):
 
 def shuffle_into_shards(
     rows: DataFrame, shards: int = 8, key: str = "doc_id", seed: int = 20, part_rows: int = 250_000, most_parts: int = 1000, shard_col: str = "shard", slot_col: str = "slot",
+    least_sources: int = 8,
 ) -> DataFrame:
     """``rows`` with ``shard_col`` (0 to shards - 1) and ``slot_col`` (its place there, gapless from 0).
 
@@ -80,7 +81,7 @@ def shuffle_into_shards(
     every = F.xxhash64(F.lit(seed), *[F.col(c) for c in names])
     total = rows.count()
     part_rows = max(part_rows, total // most_parts)
-    sources = max(1, -(-total // part_rows))
+    sources = max(least_sources, -(-total // part_rows))
     base = rows.select(*names, every.alias("__order")).withColumn("__source", F.pmod(F.xxhash64(F.lit(~seed), F.col(key), "__order"), F.lit(sources)).cast("int"))
     counts = {r[0]: r[1] for r in base.groupBy("__source").count().collect()}
 
