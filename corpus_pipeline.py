@@ -39,11 +39,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 100 bytes and more that an earlier document has are cut out; a text cut to nothing is empty.
 
-    A cut within a character leaves the bytes of a part of it, which are dropped. n_chars is counted again.
+    A cut within a character leaves the bytes of a part of it, which are dropped; U+FFFD of the text itself stays. n_chars is counted again.
     """
-    text = F.try_validate_utf8(F.col("_kept").cast("string"))
-    text = F.coalesce(text, F.replace(F.make_valid_utf8(F.col("_kept").cast("string")), F.lit("�"), F.lit("")))
-    cut = deduplicate(docs).withColumn("_new", F.when(F.col("text").isNotNull() & (F.col("_n_removed") > 0), text).otherwise(F.col("text")))
+    cut = deduplicate(docs, decode=True)
     put = {"text": F.col("_new"), "n_chars": F.length("_new").cast(docs.schema["n_chars"].dataType)}
     return cut.select(*[put[c].alias(c) if c in put else c for c in docs.columns])
 

@@ -329,34 +329,38 @@ def remove(raw: bytes, runs: list[int]) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, spans
 
 
-def _removed(at_text: int, schema_names: list[str]):
+def _removed(at_text: int, schema_names: list[str], decode: bool):
     def run(batches):
         for batch in batches:
             texts, runs = batch.column(at_text).to_pylist(), batch.column("_runs").to_pylist()
             got = [remove((t or "").encode(), r or []) for t, r in zip(texts, runs)]
             cols = [batch.column(c) for c in schema_names]
             cols += [pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64()), pa.array([g[0] for g in got], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*schema_names, "_n_bytes", "_n_removed", "_n_spans", "_kept"])
+            if decode:
+                cols[-1] = pa.array([None if t is None else g[0].decode(errors="ignore") if g[1] else t for t, g in zip(texts, got)], pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names=[*schema_names, "_n_bytes", "_n_removed", "_n_spans", "_new" if decode else "_kept"])
 
     return run
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, decode: bool = False) -> DataFrame:
     """``docs`` with _n_bytes, _n_removed, _n_spans (maximal removed runs) and _kept (the bytes that stay).
 
     Texts are UTF-8 bytes, judged as they come in; matches never cross documents. Earlier means a smaller id, or in
-    one document a smaller start. Null texts are empty. A row with a null id is left as it is and covers nothing. Rows with
+    one document a smaller start. With ``decode``, _new takes the place of _kept: its text without bytes that are no
+    character any more, null for a null text. Null texts are empty. A row with a null id is left as it is and covers nothing. Rows with
     one id are one document: each keeps what it would keep alone. An empty table gives no rows. A column of ``docs``
-    with one of the four names, or ``_runs``, is replaced.
+    with one of the five names, or ``_runs``, is replaced.
     """
     common.ship(docs.sparkSession)
-    docs = docs.drop("_n_bytes", "_n_removed", "_n_spans", "_kept", "_runs")
+    docs = docs.drop("_n_bytes", "_n_removed", "_n_spans", "_kept", "_new", "_runs")
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     runs = covered(narrow, length).groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list(F.shiftleft(F.col("start").cast("long"), 20) + F.col("size")).alias("_runs"))
     both = docs.join(runs, F.col(id_col).cast("long") == F.col("_of"), "left").select(*docs.columns, "_runs")
     names = docs.columns
-    schema = docs.schema.add("_n_bytes", "long").add("_n_removed", "long").add("_n_spans", "long").add("_kept", "binary")
-    return both.mapInArrow(_removed(names.index(text_col), names), schema)
+    schema = docs.schema.add("_n_bytes", "long").add("_n_removed", "long").add("_n_spans", "long")
+    schema = schema.add("_new", "string") if decode else schema.add("_kept", "binary")
+    return both.mapInArrow(_removed(names.index(text_col), names, decode), schema)
 
 
 def sha256_hex(raw: bytes) -> str:
