@@ -16,7 +16,8 @@ from mercato.llm.packing import pack_documents
 from mercato.llm.quality import keep_good
 from mercato.llm.suffix_dedup import deduplicate
 
-#: EM and merged n-gram models, hashes and packing have no SQL form; tests hold the stages against brute force.
+#: EM and merged n-gram models, hashes and packing have no SQL form; tests hold near_dedup, suffix_dedup and the packing of ``run`` against
+#: brute force, the two stages before against the verdicts of their operators.
 ORACLE_SQL = None
 
 
