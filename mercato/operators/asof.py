@@ -22,7 +22,7 @@ def price_changes(daily: DataFrame, keys: list[str], lookback: int, noise_pct: f
     """
     w = Window.partitionBy(*keys).orderBy("obs_date")
     rows = daily.select("*", F.lag("price").over(w).alias("prev_price"), F.lag("obs_date").over(w).alias("prev_date"))
-    rows = rows.withColumn("days_span", F.datediff("obs_date", "prev_date")).withColumn("change_pct", (F.col("price") - F.col("prev_price")) / F.col("prev_price") * 100)
+    rows = rows.withColumn("days_span", F.datediff("obs_date", "prev_date")).withColumn("change_pct", F.try_divide(F.col("price") - F.col("prev_price"), F.col("prev_price")) * 100)
     return rows.where((F.col("days_span") <= lookback) & (F.col("prev_price") > 0) & (F.abs("change_pct") >= noise_pct)).withColumnRenamed("price", "curr_price")
 
 

@@ -45,7 +45,7 @@ def official_tier() -> Column:
 
 def self_consistent(tolerance: float = 1.0) -> Column:
     """A move's percentage agrees with its two prices."""
-    return F.abs(F.col("change_pct") - (F.col("curr_price") - F.col("prev_price")) / F.col("prev_price") * 100) <= tolerance
+    return F.abs(F.col("change_pct") - F.try_divide(F.col("curr_price") - F.col("prev_price"), F.col("prev_price")) * 100) <= tolerance
 
 
 def optional(**wanted) -> Column:

@@ -41,7 +41,7 @@ def category_floors(spark, sf_dir):
     return floors(observations(spark, sf_dir)).withColumn("mid", r4(F.col("mid")))
 
 
-VERDICT = "CASE WHEN mid IS NOT NULL AND sale_price < 0.25 * mid THEN 'rejected:floor' WHEN discount_pct > 9 AND seller_kind = 'third_party' THEN 'gray:discount' WHEN base IS NULL THEN 'gray:no_baseline' WHEN abs(sale_price / base - 1) <= 0.3 THEN 'accepted' ELSE 'gray:deviation' END"
+VERDICT = "CASE WHEN mid IS NOT NULL AND sale_price < 0.25 * mid THEN 'rejected:floor' WHEN discount_pct > 9 AND seller_kind = 'third_party' THEN 'gray:discount' WHEN base IS NULL THEN 'gray:no_baseline' WHEN abs(sale_price / nullif(base, 0) - 1) <= 0.3 THEN 'accepted' ELSE 'gray:deviation' END"
 
 
 def verdicts(spark, sf_dir):
@@ -53,7 +53,7 @@ def verdicts(spark, sf_dir):
         F.when(F.col("mid").isNotNull() & (F.col("sale_price") < 0.25 * F.col("mid")), "rejected:floor")
         .when((F.col("discount_pct") > 9) & (F.col("seller_kind") == "third_party"), "gray:discount")
         .when(F.col("base").isNull(), "gray:no_baseline")
-        .when(F.abs(F.col("sale_price") / F.col("base") - 1) <= 0.3, "accepted")
+        .when(F.abs(F.try_divide(F.col("sale_price"), F.col("base")) - 1) <= 0.3, "accepted")
         .otherwise("gray:deviation")
     )
     return rows.withColumn("verdict", ladder)
@@ -89,7 +89,7 @@ def audit_samples(spark, sf_dir, each=3):
 
 
 @query(over_obs(""", m AS (SELECT product_id, currency, median(sale_price) AS mid FROM obs GROUP BY ALL)
-    SELECT o.product_id, o.currency, count(*) AS n, round(quantile_cont(sale_price, 0.9) / quantile_cont(sale_price, 0.1), 4) AS spread, quantile_cont(sale_price, 0.9) / quantile_cont(sale_price, 0.1) > 3 AND count(*) >= 4 AS is_bucket
+    SELECT o.product_id, o.currency, count(*) AS n, round(quantile_cont(sale_price, 0.9) / nullif(quantile_cont(sale_price, 0.1), 0), 4) AS spread, quantile_cont(sale_price, 0.9) / nullif(quantile_cont(sale_price, 0.1), 0) > 3 AND count(*) >= 4 AS is_bucket
     FROM obs o JOIN m USING (product_id, currency) WHERE sale_price >= 0.2 * mid GROUP BY o.product_id, o.currency"""))
 def bucket_report(spark, sf_dir):
     """Products that look like several: P90 over P10 after dropping prices under a fifth of the median."""
@@ -97,7 +97,7 @@ def bucket_report(spark, sf_dir):
     mid = obs.groupBy("product_id", "currency").agg(F.median("sale_price").alias("mid"))
     rows = obs.join(mid, ["product_id", "currency"]).where("sale_price >= 0.2 * mid")
     q = rows.groupBy("product_id", "currency").agg(F.count("*").alias("n"), F.percentile("sale_price", [0.1, 0.9]).alias("q"))
-    spread = F.col("q")[1] / F.col("q")[0]
+    spread = F.try_divide(F.col("q")[1], F.col("q")[0])
     return q.select("product_id", "currency", "n", r4(spread).alias("spread"), ((spread > 3) & (F.col("n") >= 4)).alias("is_bucket"))
 
 

@@ -126,7 +126,7 @@ def country_category_summary(spark, sf_dir, days=365):
 @query(
     over_obs(""", daily AS (SELECT product_id, country, currency, obs_date, min(sale_price) AS lo, max(sale_price) AS hi, count(*) AS n FROM obs WHERE audit_status <> 'rejected' AND product_kind <> 'accessory' GROUP BY ALL)
     SELECT product_id, country, currency, count(*) AS days, sum(n) AS obs, round(arg_min(lo, obs_date), 4) AS first_price, round(arg_max(lo, obs_date), 4) AS last_price, round(min(lo), 4) AS lowest, round(max(hi), 4) AS highest,
-      CASE WHEN count(*) > 1 THEN round((arg_max(lo, obs_date) - arg_min(lo, obs_date)) / arg_min(lo, obs_date) * 100, 4) END AS change_pct
+      CASE WHEN count(*) > 1 THEN round((arg_max(lo, obs_date) - arg_min(lo, obs_date)) / nullif(arg_min(lo, obs_date), 0) * 100, 4) END AS change_pct
     FROM daily GROUP BY product_id, country, currency""")
 )
 def price_trend_lines(spark, sf_dir):
@@ -137,7 +137,7 @@ def price_trend_lines(spark, sf_dir):
     first, last = F.min_by("lo", "obs_date"), F.max_by("lo", "obs_date")
     return daily.groupBy("product_id", "country", "currency").agg(
         F.count("*").alias("days"), F.sum("n").alias("obs"), r4(first).alias("first_price"), r4(last).alias("last_price"), r4(F.min("lo")).alias("lowest"), r4(F.max("hi")).alias("highest"),
-        F.when(F.count("*") > 1, r4((last - first) / first * 100)).alias("change_pct"),
+        F.when(F.count("*") > 1, r4(F.try_divide(last - first, first) * 100)).alias("change_pct"),
     )
 
 

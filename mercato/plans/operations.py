@@ -28,7 +28,7 @@ def filter_options(spark, sf_dir):
     return g.select(kind.alias("kind"), F.coalesce("brand", "category", "country").alias("value"), "n")
 
 
-@query("SELECT b.p_brand AS brand, t.p_type AS category, count(p.p_partkey) AS products FROM (SELECT DISTINCT p_brand FROM part) b CROSS JOIN (SELECT DISTINCT p_type FROM part) t LEFT JOIN part p ON p.p_brand = b.p_brand AND p.p_type = t.p_type AND p.p_size <= 3 GROUP BY ALL")
+@query("SELECT b.p_brand AS brand, t.p_type AS category, count(p.p_partkey) AS products FROM (SELECT DISTINCT p_brand FROM part) b CROSS JOIN (SELECT DISTINCT p_type FROM part) t LEFT JOIN part p ON p.p_brand = b.p_brand AND p.p_type = t.p_type GROUP BY ALL")
 def brand_category_coverage(spark, sf_dir):
     """All products of each brand and category, zero rows included."""
     p = read(spark, sf_dir, "part")
@@ -51,7 +51,7 @@ def launch_board(spark, sf_dir):
     return f.groupBy("product_id", "brand").agg(F.count("*").alias("countries"), F.min("d").alias("global_launch"), F.datediff(F.max("d"), F.min("d")).alias("rollout_days"), (F.count("*") < 6).alias("pending")).where("countries >= 2")
 
 
-@query("""WITH h AS (SELECT user_id AS channel_id, count(*) AS attempts, count(CASE WHEN event_type = 'error' THEN 1 END) AS failed, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS ok, max(CAST(ts AS DATE)) AS last_day FROM events WHERE CAST(ts AS DATE) > CAST('2024-01-23' AS DATE) GROUP BY ALL)
+@query("""WITH h AS (SELECT user_id AS channel_id, count(*) AS attempts, count(CASE WHEN event_type = 'error' THEN 1 END) AS failed, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS ok, max(CAST(ts AS DATE)) AS last_day FROM events WHERE CAST(ts AS DATE) > (SELECT max(CAST(ts AS DATE)) FROM events) - INTERVAL 7 DAY GROUP BY ALL)
     SELECT channel_id, attempts, failed, ok, CASE WHEN attempts < 5 THEN 'thin' WHEN failed >= 0.5 * attempts THEN 'pause' WHEN failed >= 0.25 * attempts THEN 'slow_down' WHEN ok = 0 THEN 'check' ELSE 'keep' END AS verdict FROM h""")
 def channel_health(spark, sf_dir):
     """The last week's outcomes by channel, without the fan-out of joining raw history, and the first verdict that applies."""
@@ -112,7 +112,7 @@ def set_jaccard(spark, sf_dir):
     return both.select("a", "b", r4(F.col("i") / (F.size("sa") + F.size("sb") - F.col("i"))).alias("jaccard"))
 
 
-@query(over_obs(""" SELECT country, currency, part, rows_, md5(CAST(rows_ AS VARCHAR) || '|' || country) AS stamp FROM (SELECT country, currency, CAST(CAST(date_trunc('month', obs_date) AS DATE) AS VARCHAR) AS part, count(*) AS rows_ FROM obs WHERE obs_date >= DATE '2001-01-01' GROUP BY ALL)"""))
+@query(over_obs(""" SELECT country, currency, part, rows_, md5(CAST(rows_ AS VARCHAR) || '|' || country) AS stamp FROM (SELECT country, currency, CAST(CAST(date_trunc('month', obs_date) AS DATE) AS VARCHAR) AS part, count(*) AS rows_ FROM obs GROUP BY ALL)"""))
 def archive_manifest(spark, sf_dir):
     """Rows of each archive partition of the whole fact, the figure that a later export must not fall below."""
     g = observations(spark, sf_dir).groupBy("country", "currency", F.to_date(F.date_trunc("month", "obs_date")).cast("string").alias("part")).agg(F.count("*").alias("rows_"))

@@ -33,7 +33,7 @@ def bm25(spark, sf_dir):
     return bm25_scores(spark, sf_dir).select("doc_id", r4(F.col("score")).alias("score"))
 
 
-COS = """WITH q AS (SELECT embedding AS qe FROM embeddings WHERE vec_id = 0), c AS (SELECT vec_id, list_sum(list_transform(list_zip(embedding, qe), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) * list_sum(list_transform(qe, lambda x: CAST(x AS DOUBLE) * x))) AS sim FROM embeddings, q WHERE len(embedding) = len(qe))"""
+COS = """WITH q AS (SELECT embedding AS qe FROM embeddings WHERE vec_id = 0), c AS (SELECT vec_id, list_sum(list_transform(list_zip(embedding, qe), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))) / nullif(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) * list_sum(list_transform(qe, lambda x: CAST(x AS DOUBLE) * x))), 0) AS sim FROM embeddings, q WHERE len(embedding) = len(qe))"""
 
 
 def cosines(spark, sf_dir, query_id=0):
@@ -41,7 +41,7 @@ def cosines(spark, sf_dir, query_id=0):
     e = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
     q = F.broadcast(e.where(F.col("vec_id") == query_id).select(F.col("e").alias("q")))  # one vector
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return e.crossJoin(q).where(F.size("e") == F.size("q")).select("vec_id", (dot("e", "q") / F.sqrt(dot("e", "e") * dot("q", "q"))).alias("sim"))
+    return e.crossJoin(q).where(F.size("e") == F.size("q")).select("vec_id", F.try_divide(dot("e", "q"), F.sqrt(dot("e", "e") * dot("q", "q"))).alias("sim"))
 
 
 @query(COS + " SELECT vec_id, round(sim, 4) AS sim FROM c")

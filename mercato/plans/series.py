@@ -15,7 +15,7 @@ from .registry import query
 r4 = lambda c: F.round(c + 1e-9, 4)
 
 DAILY = """WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, min(value) AS v FROM events WHERE event_type IN ('purchase', 'view') GROUP BY ALL),
-    sp AS (SELECT user_id, unnest(generate_series(CAST('2024-01-01' AS TIMESTAMP), CAST('2024-01-30' AS TIMESTAMP), INTERVAL 1 DAY))::DATE AS day FROM (SELECT DISTINCT user_id FROM d)),
+    sp AS (SELECT user_id, unnest(generate_series((SELECT date_trunc('day', min(ts)) FROM events), (SELECT date_trunc('day', max(ts)) FROM events), INTERVAL 1 DAY))::DATE AS day FROM (SELECT DISTINCT user_id FROM d)),
     l AS (SELECT sp.user_id, sp.day, d.v, last_value(d.v IGNORE NULLS) OVER (PARTITION BY sp.user_id ORDER BY sp.day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled FROM sp LEFT JOIN d ON sp.user_id = d.user_id AND sp.day = d.day)"""
 
 
@@ -42,27 +42,27 @@ def locf_series(spark, sf_dir):
     return carried(spark, sf_dir).select("user_id", "day", r4(F.col("price")).alias("price"), "is_filled")
 
 
-@query(DAILY + ", f AS (SELECT *, first_value(filled IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS base FROM l) SELECT user_id, day, round(100 * filled / base, 4) AS index_100 FROM f WHERE filled IS NOT NULL")
+@query(DAILY + ", f AS (SELECT *, first_value(filled IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS base FROM l) SELECT user_id, day, round(100 * filled / nullif(base, 0), 4) AS index_100 FROM f WHERE filled IS NOT NULL")
 def index_series(spark, sf_dir):
     """Each line against its own first price = 100."""
     w = Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = carried(spark, sf_dir).withColumn("base", F.first("price", ignorenulls=True).over(w))
-    return rows.where("price is not null").select("user_id", "day", r4(100 * F.col("price") / F.col("base")).alias("index_100"))
+    return rows.where("price is not null").select("user_id", "day", r4(F.try_divide(100 * F.col("price"), F.col("base"))).alias("index_100"))
 
 
 PAIRS = """, g AS (SELECT user_id % 10 AS series, user_id, day, filled FROM l WHERE filled IS NOT NULL),
-    p AS (SELECT series, day, filled / lag(filled) OVER (PARTITION BY user_id ORDER BY day) AS ratio FROM g),
+    p AS (SELECT series, day, filled / nullif(lag(filled) OVER (PARTITION BY user_id ORDER BY day), 0) AS ratio FROM g),
     m AS (SELECT series, day, median(ratio) AS step, count(ratio) AS pairs FROM p GROUP BY series, day)"""
 
 
-@query(DAILY + PAIRS + " SELECT series, day, pairs, round(100 * exp(sum(coalesce(ln(CASE WHEN pairs >= 3 THEN step END), 0)) OVER (PARTITION BY series ORDER BY day)), 4) AS chain_index FROM m")
+@query(DAILY + PAIRS + " SELECT series, day, pairs, round(100 * exp(sum(coalesce(ln(CASE WHEN pairs >= 3 AND step > 0 THEN step END), 0)) OVER (PARTITION BY series ORDER BY day)), 4) AS chain_index FROM m")
 def product_chain_index(spark, sf_dir):
     """The chained matched-pair index on carried lines: the product of daily median ratios of members present on both days. Members that enter or leave do not move it."""
     g = carried(spark, sf_dir).where("price is not null").withColumn("series", F.col("user_id") % 10)
-    ratio = F.col("price") / F.lag("price").over(Window.partitionBy("user_id").orderBy("day"))
+    ratio = F.try_divide(F.col("price"), F.lag("price").over(Window.partitionBy("user_id").orderBy("day")))
     m = g.select("series", "day", ratio.alias("ratio")).groupBy("series", "day").agg(F.median("ratio").alias("step"), F.count("ratio").alias("pairs"))
     w = Window.partitionBy("series").orderBy("day")
-    step = F.coalesce(F.ln(F.when(F.col("pairs") >= 3, F.col("step"))), F.lit(0.0))
+    step = F.coalesce(F.ln(F.when((F.col("pairs") >= 3) & (F.col("step") > 0), F.col("step"))), F.lit(0.0))
     return m.select("series", "day", "pairs", r4(100 * F.exp(F.sum(step).over(w))).alias("chain_index"))
 
 

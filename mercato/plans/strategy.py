@@ -20,15 +20,15 @@ def tracks(spark, sf_dir):
     return d.groupBy("product_id", "country", "currency", "rom_gb").agg(F.count("*").alias("days"), F.min("obs_date").alias("first_day"), F.max("obs_date").alias("last_day"), F.min_by("p", "obs_date").alias("first_p"), F.max_by("p", "obs_date").alias("last_p"), F.max("ch").alias("ch"))
 
 
-@query(over_obs(TRACK + " SELECT product_id, country, currency, rom_gb, days, first_day, last_day, round(first_p, 4) AS first_price, round(last_p, 4) AS last_price, round((last_p / first_p - 1) * 100, 4) AS drift_pct, ch AS channels FROM t"))
+@query(over_obs(TRACK + " SELECT product_id, country, currency, rom_gb, days, first_day, last_day, round(first_p, 4) AS first_price, round(last_p, 4) AS last_price, round((last_p / nullif(first_p, 0) - 1) * 100, 4) AS drift_pct, ch AS channels FROM t"))
 def strategy_tracks(spark, sf_dir):
-    return tracks(spark, sf_dir).select("product_id", "country", "currency", "rom_gb", "days", "first_day", "last_day", r4(F.col("first_p")).alias("first_price"), r4(F.col("last_p")).alias("last_price"), r4((F.col("last_p") / F.col("first_p") - 1) * 100).alias("drift_pct"), F.col("ch").alias("channels"))
+    return tracks(spark, sf_dir).select("product_id", "country", "currency", "rom_gb", "days", "first_day", "last_day", r4(F.col("first_p")).alias("first_price"), r4(F.col("last_p")).alias("last_price"), r4((F.try_divide(F.col("last_p"), F.col("first_p")) - 1) * 100).alias("drift_pct"), F.col("ch").alias("channels"))
 
 
 _CAND = TRACK + """, c AS (SELECT *, CASE WHEN days = 1 AND first_day > (SELECT max(obs_date) FROM obs) - INTERVAL 120 DAY THEN 'launch' WHEN last_p < 0.8 * first_p THEN 'clearance' WHEN last_p < 0.95 * first_p THEN 'erosion' WHEN last_p > 1.05 * first_p THEN 'increase' ELSE 'hold' END AS kind FROM t)"""
 
 
-@query(over_obs(_CAND + " SELECT product_id, country, currency, rom_gb, kind, least(0.8, CASE WHEN days < 2 THEN 0.45 ELSE 1 END, CASE WHEN ch < 2 THEN 0.6 ELSE 1 END) AS confidence_cap FROM c"))
+@query(over_obs(_CAND + " SELECT product_id, country, currency, rom_gb, kind, CAST(least(0.8, CASE WHEN days < 2 THEN 0.45 ELSE 1 END, CASE WHEN ch < 2 THEN 0.6 ELSE 1 END) AS DOUBLE) AS confidence_cap FROM c"))
 def strategy_signals(spark, sf_dir):
     """Candidate kinds by an ordered ladder; confidence is capped by the least of the caps that apply."""
     t, obs = tracks(spark, sf_dir), observations(spark, sf_dir)

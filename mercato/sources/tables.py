@@ -53,7 +53,7 @@ def countries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price observations. Products and channels are joined as they come; their size decides how, at run time."""
     li, part, sup = (read(spark, sf_dir, t) for t in ("lineitem", "part", "supplier"))
-    price = F.col("l_extendedprice") / F.col("l_quantity")
+    price = F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))
     flag = F.create_map(*[F.lit(x) for x in ("N", "self_operated", "A", "brand_official", "R", "third_party")])
     size = F.col("p_size")
     return (
@@ -78,7 +78,7 @@ OBS_SQL = """
   SELECT CAST(l_shipdate AS DATE) AS obs_date, n_name AS country, r_name AS currency, l_suppkey AS channel_id, l_partkey AS product_id,
     p_brand AS brand, p_type AS category, p_name AS title,
     CASE WHEN p_size % 10 <> 0 THEN CAST(2 + 2 * (p_size % 5) AS INTEGER) END AS ram_gb, CAST(64 << (p_size % 4) AS INTEGER) AS rom_gb,
-    l_extendedprice / l_quantity AS list_price, l_extendedprice / l_quantity * (1 - l_discount) AS sale_price, 100 * l_discount AS discount_pct,
+    l_extendedprice / nullif(l_quantity, 0) AS list_price, l_extendedprice / nullif(l_quantity, 0) * (1 - l_discount) AS sale_price, 100 * l_discount AS discount_pct,
     CASE l_returnflag WHEN 'N' THEN 'self_operated' WHEN 'A' THEN 'brand_official' WHEN 'R' THEN 'third_party' END AS seller_kind,
     CASE WHEN l_linenumber = 7 THEN 'accessory' WHEN l_linenumber = 6 THEN 'unknown' ELSE 'device' END AS product_kind,
     CASE WHEN l_quantity >= 49 THEN 'refurb' ELSE 'new' END AS condition, CASE WHEN l_quantity = 1 THEN 1 ELSE 0 END AS is_bundle,
