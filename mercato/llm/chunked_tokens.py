@@ -13,10 +13,15 @@ from array import array
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from . import common
 
 _GLUED = re.compile(r" (?=\s|\Z)")
 _LONG = 64
-_MARKS = frozenset(".,;:!?")
+_MET = 1 << 22
+_MARKED = r"([\pL\pN])([.,;:!?*&%#$<>|()\-]+\n?|\n)"
 
 
 def _space_start(piece: str) -> bool:
@@ -37,92 +42,148 @@ def cut(text: str) -> list[str]:
     return out if out[0] else out[1:]
 
 
-class _Known(dict):
-    """Ids of pieces that come again, with those of this batch only (``once``) behind them."""
-
-    once: dict[str, bytes] = {}
-
-    def __missing__(self, key: str) -> bytes:
-        return self.once[key]
-
-
-def keys(text: str) -> list[str]:
-    """The pieces of ``cut`` as keys: without their space if that is their only one, else behind a NUL."""
-    if "\0" in text or _GLUED.search(text):
-        return ["\0" + p for p in cut(text)]
-    parts = text.split(" ")
-    if parts[0]:
-        parts[0] = "\0" + parts[0]
-        return parts
-    return parts[1:]
+def _literal(key: str) -> str:
+    """A key is a piece without its one space, or a whole piece behind a NUL."""
+    return key[1:] if key[:1] == "\0" else " " + key
 
 
-def _literal(key: str) -> str:
-    return key[1:] if key[0] == "\0" else " " + key
+def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` end to end."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
 
 
 class ChunkEncoder:
-    """``encode_many(texts)``: each text's ids as little-endian unsigned 32-bit integers."""
+    """``encode_many(texts)``: each text's ids as little-endian unsigned 32-bit integers.
+
+    At most ``most`` pieces stay known. A piece is kept when it comes a second time, so what occurs once takes no room; ``met`` is a
+    table of marks by hash, in which a false mark only keeps a piece early.
+    """
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.most, self.known = most, _Known()
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for a in range(0, len(texts), 8192):
-            out += [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts[a : a + 8192], add_special_tokens=False)]
+        vocab = self.library.get_vocab(with_added_tokens=True)
+        self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)  # a byte-level token has a character for each byte
+        for token, i in vocab.items():
+            self.bytes_of[i] = len(token)
+        self.most, self.known, self.met = most, {}, bytearray(_MET)
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece. Pieces that begin with a space and go on with something else are encoded many at a time, end to end."""
+        joint = [i for i, p in enumerate(pieces) if len(p) > 1 and p[0] == " " and not p[1].isspace()]
+        alone = set(range(len(pieces))).difference(joint)
+        out: list[bytes] = [b""] * len(pieces)
+        many = lambda texts: self.library.encode_batch_fast(texts, add_special_tokens=False)
+        for a in range(0, len(joint), 8192):
+            part = joint[a : a + 8192]
+            said = [pieces[i] for i in part]
+            flat = np.concatenate([np.array(e.ids, "<u4") for e in many(["".join(said[k : k + 256]) for k in range(0, len(said), 256)])])
+            ends = np.cumsum(np.fromiter((len(p) if p.isascii() else len(p.encode()) for p in said), np.int64, len(said)))
+            upto = (4 * (np.searchsorted(np.cumsum(self.bytes_of[flat]), ends) + 1)).tolist()
+            raw, at = flat.tobytes(), 0
+            for i, b in zip(part, upto):
+                out[i] = raw[at:b]
+                at = b
+        rest = sorted(alone)
+        for a in range(0, len(rest), 8192):
+            for i, e in zip(rest[a : a + 8192], many([pieces[i] for i in rest[a : a + 8192]])):
+                out[i] = array("I", e.ids).tobytes()
         return out
 
-    def learn(self, wanted: set[str]) -> None:
-        """Make the ids of all these keys known. A letter run's ids do not depend on a mark behind it."""
-        known = self.known
-        known.once = {}
-        missing = wanted.difference(known)
-        if not missing:
-            return
-        if len(known) + len(missing) > self.most:
-            stay = {k: known[k] for k in wanted.intersection(known)}
+    def learn(self, wanted: list[str]) -> list[bytes]:
+        """Ids of the keys, which are distinct."""
+        known, met = self.known, self.met
+        if len(known) > self.most:
             known.clear()
-            known.update(stay)
-        marked = [k for k in missing if k[-1] in _MARKS and k[:-1].lstrip("\0").isalpha()]
-        stems = {k[:-1] for k in marked} | {"\0" + k[-1] for k in marked}
-        often = stems.intersection(known)
-        new = list(missing.difference(marked).union(stems.difference(often)))
-        for k, i in zip(new, self._ids([_literal(k) for k in new])):
-            (known if len(k) <= _LONG else known.once)[k] = i
-        for k in marked:
-            (known if k[:-1] in often else known.once)[k] = known[k[:-1]] + known["\0" + k[-1]]
-
-    def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        special = [bool(t) and any(s in t for s in self.specials) for t in texts]
-        split = [keys(t) if t and not s else [] for t, s in zip(texts, special)]
-        self.learn(set(chain.from_iterable(split)))
-        of = self.known.__getitem__
-        out = [b"".join(map(of, k)) for k in split]
-        for i in np.flatnonzero(special):
-            out[i] = array("I", self.library.encode(texts[i], add_special_tokens=False).ids).tobytes()
+            self.met = met = bytearray(_MET)
+        out = list(map(known.get, wanted))
+        new = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(new, self._ids([_literal(wanted[i]) for i in new])):
+            out[i], k = ids, wanted[i]
+            at = hash(k) & (_MET - 1)
+            if met[at] and len(k) <= _LONG:
+                known[k] = ids
+            else:
+                met[at] = 1
         return out
 
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and where each text's begin, with the end. Null is empty.
+
+        Texts whose white space may be glued to a word, and those with a NUL, are cut piece by piece; those with a special string go to
+        the library whole.
+        """
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        odd = pc.match_substring_regex(texts, r"\x00|[ \n](\s|\p{Z}|[\x0B\x1C-\x1F\x85]|\z)").to_numpy(zero_copy_only=False)
+        special = np.zeros(len(texts), bool)
+        for x in self.specials:
+            special |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(odd | special), "", texts)
+        # A split ends where marks or a line end follow a letter or digit, and behind a line end: more places that are safe to cut.
+        marked = pc.replace_substring_regex(plain, _MARKED, "\\1 \0\\2")
+        whole = [pa.scalar(x, pa.large_string()) for x in ("\0", "")]
+        split = pc.split_pattern(pc.binary_join_element_wise(whole[0], pc.replace_substring(marked, "\n", "\n \0"), whole[1]), " ")
+        coded = split.flatten().dictionary_encode()
+        starts = split.offsets.to_numpy() - split.offsets[0].as_py()
+        odd_at = np.flatnonzero(odd & ~special).tolist()
+        cuts = [["\0" + p for p in cut(texts[i].as_py())] for i in odd_at]
+        keys = coded.dictionary.to_pylist()
+        place = {k: i for i, k in enumerate(keys)}
+        for k in chain.from_iterable(cuts):
+            if k not in place:
+                place[k] = len(keys)
+                keys.append(k)
+        ids = self.learn(keys)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begin = np.cumsum(size) - size
+        values = np.frombuffer(b"".join(ids), "<u4")
+        pieces = coded.indices.to_numpy(zero_copy_only=False)
+        per_piece = size[pieces]
+        before = np.concatenate([[0], np.cumsum(per_piece)])[starts]
+        flat = _gather(values, begin[pieces], per_piece)
+        instead = {i: np.concatenate([values[begin[k] : begin[k] + size[k]] for k in map(place.__getitem__, c)] or [values[:0]]) for i, c in zip(odd_at, cuts)}
+        for i in np.flatnonzero(special).tolist():
+            instead[i] = np.array(self.library.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4")
+        if instead:
+            rows = [instead[i] if i in instead else flat[before[i] : before[i + 1]] for i in range(len(texts))]
+            flat = np.concatenate(rows)
+            before = np.cumsum([0, *map(len, rows)])
+        return flat, before
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        flat, at = self.encode_flat(pa.array(texts, pa.string()))
+        raw, ends = flat.tobytes(), (4 * at).tolist()
+        return [raw[a:b] for a, b in zip(ends, ends[1:])]
 
 
 def encoder(path: str) -> ChunkEncoder:
-    """One per worker process and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    """One per worker process and vocabulary, as long as one run of an operator lasts."""
+    return common.held("encoder", path, lambda: ChunkEncoder(path))
 
 
-def slices(batches, rows: int = 1024):
-    """Ids and texts of the first two columns, some rows at a time."""
+def slices(batches, text: int = 1, most_bytes: int = 6 << 20):
+    """Each batch in slices of at most ``most_bytes`` of text (or one row): few enough to hold, long enough for pieces to come again."""
     for batch in batches:
-        for a in range(0, batch.num_rows, rows):
-            part = batch.slice(a, rows)
-            yield part.column(0).to_pylist(), part.column(1).to_pylist()
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most_bytes, side="right")))
+            yield batch.slice(a, b - a)
+            common.release()
+            a = b
+
+
+def encoded(batches, path: str, end_id: int | None):
+    """(id, ids with ``end_id`` behind them as uint32) of each row of batches with an id and a text."""
+    enc = encoder(path)
+    end = np.array([] if end_id is None else [end_id], "<u4")
+    for part in slices(batches):
+        flat, at = enc.encode_flat(part.column(1))
+        for doc_id, a, b in zip(part.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+            yield doc_id, np.concatenate([flat[a:b], end])

@@ -1,61 +1,53 @@
-"""What the training-data operators share: shared-folder tables, shipping, word splitting."""
+"""What the training-data operators share: shared-folder tables, shipping, worker memory, word splitting."""
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import drop_table, new_path, shared_dir, table, write_table  # noqa: F401
+from ..sources.shipping import ship  # noqa: F401
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable on every executor, once per SparkContext."""
-    sc = spark.sparkContext
-    if getattr(sc, "_mercato_shipped", False):
-        return
-    root = Path(__file__).resolve().parent.parent
-    out = Path(tempfile.mkdtemp(prefix="mercato-ship-")) / "mercato_pkg.zip"
-    with zipfile.ZipFile(out, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(str(out))
-    sc._mercato_shipped = True
+_HELD: dict[str, tuple[object, object]] = {}
+
+
+def held(kind: str, key, make):
+    """One object of a kind in a worker process, made anew when the key is another."""
+    if kind not in _HELD or _HELD[kind][0] != key:
+        _HELD[kind] = (key, make())
+    return _HELD[kind][1]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all nodes see. A machine-local one is used only where the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="mercato-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+def only(run: str) -> None:
+    """A worker process goes from one operator to the next: what it holds of an earlier run goes when ``run`` begins."""
+    if _HELD.get("run", (None,))[0] != run:
+        _HELD.clear()
+        _HELD["run"] = (run, None)
+        release()
 
 
-def write_table(df: DataFrame, label: str) -> str:
-    """Write ``df`` to the shared folder and return its path: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return path
+def release() -> None:
+    """Give memory that is free in this process back to the machine, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
-def table(df: DataFrame, label: str) -> DataFrame:
-    path = write_table(df, label)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
-def drop_table(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def new_run() -> str:
+    return uuid.uuid4().hex
 
 
 #: ASCII letters are folded by Arrow's ascii_lower, which leaves other letters alone.

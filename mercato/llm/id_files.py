@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .chunked_tokens import encoder
+from .chunked_tokens import encoded
 from .id_coder import HEAD, CorruptBlock, decode_block, encode_block
 
-BLOCK = 1 << 18
+BLOCK = 1 << 20
 TAIL = struct.Struct("<QII4s")
 _DOC = np.dtype([("doc_id", "<i8"), ("has_id", "<u4"), ("n", "<u4")])
 
@@ -32,21 +32,21 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def write_file(out, documents, vocab: int) -> tuple[int, int]:
-    """Write (doc_id, ids as little-endian bytes) pairs; returns documents and ids written."""
+    """Write (doc_id, ids as little-endian uint32) pairs; returns documents and ids written."""
     held, size, docs, total, at = [], 0, [], 0, 0
 
     def flush(least: int) -> None:
         nonlocal held, size, at
         if size < least or not size:
             return
-        ids = np.frombuffer(b"".join(held), "<u4")
+        ids = np.concatenate(held)
         full = len(ids) if least == 1 else len(ids) - len(ids) % BLOCK
         for a in range(0, full, BLOCK):
             at += out.write(encode_block(ids[a : min(a + BLOCK, full)], vocab))
-        held, size = [ids[full:].tobytes()], len(ids) - full
+        held, size = [ids[full:]], len(ids) - full
 
     for doc_id, ids in documents:
-        n = len(ids) // 4
+        n = len(ids)
         docs.append((doc_id or 0, doc_id is not None, n))
         held.append(ids)
         size, total = size + n, total + n
@@ -83,33 +83,27 @@ def read_file(source):
 def write_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, tokenizer: str | None = None, vocab: int = 50_257, files: int | None = None) -> list[tuple]:
     """Encode all texts, ``end_id`` after each, into files; returns (path, documents, ids) in ascending order of document.
 
-    Null texts are empty, null ids come first, equal ids are ordered by text. An empty table gives files without documents or none.
+    Null texts are empty, null ids come first, equal ids are in the order of a hash of their texts, then of the texts. An empty table gives files without documents or none.
     """
     spark = docs.sparkSession
     common.ship(spark)
     path = tokenizer or common.tokenizer_path()
     folder = f"{common.shared_dir(spark)}/ids-{uuid.uuid4().hex}"
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = narrow.repartitionByRange(*([files] if files else []), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # Spark samples the range's keys on the driver: a hash of the text parts equal ids, never the text itself.
+    ordered = narrow.repartitionByRange(*([files] if files else []), F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    run_id = common.new_run()
 
     def run(batches):
         from pyspark import TaskContext
 
-        enc, end = encoder(path), b"" if end_id is None else np.uint32(end_id).tobytes()
-
-        def documents():
-            for batch in batches:
-                for a in range(0, batch.num_rows, 1024):
-                    part = batch.slice(a, 1024)
-                    for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode_many(part.column(1).to_pylist())):
-                        yield doc_id, ids + end
-
+        common.only(run_id)
         part = TaskContext.get().partitionId()
         name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.ids"
         store, at = _open(name)
         store.create_dir(at.rpartition("/")[0], recursive=True)
         with store.open_output_stream(at) as out:
-            n, total = write_file(out, documents(), vocab)
+            n, total = write_file(out, encoded(batches, path, end_id), vocab)
         yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([name]), pa.array([n]), pa.array([total])], names=["part", "path", "documents", "ids"])
 
     written = ordered.mapInArrow(run, "part long, path string, documents long, ids long").collect()

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .chunked_tokens import encoder, slices
+from .chunked_tokens import encoded
 
 PIECE = np.dtype([("doc_id", "<i8"), ("has_id", "<i4"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
 _BINS = "bin_id long, fill int, closed boolean, members binary"
@@ -51,51 +51,49 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW)], schema=_ARROW)
 
 
-def _pack(fills: list[int], members: list[bytes], capacity: int, slack: int, round_no: int, last: bool):
-    """Rows of ``_BINS`` for items with these fills and contents."""
+def _pack(fills: list[int], member, capacity: int, slack: int, round_no: int, last: bool):
+    """Rows of ``_BINS`` for items with these fills; ``member(i)`` is the content of item i."""
     from pyspark import TaskContext
 
     base = (round_no << 56) | (TaskContext.get().partitionId() << 32)
     rows = []
     for k, items in enumerate(best_fit(fills, capacity)):
         fill = sum(fills[i] for i in items)
-        rows.append((base + k, fill, last or capacity - fill <= slack, b"".join(members[i] for i in items)))
+        rows.append((base + k, fill, last or capacity - fill <= slack, b"".join(map(member, items))))
         if len(rows) == 4096:
             yield _batch(rows)
             rows = []
     yield _batch(rows)
 
 
-def _first_round(path: str, end_id: int | None, capacity: int, slack: int):
+def _first_round(run_id: str, path: str, end_id: int | None, capacity: int, slack: int):
     def run(batches):
-        enc = encoder(path)
-        end = b"" if end_id is None else np.uint32(end_id).tobytes()
-        parts: list[np.ndarray] = []
-        for doc_ids, texts in slices(batches):
-            rows = []
-            for doc_id, ids in zip(doc_ids, enc.encode_many(texts)):
-                ids += end
-                n = len(ids) // 4
-                if not n:
-                    continue
-                a, piece = 0, 0
-                while a < n:
-                    b = min(n, a + ((n - a) % capacity or capacity))
-                    rows.append((doc_id or 0, doc_id is not None, piece, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
-                    a, piece = b, piece + 1
-            parts.append(np.array(rows, PIECE))
-        pieces = np.concatenate(parts) if parts else np.empty(0, PIECE)
+        common.only(run_id)
+        parts, rows = [], []
+        for doc_id, ids in encoded(batches, path, end_id):
+            a, piece, n = 0, 0, len(ids)
+            while a < n:
+                b = min(n, a + ((n - a) % capacity or capacity))
+                rows.append((doc_id or 0, doc_id is not None, piece, a, b - a, zlib.crc32(ids[a:b])))
+                a, piece = b, piece + 1
+            if len(rows) > 4096:
+                parts.append(np.array(rows, PIECE))
+                rows = []
+        pieces = np.concatenate([*parts, np.array(rows, PIECE)])
         pieces = pieces[np.argsort(-pieces["length"], kind="stable")]
-        yield from _pack(pieces["length"].tolist(), [pieces[i : i + 1].tobytes() for i in range(len(pieces))], capacity, slack, 0, False)
+        lengths, raw, size = pieces["length"].tolist(), pieces.tobytes(), PIECE.itemsize
+        del parts, pieces
+        yield from _pack(lengths, lambda i: raw[size * i : size * i + size], capacity, slack, 0, False)
 
     return run
 
 
-def _next_round(capacity: int, slack: int, round_no: int, last: bool):
+def _next_round(run_id: str, capacity: int, slack: int, round_no: int, last: bool):
     def run(batches):
+        common.only(run_id)
         items = sorted((f, i, m) for b in batches for i, f, m in zip(*(b.column(c).to_pylist() for c in ("bin_id", "fill", "members"))))
         items.reverse()
-        yield from _pack([x[0] for x in items], [x[2] for x in items], capacity, slack, round_no, last)
+        yield from _pack([x[0] for x in items], lambda i: items[i][2], capacity, slack, round_no, last)
 
     return run
 
@@ -136,7 +134,8 @@ def pack_documents(
     common.ship(spark)
     path = tokenizer or common.tokenizer_path()
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    at = common.write_table(narrow.mapInArrow(_first_round(path, end_id, capacity, slack), _BINS), "pack")
+    run_id = common.new_run()
+    at = common.write_table(narrow.mapInArrow(_first_round(run_id, path, end_id, capacity, slack), _BINS), "pack")
     bins = spark.read.schema(_BINS).parquet(at)
     done = [bins.filter("closed")]
     left, round_no, before = bins.filter("not closed"), 0, None
@@ -145,7 +144,7 @@ def pack_documents(
         last = n <= round_items or (before is not None and n > 0.9 * before)
         parts = max(1, -(-n // round_items))
         again = left.select("bin_id", "fill", "members").repartition(parts, F.xxhash64("bin_id"))
-        at = common.write_table(again.mapInArrow(_next_round(capacity, slack, round_no, last), _BINS), "pack")
+        at = common.write_table(again.mapInArrow(_next_round(run_id, capacity, slack, round_no, last), _BINS), "pack")
         bins = spark.read.schema(_BINS).parquet(at)
         done.append(bins.filter("closed"))
         left, before = bins.filter("not closed"), n
