@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +42,7 @@ def cut(text: str) -> list[str]:
     return out if out[0] else out[1:]
 
 
-def _literal(key: str) -> str:
-    """A key is a piece without its one space, or a whole piece behind a NUL."""
-    return key[1:] if key[:1] == "\0" else " " + key
-
-
-def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The runs of ``values`` end to end."""
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
@@ -72,45 +67,39 @@ class ChunkEncoder:
         self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)  # a byte-level token has a character for each byte
         for token, i in vocab.items():
             self.bytes_of[i] = len(token)
-        self.most, self.known, self.met = most, {}, bytearray(_MET)
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece. Pieces that begin with a space and go on with something else are encoded many at a time, end to end."""
-        joint = [i for i, p in enumerate(pieces) if len(p) > 1 and p[0] == " " and not p[1].isspace()]
-        alone = set(range(len(pieces))).difference(joint)
-        out: list[bytes] = [b""] * len(pieces)
-        many = lambda texts: self.library.encode_batch_fast(texts, add_special_tokens=False)
-        for a in range(0, len(joint), 8192):
-            part = joint[a : a + 8192]
-            said = [pieces[i] for i in part]
-            flat = np.concatenate([np.array(e.ids, "<u4") for e in many(["".join(said[k : k + 256]) for k in range(0, len(said), 256)])])
-            ends = np.cumsum(np.fromiter((len(p) if p.isascii() else len(p.encode()) for p in said), np.int64, len(said)))
+        self.most, self.known, self.met = most, {}, np.zeros(_MET, bool)
+
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """Ids of " " + word for words without white space in front: 256 at a time are one text, whose ids are parted by their bytes."""
+        out: list[bytes] = []
+        for a in range(0, len(words), 65_536):
+            part = words[a : a + 65_536]
+            coded = self.library.encode_batch_fast([" " + " ".join(part[k : k + 256]) for k in range(0, len(part), 256)], add_special_tokens=False)
+            flat = np.concatenate([np.array(e.ids, "<u4") for e in coded])
+            ends = np.cumsum(pc.binary_length(pa.array(part)).to_numpy().astype(np.int64) + 1)
             upto = (4 * (np.searchsorted(np.cumsum(self.bytes_of[flat]), ends) + 1)).tolist()
-            raw, at = flat.tobytes(), 0
-            for i, b in zip(part, upto):
-                out[i] = raw[at:b]
-                at = b
-        rest = sorted(alone)
-        for a in range(0, len(rest), 8192):
-            for i, e in zip(rest[a : a + 8192], many([pieces[i] for i in rest[a : a + 8192]])):
-                out[i] = array("I", e.ids).tobytes()
+            raw = flat.tobytes()
+            out += [raw[x:y] for x, y in zip([0, *upto], upto)]
         return out
 
     def learn(self, wanted: list[str]) -> list[bytes]:
-        """Ids of the keys, which are distinct."""
-        known, met = self.known, self.met
-        if len(known) > self.most:
-            known.clear()
-            self.met = met = bytearray(_MET)
-        out = list(map(known.get, wanted))
+        """Ids of distinct keys. A key is a word without the one space before it, or a whole piece behind a NUL."""
+        if len(self.known) > self.most:
+            self.known.clear()
+            self.met[:] = False
+        out = list(map(self.known.get, wanted))
         new = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(new, self._ids([_literal(wanted[i]) for i in new])):
-            out[i], k = ids, wanted[i]
-            at = hash(k) & (_MET - 1)
-            if met[at] and len(k) <= _LONG:
-                known[k] = ids
-            else:
-                met[at] = 1
+        words = [i for i in new if wanted[i][:1] != "\0"]
+        whole = [i for i in new if wanted[i][:1] == "\0"]
+        ids = self._joined([wanted[i] for i in words])
+        ids += [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast([wanted[i][1:] for i in whole], add_special_tokens=False)]
+        names = [wanted[i] for i in (*words, *whole)]
+        at = np.fromiter(map(hash, names), np.int64, len(names)) & (len(self.met) - 1)
+        again = self.met[at] & (np.fromiter(map(len, names), np.int64, len(names)) <= _LONG)
+        self.met[at] = True
+        self.known.update(compress(zip(names, ids), again))
+        for i, x in zip((*words, *whole), ids):
+            out[i] = x
         return out
 
     def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -133,8 +122,8 @@ class ChunkEncoder:
         starts = split.offsets.to_numpy() - split.offsets[0].as_py()
         odd_at = np.flatnonzero(odd & ~special).tolist()
         cuts = [["\0" + p for p in cut(texts[i].as_py())] for i in odd_at]
-        keys = coded.dictionary.to_pylist()
-        place = {k: i for i, k in enumerate(keys)}
+        keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        place = {k: i for i, k in enumerate(keys)} if cuts else {}
         for k in chain.from_iterable(cuts):
             if k not in place:
                 place[k] = len(keys)
@@ -146,7 +135,7 @@ class ChunkEncoder:
         pieces = coded.indices.to_numpy(zero_copy_only=False)
         per_piece = size[pieces]
         before = np.concatenate([[0], np.cumsum(per_piece)])[starts]
-        flat = _gather(values, begin[pieces], per_piece)
+        flat = gather(values, begin[pieces], per_piece)
         instead = {i: np.concatenate([values[begin[k] : begin[k] + size[k]] for k in map(place.__getitem__, c)] or [values[:0]]) for i, c in zip(odd_at, cuts)}
         for i in np.flatnonzero(special).tolist():
             instead[i] = np.array(self.library.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4")
