@@ -48,8 +48,33 @@ def band_of(pct: Column) -> Column:
     return F.when(pct < -15, "much_lower").when(pct < -5, "lower").when(pct < 5, "level").when(pct < 15, "higher").otherwise("much_higher")
 
 
+#: The storage steps of one price level each.
+ROM_STEPS = (32, 64, 128, 256, 512, 1024, 2048)
+
+
 def rom_bucket(rom: Column) -> Column:
-    out = F.when(rom <= 64, 64)
-    for size in (128, 256):
-        out = out.when(rom <= size, size)
-    return out.otherwise(512)
+    """The storage step a size falls in; an unknown size is a bucket of its own."""
+    out = F.when(rom.isNull() | (rom <= 0), "unknown")
+    for size in ROM_STEPS:
+        out = out.when(rom <= size, f"<={size}")
+    return out.otherwise(f">{ROM_STEPS[-1]}")
+
+
+#: From which percentage a move is suspect, and from which implausible, by category.
+TIER_BANDS = {"phone": (8, 20), "tablet": (8, 20), "pc": (8, 20), "wearable": (12, 30), "audio": (15, 40)}
+OTHER_BAND = (10, 25)
+
+
+def move_tier(pct: Column, category: Column, bands: dict[str, tuple[int, int]] = TIER_BANDS, other: tuple[int, int] = OTHER_BAND) -> Column:
+    """Credible, suspect or implausible by half-open bands of the category."""
+    edge = lambda i: F.coalesce(*[F.when(category == c, F.lit(b[i])) for c, b in bands.items()], F.lit(other[i]))
+    return F.when(F.abs(pct) < edge(0), "credible").when(F.abs(pct) < edge(1), "suspect").otherwise("implausible")
+
+
+def money(amount: Column, currency: Column) -> Column:
+    return F.concat(currency, F.lit(" "), F.format_number(amount, 2))
+
+
+def percent(pct: Column) -> Column:
+    """Signed, one decimal; unknown is a dash."""
+    return F.when(pct.isNull(), "-").otherwise(F.format_string("%+.1f%%", pct.cast("double")))

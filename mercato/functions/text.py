@@ -13,10 +13,12 @@ def as_text(s: Column) -> Column:
     return F.when(F.lower(F.trim(s)).isin(*NULLISH), None).otherwise(s)
 
 
-def fix_mojibake(s: Column) -> Column:
-    """UTF-8 that was read as Latin-1 is read again, where its lead bytes show and the result is valid."""
-    again = F.try_validate_utf8(F.encode(s, "ISO-8859-1").cast("string"))
-    return F.when(s.rlike("[ÃÂ][\u0080-¿]"), F.coalesce(again, s)).otherwise(s)
+def fix_mojibake(s: Column, rounds: int = 3) -> Column:
+    """UTF-8 that was read as Latin-1, up to ``rounds`` times over, is read again where its lead bytes show and the result is valid."""
+    for _ in range(rounds):
+        again = F.try_validate_utf8(F.encode(s, "ISO-8859-1").cast("string"))
+        s = F.when(s.rlike("[ÃÂ][\u0080-¿]"), F.coalesce(again, s)).otherwise(s)
+    return s
 
 
 def row_hash(*parts: Column) -> Column:
@@ -66,15 +68,40 @@ def event_kind(text: Column) -> Column:
     )
 
 
-def review_reject_reason(s: Column) -> Column:
-    """Why a text is no review: the first reason that holds, or null."""
-    n = F.length(F.trim(s))
+#: Texts of pages and controls that stand where a review should be.
+ICON_WORDS = ("keyboard_arrow_up", "keyboard_arrow_down", "expand_more", "star_border", "chevron_right", "thumb_up")
+CONTROLS = ("write a review", "see all reviews", "customer reviews", "escribir una opinion", "ver todas las opiniones", "avaliar produto")
+PAGE_WORDS = ("add to cart", "cookie policy", "sign in", "privacy policy", "agregar al carrito", "iniciar sesion", "adicionar ao carrinho")
+UI_NOISE = ("icon_only", "ui_only", "chrome", "scale_only", "histogram", "summary", "rating_dist", "low_letter", "vertical_hist")
+
+
+def review_reject_reason(s: Column, least: int = 15, least_letters: float = 0.55) -> Column:
+    """Why a text is no review: the first of eleven reasons that holds, or null.
+
+    ``too_short`` and ``not_language`` may hit genuine short reviews; only the reasons in ``UI_NOISE`` are safe to delete by.
+    """
+    raw = F.trim(F.regexp_replace(F.coalesce(s, F.lit("")), "[ \t]+", " "))
+    icons = "(?i)\\b(" + "|".join(ICON_WORDS) + ")\\b"
+    t = F.trim(F.regexp_replace(F.regexp_replace(raw, icons, " "), "[ \t]+", " "))
+    low, flat = fold(t), F.regexp_replace(t, "\\s+", " ")
+    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    bare = F.filter(lines, lambda x: x.rlike("^[0-9.,]{1,7}$"))
+    many = lambda p, n: F.size(F.regexp_extract_all(flat, F.lit(p), 0)) >= n
     return (
-        F.when(s.isNull() | (n == 0), "empty").when(n < 15, "short").when(n > 20_000, "long").when(s.rlike(r"https?://\S+\s*$"), "link")
-        .when(letter_ratio(s) < 0.5, "not_letters").when(F.lower(s).rlike(r"add to cart|cookie policy|sign in"), "page_chrome")
+        F.when(F.length(t) < least, F.when(raw.rlike(icons), "icon_only").otherwise("too_short"))
+        .when(low.isin(*CONTROLS), "ui_only").when(low.rlike("|".join(PAGE_WORDS)), "chrome")
+        .when(t.rlike("^[0-9][0-9 /.,]*$"), "scale_only").when(flat.rlike("(?i)\\b5 [0-9]+ 4 [0-9]+ 3 [0-9]+ 2 [0-9]+"), "histogram")
+        .when(flat.rlike("(?i)[0-9][.,][0-9] (out of|de|sobre) 5|based on [0-9]+ reviews"), "summary")
+        .when(many("(?i)[1-5] (stars?|estrellas?|estrelas?)", 3) | many("\\b[1-5] +[0-9]{1,3} ?%", 3), "rating_dist")
+        .when(letter_ratio(t) < least_letters, "low_letter").when((F.size(lines) >= 4) & (F.size(bare) >= 0.5 * F.size(lines)), "vertical_hist")
+        .when(~(t.rlike("\\p{L}{8,}") | many("\\p{L}{3,}", 4)), "not_language")
     )
 
 
+def fold(text: Column) -> Column:
+    return F.translate(F.lower(text), "áàâãäéèêëíìîïóòôõöúùûüñç", "aaaaaeeeeiiiiooooouuuunc")
+
+
 def parse_date(s: Column) -> Column:
     """The first format that fits: ISO, day/month/year, "2 Jan 2024"."""
     return F.coalesce(*[F.to_date(F.try_to_timestamp(s, F.lit(f))) for f in ("yyyy-MM-dd", "dd/MM/yyyy", "d MMM yyyy")])
@@ -88,15 +115,31 @@ def relative_date(text: Column, base: Column) -> Column:
     return F.date_sub(base, n * days)
 
 
-def block_kind(text: Column) -> Column:
-    t = F.lower(text)
-    return F.when(t.rlike("captcha|are you a robot"), "blocked").when(t.rlike("log ?in to continue|sign in to see"), "login_wall").when(F.length(F.trim(t)) == 0, "empty").otherwise("ok")
+#: What tells an intercepted page, by kind; the first kind that shows counts.
+BLOCK_WORDS = {
+    "captcha": ("captcha", "are you a robot", "verify you are human"),
+    "throttled": ("too many requests", "rate limit", "access denied"),
+    "challenge": ("checking your browser", "enable javascript", "just a moment"),
+    "login_wall": ("log in to continue", "login to continue", "sign in to see"),
+}
+
+
+def block_kind(text: Column, head: int = 4000) -> Column:
+    """Captcha, throttled, challenge or login wall by the page's head, else none."""
+    t = F.lower(F.substring(F.coalesce(text, F.lit("")), 1, head))
+    return F.coalesce(*[F.when(t.rlike("|".join(words)), kind) for kind, words in BLOCK_WORDS.items()], F.lit("none"))
 
 
 def json_object(text: Column) -> Column:
-    """The outermost braces' content of a chatty text, as JSON text; null if it does not parse."""
+    """The first balanced object of a chatty text, as JSON text; null if there is none that parses.
+
+    Braces are counted outside of strings: what closes the first open brace ends the object.
+    """
     body = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    return F.when(F.try_parse_json(body).isNotNull(), body)
+    depth = lambda s: F.length(F.regexp_replace(s, r"[^{]", "")) - F.length(F.regexp_replace(s, r"[^}]", ""))
+    cuts = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(body), F.lit(1))), lambda i: F.substring(body, i, F.lit(1)) == "}"), lambda i: F.substring(body, F.lit(1), i))
+    level = lambda s: depth(F.regexp_replace(s, r'(?s)"(?:\\.|[^"\\])*"', ""))
+    return F.get(F.filter(cuts, lambda s: (level(s) == 0) & F.try_parse_json(s).isNotNull()), F.lit(0))
 
 
 def seller_kind(seller: Column, brand: Column, channel_kind: Column) -> Column:

@@ -30,12 +30,12 @@ def floors(obs, least=30):
     return rows.groupBy("country", "category", "currency").agg(mid.alias("mid"))
 
 
-@query(over_obs(BASE + " SELECT country, product_id, rom_gb, month, round(base, 4) AS base, n FROM base"))
+@query(over_obs(BASE + " SELECT country, product_id, rom_gb, month, round(base + 1e-9, 4) AS base, n FROM base"))
 def audit_baselines(spark, sf_dir):
     return baselines(observations(spark, sf_dir)).select("country", "product_id", "rom_gb", "month", r4(F.col("base")).alias("base"), "n")
 
 
-@query(over_obs(BASE + " SELECT country, category, currency, round(mid, 4) AS mid FROM fl"))
+@query(over_obs(BASE + " SELECT country, category, currency, round(mid + 1e-9, 4) AS mid FROM fl"))
 def category_floors(spark, sf_dir):
     """The accepted median where there are enough, else the not-rejected one, else none."""
     return floors(observations(spark, sf_dir)).withColumn("mid", r4(F.col("mid")))
@@ -63,7 +63,7 @@ _V = BASE + f""", v AS (SELECT o.*, {VERDICT} AS verdict FROM obs o LEFT JOIN ba
     LEFT JOIN fl ON fl.country = o.country AND fl.category = o.category AND fl.currency = o.currency WHERE audit_status = 'pending' AND product_kind = 'device')"""
 
 
-@query(over_obs(_V + " SELECT product_id, country, obs_date, channel_id, round(sale_price, 4) AS sale_price, verdict FROM v"))
+@query(over_obs(_V + " SELECT product_id, country, obs_date, channel_id, round(sale_price + 1e-9, 4) AS sale_price, verdict FROM v"))
 def audit_verdict(spark, sf_dir):
     return verdicts(spark, sf_dir).select("product_id", "country", "obs_date", "channel_id", r4(F.col("sale_price")).alias("sale_price"), "verdict")
 
@@ -74,7 +74,7 @@ def audit_rehearsal(spark, sf_dir):
     return verdicts(spark, sf_dir).groupBy("country", "month", "verdict").agg(F.count("*").alias("n"))
 
 
-@query(over_obs(_V + """ SELECT currency, verdict, product_id, round(sale_price, 4) AS sale_price, side FROM (SELECT *, 'low' AS side, row_number() OVER (PARTITION BY currency ORDER BY sale_price, product_id, obs_date, channel_id) AS r FROM v WHERE verdict <> 'accepted'
+@query(over_obs(_V + """ SELECT currency, verdict, product_id, round(sale_price + 1e-9, 4) AS sale_price, side FROM (SELECT *, 'low' AS side, row_number() OVER (PARTITION BY currency ORDER BY sale_price, product_id, obs_date, channel_id) AS r FROM v WHERE verdict <> 'accepted'
     UNION ALL SELECT *, 'high', row_number() OVER (PARTITION BY currency ORDER BY sale_price DESC, product_id, obs_date, channel_id) FROM v WHERE verdict <> 'accepted') WHERE r <= 3"""))
 def audit_samples(spark, sf_dir, each=3):
     """The cheapest and dearest undecided rows of each currency, for a person to look at."""
@@ -89,7 +89,7 @@ def audit_samples(spark, sf_dir, each=3):
 
 
 @query(over_obs(""", m AS (SELECT product_id, currency, median(sale_price) AS mid FROM obs GROUP BY ALL)
-    SELECT o.product_id, o.currency, count(*) AS n, round(quantile_cont(sale_price, 0.9) / nullif(quantile_cont(sale_price, 0.1), 0), 4) AS spread, quantile_cont(sale_price, 0.9) / nullif(quantile_cont(sale_price, 0.1), 0) > 3 AND count(*) >= 4 AS is_bucket
+    SELECT o.product_id, o.currency, count(*) AS n, round(quantile_cont(sale_price, 0.9) / nullif(quantile_cont(sale_price, 0.1), 0) + 1e-9, 4) AS spread, quantile_cont(sale_price, 0.9) / nullif(quantile_cont(sale_price, 0.1), 0) > 3 AND count(*) >= 4 AS is_bucket
     FROM obs o JOIN m USING (product_id, currency) WHERE sale_price >= 0.2 * mid GROUP BY o.product_id, o.currency"""))
 def bucket_report(spark, sf_dir):
     """Products that look like several: P90 over P10 after dropping prices under a fifth of the median."""
@@ -101,6 +101,6 @@ def bucket_report(spark, sf_dir):
     return q.select("product_id", "currency", "n", r4(spread).alias("spread"), ((spread > 3) & (F.col("n") >= 4)).alias("is_bucket"))
 
 
-@query(over_obs(" SELECT CASE WHEN rom_gb <= 64 THEN 64 WHEN rom_gb <= 128 THEN 128 WHEN rom_gb <= 256 THEN 256 ELSE 512 END AS bucket, currency, count(*) AS n, round(min(sale_price), 4) AS lowest, round(median(sale_price), 4) AS mid FROM obs GROUP BY ALL"))
+@query(over_obs(" SELECT CASE WHEN rom_gb IS NULL OR rom_gb <= 0 THEN 'unknown' WHEN rom_gb <= 32 THEN '<=32' WHEN rom_gb <= 64 THEN '<=64' WHEN rom_gb <= 128 THEN '<=128' WHEN rom_gb <= 256 THEN '<=256' WHEN rom_gb <= 512 THEN '<=512' WHEN rom_gb <= 1024 THEN '<=1024' WHEN rom_gb <= 2048 THEN '<=2048' ELSE '>2048' END AS bucket, currency, count(*) AS n, round(min(sale_price) + 1e-9, 4) AS lowest, round(median(sale_price) + 1e-9, 4) AS mid FROM obs GROUP BY ALL"))
 def storage_buckets(spark, sf_dir):
     return observations(spark, sf_dir).groupBy(rom_bucket(F.col("rom_gb")).alias("bucket"), "currency").agg(F.count("*").alias("n"), r4(F.min("sale_price")).alias("lowest"), r4(F.median("sale_price")).alias("mid"))

@@ -18,7 +18,7 @@ OFFICIAL = "seller_kind IN ('self_operated', 'brand_official')"
     over_obs(f""", clean AS (SELECT * FROM obs WHERE {CLEAN} AND audit_status = 'accepted' AND obs_date > (SELECT max(obs_date) FROM obs) - INTERVAL 720 DAY),
     band AS (SELECT currency, category, brand, count(*) AS n, quantile_cont(sale_price, 0.25) AS p25, quantile_cont(sale_price, 0.5) AS p50, quantile_cont(sale_price, 0.75) AS p75 FROM clean GROUP BY ALL HAVING count(*) >= 5),
     market AS (SELECT currency, category, median(sale_price) AS mid FROM clean GROUP BY ALL)
-    SELECT currency, category, brand, n, round(p25, 4) AS p25, round(p50, 4) AS p50, round(p75, 4) AS p75, brand <> '{OWN_BRAND}' AND p50 < 0.15 * mid AS suspect
+    SELECT currency, category, brand, n, round(p25 + 1e-9, 4) AS p25, round(p50 + 1e-9, 4) AS p50, round(p75 + 1e-9, 4) AS p75, brand <> '{OWN_BRAND}' AND p50 < 0.15 * mid AS suspect
     FROM band JOIN market USING (currency, category)""")
 )
 def price_band(spark, sf_dir, days=720, min_n=5):
@@ -35,7 +35,7 @@ def price_band(spark, sf_dir, days=720, min_n=5):
 @query(
     over_obs(""", cells AS (SELECT country, category, count(*) AS n, avg(discount_pct) AS d FROM obs WHERE product_kind <> 'accessory' AND audit_status = 'accepted' AND obs_date > (SELECT max(obs_date) FROM obs) - INTERVAL 180 DAY GROUP BY ALL),
     centre AS (SELECT sum(d * n) / sum(n) AS c FROM cells)
-    SELECT c.country, k.category, coalesce(n, 0) AS n, CASE WHEN n >= 5 THEN round(d, 4) END AS avg_discount, round((SELECT c FROM centre), 4) AS centre
+    SELECT c.country, k.category, coalesce(n, 0) AS n, CASE WHEN n >= 5 THEN round(d + 1e-9, 4) END AS avg_discount, round((SELECT c FROM centre) + 1e-9, 4) AS centre
     FROM (SELECT DISTINCT country FROM obs) c CROSS JOIN (SELECT DISTINCT category FROM obs) k LEFT JOIN cells ON cells.country = c.country AND cells.category = k.category""")
 )
 def discount_heat(spark, sf_dir, days=180, min_n=5):
@@ -51,8 +51,8 @@ def discount_heat(spark, sf_dir, days=180, min_n=5):
 
 
 @query(
-    over_obs(f""" SELECT product_id, country, currency, ram_gb, rom_gb, round(min(CASE WHEN {OFFICIAL} THEN sale_price END), 4) AS official, round(min(CASE WHEN seller_kind = 'third_party' THEN sale_price END), 4) AS third,
-    round(min(CASE WHEN {OFFICIAL} THEN sale_price END) - min(CASE WHEN seller_kind = 'third_party' THEN sale_price END), 4) AS gap
+    over_obs(f""" SELECT product_id, country, currency, ram_gb, rom_gb, round(min(CASE WHEN {OFFICIAL} THEN sale_price END) + 1e-9, 4) AS official, round(min(CASE WHEN seller_kind = 'third_party' THEN sale_price END) + 1e-9, 4) AS third,
+    round(min(CASE WHEN {OFFICIAL} THEN sale_price END) - min(CASE WHEN seller_kind = 'third_party' THEN sale_price END) + 1e-9, 4) AS gap
     FROM obs WHERE {CLEAN} AND audit_status = 'accepted' GROUP BY product_id, country, currency, ram_gb, rom_gb
     HAVING count(CASE WHEN {OFFICIAL} THEN 1 END) > 0 AND count(CASE WHEN seller_kind = 'third_party' THEN 1 END) > 0""")
 )
@@ -72,7 +72,7 @@ def _matrix_sql(grain: str) -> str:
     pend AS (SELECT period, country, category, count(*) AS pending FROM base WHERE audit_status = 'pending' GROUP BY ALL),
     fresh AS (SELECT CAST(date_trunc('{grain}', d) AS DATE) AS period, country, category, count(*) AS new_products FROM (SELECT product_id, country, category, min(obs_date) AS d FROM obs WHERE product_kind <> 'accessory' GROUP BY ALL) GROUP BY ALL)
     SELECT coalesce(a.period, p.period) AS period, coalesce(a.country, p.country) AS country, coalesce(a.category, p.category) AS category, coalesce(a.obs, 0) AS obs, coalesce(a.products, 0) AS products, coalesce(a.channels, 0) AS channels,
-      round(a.d, 4) AS avg_discount, coalesce(a.promos, 0) AS promos, coalesce(a.officials, 0) AS officials, coalesce(p.pending, 0) AS pending, coalesce(f.new_products, 0) AS new_products
+      round(a.d + 1e-9, 4) AS avg_discount, coalesce(a.promos, 0) AS promos, coalesce(a.officials, 0) AS officials, coalesce(p.pending, 0) AS pending, coalesce(f.new_products, 0) AS new_products
     FROM acc a FULL OUTER JOIN pend p ON a.period = p.period AND a.country = p.country AND a.category = p.category
     LEFT JOIN fresh f ON f.period = coalesce(a.period, p.period) AND f.country = coalesce(a.country, p.country) AND f.category = coalesce(a.category, p.category)""")
 
@@ -112,7 +112,7 @@ def dashboard_matrix_month(spark, sf_dir):
 
 @query(
     over_obs(f""", g AS (SELECT * FROM obs WHERE product_kind <> 'accessory' AND audit_status = 'accepted' AND obs_date > (SELECT max(obs_date) FROM obs) - INTERVAL 365 DAY)
-    SELECT country, category, count(*) AS obs, count(DISTINCT brand) AS brands, count(DISTINCT product_id) AS products, round(median(sale_price), 4) AS median_price, round(sum(CASE WHEN {OFFICIAL} THEN 1.0 ELSE 0.0 END) / count(*), 4) AS official_share, max(obs_date) AS last_seen
+    SELECT country, category, count(*) AS obs, count(DISTINCT brand) AS brands, count(DISTINCT product_id) AS products, round(median(sale_price) + 1e-9, 4) AS median_price, round(sum(CASE WHEN {OFFICIAL} THEN 1.0 ELSE 0.0 END) / count(*) + 1e-9, 4) AS official_share, max(obs_date) AS last_seen
     FROM g GROUP BY ALL""")
 )
 def country_category_summary(spark, sf_dir, days=365):
@@ -125,8 +125,8 @@ def country_category_summary(spark, sf_dir, days=365):
 
 @query(
     over_obs(""", daily AS (SELECT product_id, country, currency, obs_date, min(sale_price) AS lo, max(sale_price) AS hi, count(*) AS n FROM obs WHERE audit_status <> 'rejected' AND product_kind <> 'accessory' GROUP BY ALL)
-    SELECT product_id, country, currency, count(*) AS days, sum(n) AS obs, round(arg_min(lo, obs_date), 4) AS first_price, round(arg_max(lo, obs_date), 4) AS last_price, round(min(lo), 4) AS lowest, round(max(hi), 4) AS highest,
-      CASE WHEN count(*) > 1 THEN round((arg_max(lo, obs_date) - arg_min(lo, obs_date)) / nullif(arg_min(lo, obs_date), 0) * 100, 4) END AS change_pct
+    SELECT product_id, country, currency, count(*) AS days, sum(n) AS obs, round(arg_min(lo, obs_date) + 1e-9, 4) AS first_price, round(arg_max(lo, obs_date) + 1e-9, 4) AS last_price, round(min(lo) + 1e-9, 4) AS lowest, round(max(hi) + 1e-9, 4) AS highest,
+      CASE WHEN count(*) > 1 THEN round((arg_max(lo, obs_date) - arg_min(lo, obs_date)) / nullif(arg_min(lo, obs_date), 0) * 100 + 1e-9, 4) END AS change_pct
     FROM daily GROUP BY product_id, country, currency""")
 )
 def price_trend_lines(spark, sf_dir):
@@ -159,8 +159,8 @@ _PROMO = """, w AS (SELECT *, obs_date > m - INTERVAL 360 DAY AS is_after FROM o
 @query(
     over_obs(
         _PROMO
-        + """ SELECT brand, currency, count(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN 1 END) AS basket, round(avg(a) - avg(b), 4) AS raw_delta,
-    CASE WHEN count(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN 1 END) >= 12 THEN round(avg(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN a - b END), 4) END AS matched_delta FROM u GROUP BY brand, currency"""
+        + """ SELECT brand, currency, count(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN 1 END) AS basket, round(avg(a) - avg(b) + 1e-9, 4) AS raw_delta,
+    CASE WHEN count(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN 1 END) >= 12 THEN round(avg(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN a - b END) + 1e-9, 4) END AS matched_delta FROM u GROUP BY brand, currency"""
     )
 )
 def promo_shrink(spark, sf_dir, half=360, min_basket=12):
@@ -176,7 +176,7 @@ def promo_shrink(spark, sf_dir, half=360, min_basket=12):
 
 
 @query(
-    over_obs(""" SELECT country, channel_id, product_id, obs_date, round(sale_price, 4) AS sale_price FROM (
+    over_obs(""" SELECT country, channel_id, product_id, obs_date, round(sale_price + 1e-9, 4) AS sale_price FROM (
     SELECT *, rank() OVER (PARTITION BY country, channel_id, product_id ORDER BY obs_date DESC) AS r FROM obs WHERE audit_status <> 'rejected') WHERE r = 1""")
 )
 def current_price(spark, sf_dir):
@@ -193,7 +193,7 @@ _RANKED = """, f AS (SELECT currency, category, sale_price FROM obs WHERE produc
 @query(
     over_obs(
         _RANKED
-        + """ SELECT currency, category, max(n) AS n, round(avg(CASE WHEN rn IN ((n + 1) // 2, (n + 2) // 2) THEN sale_price END), 4) AS median, round(max(CASE WHEN rn = (n + 3) // 4 THEN sale_price END), 4) AS p25, round(max(CASE WHEN rn = (3 * n + 3) // 4 THEN sale_price END), 4) AS p75 FROM q GROUP BY currency, category"""
+        + """ SELECT currency, category, max(n) AS n, round(avg(CASE WHEN rn IN ((n + 1) // 2, (n + 2) // 2) THEN sale_price END) + 1e-9, 4) AS median, round(max(CASE WHEN rn = (n + 3) // 4 THEN sale_price END) + 1e-9, 4) AS p25, round(max(CASE WHEN rn = (3 * n + 3) // 4 THEN sale_price END) + 1e-9, 4) AS p75 FROM q GROUP BY currency, category"""
     )
 )
 def promo_board_quantiles(spark, sf_dir):
@@ -208,7 +208,7 @@ def promo_board_quantiles(spark, sf_dir):
 
 
 @query(
-    over_obs(""" SELECT rom_gb, currency, count(*) AS n, round(list_sort(list(sale_price))[least(CAST(floor(count(*) * 0.05) AS BIGINT) + 1, count(*))], 4) AS p5, round(list_sort(list(sale_price))[least(CAST(floor(count(*) * 0.5) AS BIGINT) + 1, count(*))], 4) AS p50 FROM obs WHERE product_kind = 'device' GROUP BY rom_gb, currency""")
+    over_obs(""" SELECT rom_gb, currency, count(*) AS n, round(list_sort(list(sale_price))[least(CAST(floor(count(*) * 0.05) AS BIGINT) + 1, count(*))] + 1e-9, 4) AS p5, round(list_sort(list(sale_price))[least(CAST(floor(count(*) * 0.5) AS BIGINT) + 1, count(*))] + 1e-9, 4) AS p50 FROM obs WHERE product_kind = 'device' GROUP BY rom_gb, currency""")
 )
 def price_by_storage(spark, sf_dir):
     """Quantiles by floor index, the third definition, for before/after comparisons of repairs."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.price import TIER_BANDS, move_tier
 from ..operators import filters as flt
 from ..operators.asof import daily_prices, price_changes
 from ..sources.tables import observations, over_obs
@@ -25,7 +26,7 @@ def moves(spark, sf_dir, lookback=400, noise_pct=2.0):
     return price_changes(daily_prices(observations(spark, sf_dir), KEYS), KEYS, lookback, noise_pct)
 
 
-@query(over_obs(MOVES + " SELECT product_id, country, currency, obs_date AS move_date, prev_date, round(prev_price, 4) AS prev_price, round(curr_price, 4) AS curr_price, round(change_pct, 4) AS change_pct, CAST(days_span AS INTEGER) AS days_span, is_official FROM moves"))
+@query(over_obs(MOVES + " SELECT product_id, country, currency, obs_date AS move_date, prev_date, round(prev_price + 1e-9, 4) AS prev_price, round(curr_price + 1e-9, 4) AS curr_price, round(change_pct + 1e-9, 4) AS change_pct, CAST(days_span AS INTEGER) AS days_span, is_official FROM moves"))
 def price_moves(spark, sf_dir):
     """Change detection: the latest earlier day in the same currency, within the lookback, beyond 2 percent."""
     return moves(spark, sf_dir).select("product_id", "country", "currency", F.col("obs_date").alias("move_date"), "prev_date", r4(F.col("prev_price")).alias("prev_price"), r4(F.col("curr_price")).alias("curr_price"), r4(F.col("change_pct")).alias("change_pct"), "days_span", "is_official")
@@ -33,7 +34,7 @@ def price_moves(spark, sf_dir):
 
 @query(
     over_obs(""", d AS (SELECT product_id, currency, ram_gb, rom_gb, obs_date, min(sale_price) AS price FROM obs GROUP BY ALL)
-    SELECT product_id, currency, ram_gb, rom_gb, obs_date, round(price, 4) AS price, round(lag(price) OVER (PARTITION BY product_id, currency, ram_gb, rom_gb ORDER BY obs_date), 4) AS prev_price FROM d""")
+    SELECT product_id, currency, ram_gb, rom_gb, obs_date, round(price + 1e-9, 4) AS price, round(lag(price) OVER (PARTITION BY product_id, currency, ram_gb, rom_gb ORDER BY obs_date) + 1e-9, 4) AS prev_price FROM d""")
 )
 def price_moves_null_safe(spark, sf_dir):
     """The previous price with unknown specifications as a value of their own (window keys are null-safe)."""
@@ -42,17 +43,20 @@ def price_moves_null_safe(spark, sf_dir):
     return d.select("product_id", "currency", "ram_gb", "rom_gb", "obs_date", r4(F.col("price")).alias("price"), r4(F.lag("price").over(w)).alias("prev_price"))
 
 
-def tier(pct="change_pct"):
-    """Credibility of a move: phones may fall further than the rest before they are suspect."""
-    a, wide = F.abs(pct), F.col("category") == "ECONOMY"
-    return F.when(a <= F.when(wide, 40).otherwise(30), "credible").when(a <= F.when(wide, 70).otherwise(60), "suspect").otherwise("implausible")
+#: The bands by category of the test tables, whose categories stand for phones, wearables and audio.
+BANDS = {"ECONOMY": TIER_BANDS["phone"], "SMALL": TIER_BANDS["wearable"], "PROMO": TIER_BANDS["audio"]}
 
 
-TIER = "CASE WHEN abs(change_pct) <= CASE WHEN category = 'ECONOMY' THEN 40 ELSE 30 END THEN 'credible' WHEN abs(change_pct) <= CASE WHEN category = 'ECONOMY' THEN 70 ELSE 60 END THEN 'suspect' ELSE 'implausible' END"
+def tier():
+    """Credibility of a move by its category's bands."""
+    return move_tier(F.col("change_pct"), F.col("category"), BANDS)
+
+
+TIER = "CASE WHEN abs(change_pct) < CASE category WHEN 'ECONOMY' THEN 8 WHEN 'SMALL' THEN 12 WHEN 'PROMO' THEN 15 ELSE 10 END THEN 'credible' WHEN abs(change_pct) < CASE category WHEN 'ECONOMY' THEN 20 WHEN 'SMALL' THEN 30 WHEN 'PROMO' THEN 40 ELSE 25 END THEN 'suspect' ELSE 'implausible' END"
 
 
 @query(
-    over_obs(MOVES + f""" SELECT category, currency, {TIER} AS tier, CASE WHEN change_pct < 0 THEN 'down' ELSE 'up' END AS direction, count(*) AS n, round(avg(change_pct), 4) AS avg_pct, count(DISTINCT product_id) AS products FROM moves GROUP BY ALL""")
+    over_obs(MOVES + f""" SELECT category, currency, {TIER} AS tier, CASE WHEN change_pct < 0 THEN 'down' ELSE 'up' END AS direction, count(*) AS n, round(avg(change_pct) + 1e-9, 4) AS avg_pct, count(DISTINCT product_id) AS products FROM moves GROUP BY ALL""")
 )
 def moves_tiered(spark, sf_dir):
     rows = moves(spark, sf_dir).withColumn("tier", tier()).withColumn("direction", F.when(F.col("change_pct") < 0, "down").otherwise("up"))
@@ -72,7 +76,7 @@ def moves_histogram(spark, sf_dir):
     return moves(spark, sf_dir).groupBy("country", bin_.otherwise("50+").alias("bin")).agg(F.count(F.when(F.col("change_pct") < 0, 1)).alias("down"), F.count(F.when(F.col("change_pct") > 0, 1)).alias("up"))
 
 
-@query(over_obs(MOVES + f" SELECT product_id, country, currency, obs_date, round(change_pct, 4) AS change_pct FROM moves WHERE {TIER} = 'credible' ORDER BY abs(change_pct) DESC, product_id, country, currency, obs_date LIMIT 100"))
+@query(over_obs(MOVES + f" SELECT product_id, country, currency, obs_date, round(change_pct + 1e-9, 4) AS change_pct FROM moves WHERE {TIER} = 'credible' ORDER BY abs(change_pct) DESC, product_id, country, currency, obs_date LIMIT 100"))
 def movers_topk(spark, sf_dir, limit=100):
     """The report of the largest credible moves."""
     top = moves(spark, sf_dir).where(tier() == "credible").orderBy(F.desc(F.abs("change_pct")), "product_id", "country", "currency", "obs_date").limit(limit)
@@ -80,7 +84,7 @@ def movers_topk(spark, sf_dir, limit=100):
 
 
 @query(
-    over_obs(MOVES + """ SELECT brand, obs_date, count(*) AS n, count(DISTINCT product_id) AS products, count(DISTINCT country) AS countries, string_agg(DISTINCT country, ',' ORDER BY country) AS where_, round(avg(change_pct), 4) AS avg_pct
+    over_obs(MOVES + """ SELECT brand, obs_date, count(*) AS n, count(DISTINCT product_id) AS products, count(DISTINCT country) AS countries, string_agg(DISTINCT country, ',' ORDER BY country) AS where_, round(avg(change_pct) + 1e-9, 4) AS avg_pct
     FROM moves WHERE change_pct < 0 GROUP BY brand, obs_date HAVING count(DISTINCT product_id) >= 2""")
 )
 def brand_cluster(spark, sf_dir):
@@ -91,7 +95,7 @@ def brand_cluster(spark, sf_dir):
     return rows.where("products >= 2")
 
 
-@query(over_obs(MOVES + " SELECT category, CAST(date_trunc('month', obs_date) AS DATE) AS month, count(DISTINCT brand) AS brands, count(*) AS cuts, round(median(change_pct), 4) AS median_cut FROM moves WHERE change_pct < 0 GROUP BY ALL HAVING count(DISTINCT brand) >= 3"))
+@query(over_obs(MOVES + " SELECT category, CAST(date_trunc('month', obs_date) AS DATE) AS month, count(DISTINCT brand) AS brands, count(*) AS cuts, round(median(change_pct) + 1e-9, 4) AS median_cut FROM moves WHERE change_pct < 0 GROUP BY ALL HAVING count(DISTINCT brand) >= 3"))
 def category_war(spark, sf_dir):
     rows = moves(spark, sf_dir).where("change_pct < 0").groupBy("category", F.to_date(F.date_trunc("month", "obs_date")).alias("month"))
     return rows.agg(F.countDistinct("brand").alias("brands"), F.count("*").alias("cuts"), r4(F.median("change_pct")).alias("median_cut")).where("brands >= 3")
@@ -99,7 +103,7 @@ def category_war(spark, sf_dir):
 
 @query(
     over_obs(MOVES + """, s AS (SELECT *, 10 * least(abs(change_pct), 60) * CASE WHEN brand = 'Brand#1' THEN 2.5 ELSE 1 END * CASE WHEN is_official = 1 THEN 1.5 ELSE 1 END * CASE WHEN days_span <= 30 THEN 1.3 ELSE 1 END AS score FROM moves WHERE change_pct BETWEEN -60 AND 40)
-    SELECT product_id, country, currency, obs_date, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY score DESC, product_id, currency, obs_date) AS r FROM s) WHERE r <= 5""")
+    SELECT product_id, country, currency, obs_date, round(score + 1e-9, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY score DESC, product_id, currency, obs_date) AS r FROM s) WHERE r <= 5""")
 )
 def move_importance(spark, sf_dir, per_country=5):
     """Importance: size (capped) times matched, official and fresh boosts; moves beyond the hard bounds drop out. Best few of each country."""

@@ -61,7 +61,7 @@ def channel_health(spark, sf_dir):
     return rows.groupBy(F.col("user_id").alias("channel_id")).agg(n.alias("attempts"), bad.alias("failed"), ok.alias("ok"), verdict.alias("verdict"))
 
 
-@query(over_obs(""" SELECT title, country, brand, seller_kind, round(sale_price, 4) AS sale_price, obs_date, channel_id FROM obs WHERE lower(title) LIKE '%ring%' AND country = 'NATION_3' AND discount_pct > 0 AND sale_price BETWEEN 100 AND 3000 ORDER BY sale_price, obs_date DESC, channel_id, title LIMIT 50"""))
+@query(over_obs(""" SELECT title, country, brand, seller_kind, round(sale_price + 1e-9, 4) AS sale_price, obs_date, channel_id FROM obs WHERE lower(title) LIKE '%ring%' AND country = 'NATION_3' AND discount_pct > 0 AND sale_price BETWEEN 100 AND 3000 ORDER BY sale_price, obs_date DESC, channel_id, title LIMIT 50"""))
 def price_search(spark, sf_dir, keyword="ring", country="NATION_3", brand=None, seller_kind=None, low=100, high=3000, discounted=True, limit=50):
     """Search with optional filters; the caller fills values in, never SQL."""
     rows = observations(spark, sf_dir).where(flt.optional(country=country, brand=brand, seller_kind=seller_kind) & flt.contains_any_case("title", keyword) & F.col("sale_price").between(low, high))
@@ -102,7 +102,7 @@ def set_except(spark, sf_dir):
 
 
 @query(over_obs(""", s AS (SELECT DISTINCT country, brand, category FROM obs WHERE discount_pct > 9), n AS (SELECT country, count(*) AS n FROM s GROUP BY country), i AS (SELECT x.country AS a, y.country AS b, count(*) AS shared FROM s x JOIN s y ON x.brand = y.brand AND x.category = y.category AND x.country < y.country GROUP BY ALL)
-    SELECT a, b, round(shared / (na.n + nb.n - shared), 4) AS jaccard FROM i JOIN n na ON na.country = a JOIN n nb ON nb.country = b"""))
+    SELECT a, b, round(shared / (na.n + nb.n - shared) + 1e-9, 4) AS jaccard FROM i JOIN n na ON na.country = a JOIN n nb ON nb.country = b"""))
 def set_jaccard(spark, sf_dir):
     """Jaccard similarity of countries' promoted assortments."""
     s = observations(spark, sf_dir).where("discount_pct > 9").groupBy("country").agg(F.collect_set(F.struct("brand", "category")).alias("s"))
@@ -120,7 +120,7 @@ def archive_manifest(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT user_id, event_type, ts, value, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events), s AS (SELECT *, CASE WHEN p IS NULL OR ts >= p + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM e)
-    SELECT user_id, sum(new) AS sessions, count(*) AS events, round(sum(value), 4) AS value FROM s GROUP BY user_id""")
+    SELECT user_id, sum(new) AS sessions, count(*) AS events, round(sum(value) + 1e-9, 4) AS value FROM s GROUP BY user_id""")
 def run_rollup(spark, sf_dir):
     """Runs by session window with their totals."""
     e = read(spark, sf_dir, "events")

@@ -28,7 +28,7 @@ def bm25_scores(spark, sf_dir, terms=TERMS, k1=1.5, b=0.75):
     return tf.join(df, "t").crossJoin(stats).groupBy("doc_id").agg(F.sum(part).alias("score"))
 
 
-@query(BM25 + " SELECT doc_id, round(score, 4) AS score FROM sc")
+@query(BM25 + " SELECT doc_id, round(score + 1e-9, 4) AS score FROM sc")
 def bm25(spark, sf_dir):
     return bm25_scores(spark, sf_dir).select("doc_id", r4(F.col("score")).alias("score"))
 
@@ -44,12 +44,12 @@ def cosines(spark, sf_dir, query_id=0):
     return e.crossJoin(q).where(F.size("e") == F.size("q")).select("vec_id", F.try_divide(dot("e", "q"), F.sqrt(dot("e", "e") * dot("q", "q"))).alias("sim"))
 
 
-@query(COS + " SELECT vec_id, round(sim, 4) AS sim FROM c")
+@query(COS + " SELECT vec_id, round(sim + 1e-9, 4) AS sim FROM c")
 def cosine(spark, sf_dir):
     return cosines(spark, sf_dir).select("vec_id", r4(F.col("sim")).alias("sim"))
 
 
-@query(COS + " SELECT vec_id, round(sim, 4) AS sim FROM c WHERE vec_id <> 0 ORDER BY round(sim, 6) DESC, vec_id LIMIT 20")
+@query(COS + " SELECT vec_id, round(sim + 1e-9, 4) AS sim FROM c WHERE vec_id <> 0 ORDER BY round(sim, 6) DESC, vec_id LIMIT 20")
 def cosine_topk(spark, sf_dir, k=20):
     return cosines(spark, sf_dir).where("vec_id <> 0").orderBy(F.desc(F.round("sim", 6)), "vec_id").limit(k).select("vec_id", r4(F.col("sim")).alias("sim"))
 

@@ -28,7 +28,7 @@ def _is(s):
 
 
 @query(REV + """ SELECT product_id, aspect, count(*) AS mentions, count(CASE WHEN sentiment = 'positive' THEN 1 END) AS pos, count(CASE WHEN sentiment = 'negative' THEN 1 END) AS neg, count(CASE WHEN sentiment = 'neutral' THEN 1 END) AS neutral, count(*) - count(sentiment) AS unknown,
-    CASE WHEN count(sentiment) > 0 THEN round(count(CASE WHEN sentiment = 'positive' THEN 1 END) / count(sentiment), 4) END AS pos_rate FROM rev GROUP BY product_id, aspect""")
+    CASE WHEN count(sentiment) > 0 THEN round(count(CASE WHEN sentiment = 'positive' THEN 1 END) / count(sentiment) + 1e-9, 4) END AS pos_rate FROM rev GROUP BY product_id, aspect""")
 def voc_radar(spark, sf_dir):
     """Aspect sentiment; the rate's denominator leaves out what nobody judged."""
     g = reviews(spark, sf_dir).groupBy("product_id", "aspect")
@@ -36,7 +36,7 @@ def voc_radar(spark, sf_dir):
 
 
 @query(REV + """, a AS (SELECT product_id, aspect, count(sentiment) AS n, count(CASE WHEN sentiment = 'positive' THEN 1 END) AS pos FROM rev GROUP BY ALL HAVING count(sentiment) >= 2), b AS (SELECT aspect, sum(pos) / sum(n) AS base FROM a GROUP BY aspect)
-    SELECT product_id, a.aspect, n, round(pos / n, 4) AS rate, round(base, 4) AS base, round(pos / n - base, 4) AS deviation FROM a JOIN b ON a.aspect = b.aspect""")
+    SELECT product_id, a.aspect, n, round(pos / n + 1e-9, 4) AS rate, round(base + 1e-9, 4) AS base, round(pos / n - base + 1e-9, 4) AS deviation FROM a JOIN b ON a.aspect = b.aspect""")
 def voc_rank(spark, sf_dir, least=2):
     """Each product's rate on an aspect against the mention-weighted mean of all products."""
     a = reviews(spark, sf_dir).groupBy("product_id", "aspect").agg(F.count("sentiment").alias("n"), _is("positive").alias("pos")).where(F.col("n") >= least)
@@ -45,7 +45,7 @@ def voc_rank(spark, sf_dir, least=2):
     return a.select("product_id", "aspect", "n", r4(F.col("pos") / F.col("n")).alias("rate"), r4(base).alias("base"), r4(F.col("pos") / F.col("n") - base).alias("deviation"))
 
 
-@query(REV + """, l AS (SELECT product_id, min(review_date) AS launch FROM rev GROUP BY ALL) SELECT rev.product_id, CAST(date_diff('day', launch, review_date) // 30 AS INTEGER) AS bucket, count(*) AS n, count(*) < 2 AS thin, CASE WHEN count(*) >= 2 THEN round(avg(rating), 4) END AS rating
+@query(REV + """, l AS (SELECT product_id, min(review_date) AS launch FROM rev GROUP BY ALL) SELECT rev.product_id, CAST(date_diff('day', launch, review_date) // 30 AS INTEGER) AS bucket, count(*) AS n, count(*) < 2 AS thin, CASE WHEN count(*) >= 2 THEN round(avg(rating) + 1e-9, 4) END AS rating
     FROM rev JOIN l ON rev.product_id = l.product_id WHERE date_diff('day', launch, review_date) < 360 GROUP BY ALL""")
 def voc_decay(spark, sf_dir, bucket_days=30, max_days=360, least=2):
     """Ratings by time since launch; thin buckets are marked and have no mean."""
@@ -62,7 +62,7 @@ def voc_sentiment_source(spark, sf_dir):
 
 
 @query(REV + """, t AS (SELECT count(*) AS base, count(CASE WHEN n_chars >= 15 THEN 1 END) AS usable, count(sentiment) AS judged, count(CASE WHEN sentiment <> 'neutral' THEN 1 END) AS polar FROM rev)
-    SELECT step, n, round(100.0 * n / base, 4) AS pct FROM (SELECT base, unnest(['base', 'usable', 'judged', 'polar']) AS step, unnest([base, usable, judged, polar]) AS n FROM t)""")
+    SELECT step, n, round(100.0 * n / base + 1e-9, 4) AS pct FROM (SELECT base, unnest(['base', 'usable', 'judged', 'polar']) AS step, unnest([base, usable, judged, polar]) AS n FROM t)""")
 def voc_coverage(spark, sf_dir):
     """The funnel from all reviews to judged ones, as shares of the first step."""
     t = reviews(spark, sf_dir).agg(F.count("*").alias("base"), F.count(F.when(F.col("n_chars") >= 15, 1)).alias("usable"), F.count("sentiment").alias("judged"), F.count(F.when(F.col("sentiment") != "neutral", 1)).alias("polar"))
@@ -71,7 +71,7 @@ def voc_coverage(spark, sf_dir):
 
 
 @query(REV + """, m AS (SELECT product_id, date_trunc('month', review_date) AS mo, count(*) AS n FROM rev GROUP BY ALL), mm AS (SELECT product_id, max(n) / sum(n) AS share FROM m GROUP BY product_id)
-    SELECT rev.product_id, count(*) AS n, round(avg(CASE WHEN rating = 5 THEN 1.0 ELSE 0.0 END), 4) AS five_share, round(avg(CASE WHEN rating = 1 THEN 1.0 ELSE 0.0 END), 4) AS one_share, median(n_chars) AS median_len, round(any_value(share), 4) AS peak_month_share,
+    SELECT rev.product_id, count(*) AS n, round(avg(CASE WHEN rating = 5 THEN 1.0 ELSE 0.0 END) + 1e-9, 4) AS five_share, round(avg(CASE WHEN rating = 1 THEN 1.0 ELSE 0.0 END) + 1e-9, 4) AS one_share, median(n_chars) AS median_len, round(any_value(share) + 1e-9, 4) AS peak_month_share,
     CASE WHEN any_value(share) > 0.5 THEN 'burst' WHEN avg(CASE WHEN rating = 5 THEN 1.0 ELSE 0.0 END) > 0.6 THEN 'praised' WHEN avg(CASE WHEN rating = 1 THEN 1.0 ELSE 0.0 END) > 0.3 THEN 'panned' ELSE 'steady' END AS why
     FROM rev JOIN mm ON rev.product_id = mm.product_id GROUP BY rev.product_id HAVING count(*) >= 5""")
 def review_signals(spark, sf_dir):
@@ -84,7 +84,7 @@ def review_signals(spark, sf_dir):
     return g.select("product_id", "n", r4(F.col("s5")).alias("five_share"), r4(F.col("s1")).alias("one_share"), "median_len", r4(F.col("share")).alias("peak_month_share"), why.alias("why"))
 
 
-@query(REV + " SELECT product_id, count(*) AS n, round(avg(rating), 4) AS rating, count(CASE WHEN sentiment = 'negative' THEN 1 END) AS neg FROM rev GROUP BY product_id HAVING count(*) >= 5 ORDER BY n DESC, product_id LIMIT 20")
+@query(REV + " SELECT product_id, count(*) AS n, round(avg(rating) + 1e-9, 4) AS rating, count(CASE WHEN sentiment = 'negative' THEN 1 END) AS neg FROM rev GROUP BY product_id HAVING count(*) >= 5 ORDER BY n DESC, product_id LIMIT 20")
 def review_insights(spark, sf_dir, limit=20):
     """The report of the most reviewed products."""
     g = reviews(spark, sf_dir).groupBy("product_id").agg(F.count("*").alias("n"), r4(F.avg("rating")).alias("rating"), _is("negative").alias("neg"))
@@ -92,7 +92,7 @@ def review_insights(spark, sf_dir, limit=20):
 
 
 @query(REV + """, y AS (SELECT product_id, channel_id, count(*) AS reviews, avg(rating) AS price FROM rev GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY reviews DESC, price DESC, product_id) AS rn, avg(reviews) OVER (PARTITION BY channel_id) AS yield FROM y)
-    SELECT channel_id, product_id, reviews, rn, round(rn / greatest(0.15, least(2.0, yield / 5)), 4) AS turn FROM k""")
+    SELECT channel_id, product_id, reviews, rn, round(rn / greatest(0.15, least(2.0, yield / 5)) + 1e-9, 4) AS turn FROM k""")
 def review_targets(spark, sf_dir):
     """Yield-weighted round robin: a channel that brings more gets its next product sooner."""
     y = reviews(spark, sf_dir).groupBy("product_id", "channel_id").agg(F.count("*").alias("reviews"), F.avg("rating").alias("price"))

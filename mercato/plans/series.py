@@ -36,13 +36,13 @@ def carried(spark, sf_dir):
     return rows.select("user_id", "day", "v", last.alias("price"), filled.alias("is_filled"))
 
 
-@query(DAILY + " SELECT user_id, day, round(filled, 4) AS price, v IS NULL AND filled IS NOT NULL AS is_filled FROM l")
+@query(DAILY + " SELECT user_id, day, round(filled + 1e-9, 4) AS price, v IS NULL AND filled IS NOT NULL AS is_filled FROM l")
 def locf_series(spark, sf_dir):
     """Carry the last price forward over the calendar, never back."""
     return carried(spark, sf_dir).select("user_id", "day", r4(F.col("price")).alias("price"), "is_filled")
 
 
-@query(DAILY + ", f AS (SELECT *, first_value(filled IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS base FROM l) SELECT user_id, day, round(100 * filled / nullif(base, 0), 4) AS index_100 FROM f WHERE filled IS NOT NULL")
+@query(DAILY + ", f AS (SELECT *, first_value(filled IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS base FROM l) SELECT user_id, day, round(100 * filled / nullif(base, 0) + 1e-9, 4) AS index_100 FROM f WHERE filled IS NOT NULL")
 def index_series(spark, sf_dir):
     """Each line against its own first price = 100."""
     w = Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -55,7 +55,7 @@ PAIRS = """, g AS (SELECT user_id % 10 AS series, user_id, day, filled FROM l WH
     m AS (SELECT series, day, median(ratio) AS step, count(ratio) AS pairs FROM p GROUP BY series, day)"""
 
 
-@query(DAILY + PAIRS + " SELECT series, day, pairs, round(100 * exp(sum(coalesce(ln(CASE WHEN pairs >= 3 AND step > 0 THEN step END), 0)) OVER (PARTITION BY series ORDER BY day)), 4) AS chain_index FROM m")
+@query(DAILY + PAIRS + " SELECT series, day, pairs, round(100 * exp(sum(coalesce(ln(CASE WHEN pairs >= 3 AND step > 0 THEN step END), 0)) OVER (PARTITION BY series ORDER BY day)) + 1e-9, 4) AS chain_index FROM m")
 def product_chain_index(spark, sf_dir):
     """The chained matched-pair index on carried lines: the product of daily median ratios of members present on both days. Members that enter or leave do not move it."""
     g = carried(spark, sf_dir).where("price is not null").withColumn("series", F.col("user_id") % 10)
@@ -80,7 +80,7 @@ def _fixed_basket(spark, sf_dir):
     DAILY + """, b AS (SELECT d.*, user_id % 10 AS series FROM d), act AS (SELECT series, count(DISTINCT day) AS active FROM b GROUP BY series),
     mem AS (SELECT b.series, user_id FROM b JOIN act USING (series) GROUP BY b.series, user_id, active HAVING count(*) >= greatest(2, floor(active * 0.6))),
     sz AS (SELECT series, count(*) AS members FROM mem GROUP BY series)
-    SELECT b.series, b.day, count(*) AS present, CASE WHEN count(*) >= 0.5 * members THEN round(median(b.v), 4) END AS level FROM b JOIN mem ON b.user_id = mem.user_id JOIN sz ON sz.series = b.series GROUP BY b.series, b.day, members"""
+    SELECT b.series, b.day, count(*) AS present, CASE WHEN count(*) >= 0.5 * members THEN round(median(b.v) + 1e-9, 4) END AS level FROM b JOIN mem ON b.user_id = mem.user_id JOIN sz ON sz.series = b.series GROUP BY b.series, b.day, members"""
 )
 def basket_level(spark, sf_dir):
     """The median of a fixed basket, null on days when under half of it is present."""
@@ -169,7 +169,7 @@ def launch_cards(spark, sf_dir, days=365):
 @query(
     over_obs(""", t AS (SELECT country, category, currency, product_id, median(sale_price) AS p FROM obs WHERE product_kind = 'device' GROUP BY ALL),
     k AS (SELECT *, count(*) OVER c AS n, rank() OVER (PARTITION BY country, category, currency ORDER BY p) AS r FROM t WINDOW c AS (PARTITION BY country, category, currency))
-    SELECT country, category, currency, product_id, n, CASE WHEN n >= 8 THEN round((r - 1) / n, 4) END AS pct_rank FROM k""")
+    SELECT country, category, currency, product_id, n, CASE WHEN n >= 8 THEN round((r - 1) / n + 1e-9, 4) END AS pct_rank FROM k""")
 )
 def percentile_rank_cohort(spark, sf_dir):
     """Share of the cohort that is strictly cheaper; cohorts under 8 have none."""

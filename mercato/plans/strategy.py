@@ -20,7 +20,7 @@ def tracks(spark, sf_dir):
     return d.groupBy("product_id", "country", "currency", "rom_gb").agg(F.count("*").alias("days"), F.min("obs_date").alias("first_day"), F.max("obs_date").alias("last_day"), F.min_by("p", "obs_date").alias("first_p"), F.max_by("p", "obs_date").alias("last_p"), F.max("ch").alias("ch"))
 
 
-@query(over_obs(TRACK + " SELECT product_id, country, currency, rom_gb, days, first_day, last_day, round(first_p, 4) AS first_price, round(last_p, 4) AS last_price, round((last_p / nullif(first_p, 0) - 1) * 100, 4) AS drift_pct, ch AS channels FROM t"))
+@query(over_obs(TRACK + " SELECT product_id, country, currency, rom_gb, days, first_day, last_day, round(first_p + 1e-9, 4) AS first_price, round(last_p + 1e-9, 4) AS last_price, round((last_p / nullif(first_p, 0) - 1) * 100 + 1e-9, 4) AS drift_pct, ch AS channels FROM t"))
 def strategy_tracks(spark, sf_dir):
     return tracks(spark, sf_dir).select("product_id", "country", "currency", "rom_gb", "days", "first_day", "last_day", r4(F.col("first_p")).alias("first_price"), r4(F.col("last_p")).alias("last_price"), r4((F.try_divide(F.col("last_p"), F.col("first_p")) - 1) * 100).alias("drift_pct"), F.col("ch").alias("channels"))
 

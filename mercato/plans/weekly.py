@@ -16,7 +16,7 @@ week = lambda c="obs_date": F.to_date(F.date_trunc("week", c))
 
 @query(over_obs(f""", f AS (SELECT product_id, country, min(obs_date) AS d FROM obs GROUP BY ALL), n AS (SELECT CAST(date_trunc('week', d) AS DATE) AS week, count(DISTINCT product_id) AS new_products FROM f GROUP BY ALL)
     SELECT w.*, coalesce(new_products, 0) AS new_products FROM (SELECT {WEEK} AS week, count(*) AS obs, count(DISTINCT product_id) AS products, count(DISTINCT channel_id) AS channels, count(DISTINCT country) AS countries, count(CASE WHEN audit_status = 'pending' THEN 1 END) AS pending,
-      count(CASE WHEN brand = '{OWN_BRAND}' THEN 1 END) AS own_obs, round(avg(discount_pct), 4) AS avg_discount FROM obs GROUP BY ALL) w LEFT JOIN n ON n.week = w.week"""))
+      count(CASE WHEN brand = '{OWN_BRAND}' THEN 1 END) AS own_obs, round(avg(discount_pct) + 1e-9, 4) AS avg_discount FROM obs GROUP BY ALL) w LEFT JOIN n ON n.week = w.week"""))
 def weekly_overview(spark, sf_dir):
     obs = observations(spark, sf_dir)
     new = obs.groupBy("product_id", "country").agg(F.min("obs_date").alias("d")).groupBy(week("d").alias("week")).agg(F.countDistinct("product_id").alias("new_products"))
@@ -70,7 +70,7 @@ def coverage30(spark, sf_dir, days=30):
 
 
 @query(over_obs(""", t AS (SELECT country, category, currency, product_id, count(*) AS n, median(sale_price) AS mid FROM obs WHERE obs_date > (SELECT max(obs_date) FROM obs) - INTERVAL 365 DAY GROUP BY ALL)
-    SELECT country, category, product_id, n, round(mid, 4) AS mid FROM (SELECT *, row_number() OVER (PARTITION BY country, category, currency ORDER BY n DESC, product_id) AS r FROM t) WHERE r <= 3"""))
+    SELECT country, category, product_id, n, round(mid + 1e-9, 4) AS mid FROM (SELECT *, row_number() OVER (PARTITION BY country, category, currency ORDER BY n DESC, product_id) AS r FROM t) WHERE r <= 3"""))
 def top_products(spark, sf_dir, each=3):
     t = flt.recent(observations(spark, sf_dir), 365).groupBy("country", "category", "currency", "product_id").agg(F.count("*").alias("n"), F.median("sale_price").alias("mid"))
     w = Window.partitionBy("country", "category", "currency").orderBy(F.desc("n"), "product_id")
@@ -78,7 +78,7 @@ def top_products(spark, sf_dir, each=3):
 
 
 @query(over_obs(""", f AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY CASE WHEN obs_date > m - INTERVAL 90 DAY THEN 0 ELSE 1 END, CASE WHEN obs_date > m - INTERVAL 90 DAY THEN -discount_pct ELSE 0 END, obs_date DESC, sale_price, channel_id) AS r FROM obs, (SELECT max(obs_date) AS m FROM obs) WHERE discount_pct > 0)
-    SELECT product_id, country, obs_date, round(discount_pct, 4) AS discount_pct FROM f WHERE r = 1"""))
+    SELECT product_id, country, obs_date, round(discount_pct + 1e-9, 4) AS discount_pct FROM f WHERE r = 1"""))
 def focus_list(spark, sf_dir, days=90):
     """A product's deepest cut within the period, else its latest."""
     obs = observations(spark, sf_dir)
