@@ -72,7 +72,8 @@ def license_lines(spark, sf_dir):
     return d.select("doc_id", "lang", F.length("text").alias("n_chars"), F.lower("text").rlike(r"\b(license|licensed)\b").alias("has_license"))
 
 
-@query()
+@query("""WITH s AS (SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS section, unnest(parts) AS body FROM (SELECT doc_id, string_split(regexp_replace(text, '\\n\\n', chr(1), 'g'), chr(1)) AS parts FROM documents)),
+    c AS (SELECT doc_id, section, body, unnest(generate_series(0, greatest(0, length(body) - 151), 750)) AS pos FROM s) SELECT doc_id, section, CAST(pos // 750 AS INTEGER) AS chunk, substring(body, pos + 1, 900) AS text FROM c""")
 def knowledge_chunks(spark, sf_dir, size=900, overlap=150):
     """Texts in overlapping chunks by heading or blank line, each with its place."""
     d = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"\n(?=#)|\n\n")).alias("section", "body"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.text import UI_NOISE, review_reject_reason
 from ..sources.tables import read
 from .registry import query
+from .textual import review_reason_sql
 
 r4 = lambda c: F.round(c + 1e-9, 4)
 REV = """WITH rev AS (SELECT d.doc_id AS review_id, d.doc_id % 50 AS product_id, d.doc_id % 7 AS channel_id, d.lang, length(d.text) AS n_chars, CAST('2024-01-01' AS DATE) + CAST(d.doc_id % 400 AS INTEGER) AS review_date,
@@ -109,8 +111,12 @@ def suspect_batches(spark, sf_dir):
     return c.groupBy("conv_id").agg(n.alias("turns"), ((n != F.max(t) + 1) | (F.min(t) != 0) | (F.countDistinct(t) != n)).alias("suspect"), F.sum(F.when(F.col("role") == "assistant", F.length("text")).otherwise(0)).alias("answer_chars"))
 
 
-@query("""SELECT review_id, product_id, r AS reason FROM (SELECT doc_id AS review_id, doc_id % 50 AS product_id, CASE WHEN length(trim(text)) = 0 THEN 'empty' WHEN length(trim(text)) < 15 THEN 'short' WHEN length(trim(text)) > 20000 THEN 'long' ELSE 'kept' END AS r FROM documents)""")
+_TRIAGE = f"CASE WHEN reason IN ({', '.join(repr(r) for r in UI_NOISE)}) THEN 'delete' WHEN reason = 'too_short' THEN 'short' WHEN reason = 'not_language' THEN 'doubtful' ELSE 'kept' END"
+
+
+@query(f"SELECT doc_id AS review_id, reason, {_TRIAGE} AS triage FROM ({review_reason_sql('documents', 'doc_id')})")
 def dirty_reviews(spark, sf_dir):
-    d = read(spark, sf_dir, "documents")
-    n = F.length(F.trim("text"))
-    return d.select(F.col("doc_id").alias("review_id"), (F.col("doc_id") % 50).alias("product_id"), F.when(n == 0, "empty").when(n < 15, "short").when(n > 20000, "long").otherwise("kept").alias("reason"))
+    """Every stored review in one of four classes. Only what is certainly a page's own text is to be deleted."""
+    reason = F.col("reason")
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("review_id"), review_reject_reason(F.col("text")).alias("reason"))
+    return rows.withColumn("triage", F.when(reason.isin(*UI_NOISE), "delete").when(reason == "too_short", "short").when(reason == "not_language", "doubtful").otherwise("kept"))

@@ -63,16 +63,34 @@ def json_props(spark, sf_dir):
     return e.select("event_id", k.alias("k"), (k % 2 == 0).alias("even"), F.to_date(F.date_trunc("week", "ts")).alias("week"))
 
 
-@query("SELECT conv_id, turn, role, CASE WHEN length(trim(text)) = 0 THEN 'empty' WHEN length(trim(text)) < 15 THEN 'short' ELSE 'ok' END AS reason FROM conversations")
+_ICONS = r"(?i)\b(" + "|".join(tx.ICON_WORDS) + r")\b"
+_IN = lambda words: ", ".join(f"'{w}'" for w in words)
+
+
+def review_reason_sql(table: str, cols: str) -> str:
+    """``cols`` and reason of the texts of a table, by the rules of ``review_reject_reason``."""
+    return rf"""WITH r1 AS (SELECT {cols}, trim(regexp_replace(coalesce(text, ''), '[ \t]+', ' ', 'g')) AS raw FROM {table}),
+    r2 AS (SELECT *, trim(regexp_replace(regexp_replace(raw, '{_ICONS}', ' ', 'g'), '[ \t]+', ' ', 'g')) AS t FROM r1),
+    r3 AS (SELECT *, translate(lower(t), 'áàâãäéèêëíìîïóòôõöúùûüñç', 'aaaaaeeeeiiiiooooouuuunc') AS low, regexp_replace(t, '\s+', ' ', 'g') AS flat, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ln FROM r2),
+    r4 AS (SELECT *, len(list_filter(ln, lambda x: regexp_matches(x, '^[0-9.,]{{1,7}}$'))) AS bare, length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) / nullif(length(t), 0) AS letters FROM r3)
+    SELECT {cols}, CASE WHEN length(t) < 15 THEN CASE WHEN regexp_matches(raw, '{_ICONS}') THEN 'icon_only' ELSE 'too_short' END WHEN low IN ({_IN(tx.CONTROLS)}) THEN 'ui_only' WHEN regexp_matches(low, '{"|".join(tx.PAGE_WORDS)}') THEN 'chrome'
+    WHEN regexp_matches(t, '^[0-9][0-9 /.,]*$') THEN 'scale_only' WHEN regexp_matches(flat, '(?i)\b5 [0-9]+ 4 [0-9]+ 3 [0-9]+ 2 [0-9]+') THEN 'histogram' WHEN regexp_matches(flat, '(?i)[0-9][.,][0-9] (out of|de|sobre) 5|based on [0-9]+ reviews') THEN 'summary'
+    WHEN len(regexp_extract_all(flat, '(?i)[1-5] (stars?|estrellas?|estrelas?)')) >= 3 OR len(regexp_extract_all(flat, '\b[1-5] +[0-9]{{1,3}} ?%')) >= 3 THEN 'rating_dist' WHEN letters < 0.55 THEN 'low_letter' WHEN len(ln) >= 4 AND bare >= 0.5 * len(ln) THEN 'vertical_hist'
+    WHEN NOT (regexp_matches(t, '\p{{L}}{{8,}}') OR len(regexp_extract_all(flat, '\p{{L}}{{3,}}')) >= 4) THEN 'not_language' END AS reason FROM r4"""
+
+
+@query(review_reason_sql("conversations", "conv_id, turn, role"))
 def review_gate(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations")
-    n = F.length(F.trim("text"))
-    return c.select("conv_id", "turn", "role", F.when(n == 0, "empty").when(n < 15, "short").otherwise("ok").alias("reason"))
+    """Why each text would not pass as a review."""
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", tx.review_reject_reason(F.col("text")).alias("reason"))
+
+
+_BLOCK = " ".join(f"WHEN regexp_matches(lower(substring(text, 1, 4000)), '{'|'.join(words)}') THEN '{kind}'" for kind, words in tx.BLOCK_WORDS.items())
 
 
-@query()
+@query(rf"""SELECT doc_id, round(length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) / nullif(length(text), 0) + 1e-9, 4) AS letters, CASE {_BLOCK} ELSE 'none' END AS block, len(regexp_extract_all(lower(text), '[a-z0-9\x{{00C0}}-\x{{024F}}]+'))
+    + list_sum(list_transform(regexp_extract_all(text, '[\x{{4E00}}-\x{{9FFF}}]{{2,}}'), lambda x: length(x) - 1)) AS tokens FROM documents""".replace("+ list_sum(list_transform(", "+ coalesce(list_sum(list_transform(").replace("lambda x: length(x) - 1))", "lambda x: length(x) - 1)), 0)"))
 def text_kinds(spark, sf_dir):
-    """Ladders over whole texts: what rejects a review, the kind of event, the share of letters."""
-    d = read(spark, sf_dir, "documents")
+    """Over whole texts: the share of letters, the kind of an intercepted page, tokens of words and of neighbouring characters."""
     t = F.col("text")
-    return d.select("doc_id", tx.review_reject_reason(t).alias("reject"), tx.event_kind(t).alias("kind"), F.round(tx.letter_ratio(t), 6).alias("letters"), tx.block_kind(t).alias("block"), F.size(tx.tokens(t)).alias("tokens"))
+    return read(spark, sf_dir, "documents").select("doc_id", r4(tx.letter_ratio(t)).alias("letters"), tx.block_kind(t).alias("block"), F.size(tx.tokens(t)).cast("long").alias("tokens"))
