@@ -14,13 +14,13 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.bit_xor(F.xxhash64("v", "u"))).first())
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, most_rounds: int = 200) -> DataFrame:
     """(node, component): the smallest reachable id of each linked id except the smallest itself.
 
     ``links`` has long columns u, v in any order; repeated links and self-links do no harm, and null ends are
     left out. Each round costs two aggregations and two joins of the links; a node with very many links
     is only aggregated (combined before the shuffle) or split by the adaptive skew join. Rounds grow with
-    the logarithm of the longest chain. An empty table gives no rows.
+    the logarithm of the longest chain; if ``most_rounds`` are not enough, that is an error. An empty table gives no rows.
     """
     spark = links.sparkSession
     pairs = links.where("u is not null and v is not null and u <> v")
@@ -40,4 +40,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         was, sign = sign, _signature(edges)
         if was == sign:
             break
+    else:
+        if sign[0]:
+            raise RuntimeError(f"the components are not settled after {most_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

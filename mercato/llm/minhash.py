@@ -5,9 +5,11 @@ Every pair of a half-key of the first and one of the second collection is the ke
 of ``2 * rows`` minima cost ``2 * m * rows`` minima instead of ``2 * m * m * rows``. ``m`` follows from the threshold:
 a linked pair shares no table with probability under ``2 * miss``.
 
-Candidates are verified on full shingle sets. Pairs of a crowded bucket are not all emitted: members are first
-held against the smallest member, then only members of different components meet, so a bucket of near copies costs
-as many pairs as it has members and no link between components is lost.
+Candidates are verified on full shingle sets. Pairs of a crowded bucket are not emitted: members are held against the bucket's
+hub, the member with the least share of shingles of its own. A member x that is not linked to its hub h can be linked to a member y of
+another component in two ways only. Either they share a shingle that h lacks, so x and y meet by equality on (h, shingle), again
+through a hub of that group first. Or all they share is in h; then ``J(x, y) >= t > J(x, h)`` makes y smaller than h, by a size
+that x bounds, so they meet by equality on (h, size). Nothing else in a bucket has to meet, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -52,8 +54,9 @@ class Tensor:
 _SIGNED_ROWS = "doc_id long, n_shingles long, set_hi long, set_lo long, left_keys array<long>, right_keys array<long>"
 
 
-def _signatures(m: int, rows: int, words: int):
+def _signatures(run_id: str, m: int, rows: int, words: int):
     def run(batches):
+        common.only(run_id)
         tensor = Tensor(m, rows)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
@@ -64,6 +67,7 @@ def _signatures(m: int, rows: int, words: int):
                 half = lambda lo, hi: pa.array([None if k is None else k[lo:hi] for k in keys], pa.list_(pa.int64()))
                 cols = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), half(0, m), half(m, 2 * m)]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "set_hi", "set_lo", "left_keys", "right_keys"])
+        common.release()
 
     return run
 
@@ -86,6 +90,22 @@ def _exploded(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(sets), np.int64)), pa.array(np.repeat(ids, sizes))], names=["h", "doc_id"])
 
 
+_OUTSIDE = "hub long, rep long, n long, rank double, both long, outside array<long>"
+
+
+def _outside(batches):
+    """How many shingles a member shares with its hub, and those that the hub lacks."""
+    for batch in batches:
+        shared, rest = [], []
+        for x, h in zip(batch.column("hx").to_pylist(), batch.column("hy").to_pylist()):
+            x = np.frombuffer(x, np.int64)
+            there = np.isin(x, np.frombuffer(h, np.int64), assume_unique=True)
+            shared.append(int(there.sum()))
+            rest.append(x[~there])
+        cols = [*(batch.column(c) for c in ("hub", "rep", "n", "rank")), pa.array(shared, pa.int64()), pa.array(rest, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(cols, names=["hub", "rep", "n", "rank", "both", "outside"])
+
+
 def _verdicts(percent: int):
     def run(batches):
         for batch in batches:
@@ -100,6 +120,7 @@ def _verdicts(percent: int):
                 both = int(np.count_nonzero(z[1:] == z[:-1]))
                 linked.append(100 * both >= percent * (len(z) - both))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(linked, pa.bool_())], names=["u", "v", "linked"])
+            common.release()
 
     return run
 
@@ -117,27 +138,34 @@ def near_duplicates(
     spark = docs.sparkSession
     common.ship(spark)
     m = half_keys_needed(percent, rows, miss)
+    paths: list[str] = []
+
+    def made(label: str, df: DataFrame) -> DataFrame:
+        paths.append(common.write_table(df, label))
+        return spark.read.schema(df.schema).parquet(paths[-1])
+
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = common.table(narrow.mapInArrow(_signatures(m, rows, words), _SIGNED_ROWS), "signed")
+    signed = made("signed", narrow.mapInArrow(_signatures(common.new_run(), m, rows, words), _SIGNED_ROWS))
     some = signed.where("doc_id is not null and n_shingles > 0")
     first = some.groupBy("set_hi", "set_lo").agg(F.min(F.struct("doc_id", "left_keys", "right_keys")).alias("x"))
-    reps = common.table(first.select("set_hi", "set_lo", F.col("x.doc_id").alias("rep"), "x.left_keys", "x.right_keys"), "reps")
+    reps = made("reps", first.select("set_hi", "set_lo", F.col("x.doc_id").alias("rep"), "x.left_keys", "x.right_keys"))
     rows_ = reps.select("rep", F.posexplode("left_keys").alias("i", "a"), "right_keys").select("rep", "i", "a", F.posexplode("right_keys").alias("j", "b"))
-    keyed = rows_.select(F.xxhash64("i", "a", "j", "b").alias("key"), "i", "j", "rep")
-    w = Window.partitionBy("key")
-    shared = keyed.select("key", "i", "j", "rep", F.min("rep").over(w).alias("hub"), F.max("rep").over(w).alias("top")).where("hub <> top").drop("top")
-    buckets = common.table(shared, "buckets")
+    keyed = rows_.select(F.xxhash64("i", "a", "j", "b").alias("key"), "rep")
+    # The ends of a bucket are aggregated, combined before the shuffle; its rows come by a join whose skew is split.
+    ends = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub <> top").select("key")
+    buckets = made("buckets", keyed.select("key", "rep").join(ends, "key"))
     wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    sets = common.table(narrow.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, hashes binary"), "sets")
+    sets = made("sets", narrow.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, hashes binary"))
 
     # A shingle that no other candidate has is in no intersection: ``own`` of them bound what a document can share.
     once = sets.mapInArrow(_exploded, "h long, doc_id long").groupBy("h").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).where("rep = top")
     own = once.groupBy("rep").agg(F.count("*").alias("own"))
     sized = sets.select(F.col("doc_id").alias("rep"), (F.octet_length("hashes") / 8).cast("long").alias("n")).distinct()
     sized = sized.join(own, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("may")).where(100 * F.col("may") >= percent * F.col("n"))
-    able = common.table(buckets.select("key", "i", "j", "rep").join(sized, "rep"), "able")
+    able = made("able", buckets.join(sized, "rep"))
     hubs = able.groupBy("key").agg(F.min(F.struct((-F.col("may") / F.col("n")).alias("rank"), "rep", "n", "may")).alias("h"), F.count("*").alias("k")).where("k > 1")
-    members = common.table(able.join(hubs, "key").select("key", "i", "j", "rep", "n", "may", F.col("h.rep").alias("hub"), "h.rank", F.col("h.n").alias("hn"), F.col("h.may").alias("hmay")), "members")
+    of_hub = able.join(hubs, "key").select("rep", "n", "may", F.col("h.rep").alias("hub"), "h.rank", F.col("h.n").alias("hn"), F.col("h.may").alias("hmay"))
+    members = made("members", of_hub.distinct())
 
     def could(n, may, hn, hmay):
         both = F.least(F.col(may), F.col(hmay))
@@ -146,7 +174,7 @@ def near_duplicates(
     def verify(pairs: DataFrame) -> DataFrame:
         x, y = sets.select(F.col("doc_id").alias("u"), F.col("hashes").alias("hx")), sets.select(F.col("doc_id").alias("v"), F.col("hashes").alias("hy"))
         both = pairs.join(x, "u").join(y, "v").select("u", "v", "hx", "hy")
-        return common.table(both.mapInArrow(_verdicts(percent), "u long, v long, linked boolean"), "verdicts")
+        return made("verdicts", both.mapInArrow(_verdicts(percent), "u long, v long, linked boolean"))
 
     def with_component(df: DataFrame, col: str, out: str) -> DataFrame:
         c = found.select(F.col("node").alias(col), F.col("component").alias("_c"))
@@ -155,32 +183,58 @@ def near_duplicates(
     # 1. Each member against the most central hub of its buckets, the one with the least share of shingles of its own.
     spokes = members.where("rep <> hub").where(could("n", "may", "hn", "hmay"))
     tested = verify(spokes.groupBy("rep").agg(F.min(F.struct("rank", "hub")).alias("h")).select(F.col("rep").alias("u"), F.col("h.hub").alias("v")))
-    found = components(tested.where("linked"))
+    found = components(tested.where("linked").select("u", "v"))
     # 2. Members against the hub of every bucket, where not yet in one component.
     open_ = with_component(with_component(spokes.select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct(), "u", "cu"), "v", "cv")
     more = verify(open_.where("cu <> cv").select("u", "v").join(tested.select("u", "v"), ["u", "v"], "left_anti"))
     tested = tested.unionByName(more)
     found = components(_edges(found).unionByName(more.where("linked").select("u", "v")))
-    # 3. Members of a bucket that are in different components still and could share enough.
-    # A pair that shares many tables is emitted at the first only: the first equal half-key on either side.
-    marked = common.table(with_component(members.select("key", "i", "j", "rep", "n", "may"), "rep", "c"), "marked")
-    sizes = marked.groupBy("key", "c").agg(F.count("*").alias("k"))
-    mixed = sizes.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
-    halves = reps.select("rep", "left_keys", "right_keys")
-    both_sides = common.table(marked.join(mixed, "key").join(halves, "rep"), "mixed")
-    rest = both_sides.where("c <> main").select("key", F.col("rep").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("may").alias("mx"), F.col("left_keys").alias("lx"), F.col("right_keys").alias("rx"))
-    first = lambda p, q: F.array_position(F.zip_with(p, q, lambda a, b: a == b), F.lit(True)) - 1
-    fits = (F.col("c") != F.col("cx")) & ((F.col("c") == F.col("main")) | (F.col("x") > F.col("rep"))) & could("n", "may", "nx", "mx") & (first("left_keys", "lx") == F.col("i")) & (first("right_keys", "rx") == F.col("j"))
-    cross = rest.withColumnRenamed("key", "key_x").join(both_sides, (F.col("key_x") == F.col("key")) & fits).select(F.greatest("x", "rep").alias("u"), F.least("x", "rep").alias("v")).distinct()
-    done = tested.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    more = verify(cross.join(done, ["u", "v"], "left_anti"))
+    # 3. Members whose component is not their hub's are not linked to it. They meet others of the hub on what the hub lacks, or by size.
+    def parted(df: DataFrame) -> DataFrame:
+        return with_component(with_component(df, "rep", "c"), "hub", "ch")
+
+    far_hubs = parted(members.select("hub", "rep")).where("c <> ch").select("hub").distinct()
+    mixed = members.join(far_hubs, "hub").select("hub", "rep", "n", (-F.col("may") / F.col("n")).alias("rank"))
+    x, y = sets.select(F.col("doc_id").alias("rep"), F.col("hashes").alias("hx")), sets.select(F.col("doc_id").alias("hub"), F.col("hashes").alias("hy"))
+    outs = made("outside", mixed.join(x, "rep").join(y, "hub").select("hub", "rep", "n", "rank", "hx", "hy").mapInArrow(_outside, _OUTSIDE))
+
+    def strangers(df: DataFrame) -> DataFrame:
+        """Rows of (hub, shingle) groups that hold more than one component, with c and ch."""
+        df = parted(df.drop("c", "ch"))
+        several = df.groupBy("hub", "e").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct("rank", "rep")).alias("sub")).where("lo <> hi")
+        return df.join(several.select("hub", "e", "sub"), ["hub", "e"])
+
+    met = made("met", strangers(outs.select("hub", "rep", "n", "rank", "both", F.explode("outside").alias("e"))))
+    done = made("done", tested.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    ordered = lambda df, p, q: df.select(F.greatest(p, q).alias("u"), F.least(p, q).alias("v")).distinct().join(done, ["u", "v"], "left_anti")
+    to_sub = met.select("rep", F.col("sub.rep").alias("sub")).where("rep <> sub").distinct()
+    apart = with_component(with_component(to_sub, "rep", "cu"), "sub", "cv").where("cu <> cv")
+    more = verify(ordered(apart, "rep", "sub"))
+    found = components(_edges(found).unionByName(more.where("linked").select("u", "v")))
+    done = done.unionByName(more.select("u", "v"))
+
+    left = made("left", strangers(met.drop("sub")).drop("sub"))
+    shares = left.groupBy("hub", "rep").agg(F.count("*").alias("ns"))
+    left = left.join(shares, ["hub", "rep"])
+    enough = lambda both, n: both * (100 + percent) >= percent * n
+    fx = left.where("c <> ch").select("hub", "e", F.col("rep").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("both").alias("bx"), F.col("ns").alias("sx"))
+    by_shingle = left.join(fx, ["hub", "e"]).where((F.col("c") != F.col("cx")) & enough(F.least("both", "bx") + F.least("ns", "sx"), F.col("n") + F.col("nx")))
+    known = parted(outs.select("hub", "rep", "n", "both"))
+    low, high = F.ceil(F.col("n") * percent / 100), F.least(F.floor(F.col("both") * (100 + percent) / percent) - F.col("n"), F.floor(F.col("n") * 100 / percent))
+    sizes = known.where("c <> ch").where(low <= high).select("hub", F.col("rep").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("both").alias("bx"), F.explode(F.sequence(low, high)).alias("n"))
+    by_size = known.join(sizes, ["hub", "n"]).where((F.col("c") != F.col("cx")) & enough(F.least("both", "bx"), F.col("n") + F.col("nx")))
+    more = verify(ordered(by_shingle.select("x", "rep").unionByName(by_size.select("x", "rep")), "x", "rep"))
     found = components(_edges(found).unionByName(more.where("linked").select("u", "v")))
 
     named = with_component(reps.select("set_hi", "set_lo", "rep"), "rep", "component_id")
     out = signed.select("doc_id", "n_shingles", "set_hi", "set_lo").join(named, ["set_hi", "set_lo"], "left")
     mine = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), mine).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = common.table(out, "near_duplicates")
+    for p in paths:
+        common.drop_table(spark, p)
+    return out
 
 
 def _edges(found: DataFrame) -> DataFrame:
