@@ -160,5 +160,6 @@ def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "la
                 part = batch.slice(a, 256)
                 pred, score, _ = model.value.predict(part.column(at).to_pylist())
                 yield part.filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score)], pa.bool_()))
+        common.release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -127,13 +127,18 @@ _FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 _MEASURED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, pattern int"
 
 
-def _measured(batches):
-    for batch in batches:
-        for a in range(0, batch.num_rows, 512):
-            part = batch.slice(a, 512)
-            m = measure(part.column(1))
-            cols = [part.column(0), *(pa.array(m[f]) for f in _FIELDS), pa.array(base_failed(m)), pa.array(patterns(m).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *_FIELDS, "base_failed", "pattern"])
+def _measured(run_id: str):
+    def run(batches):
+        common.only(run_id)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                m = measure(part.column(1))
+                cols = [part.column(0), *(pa.array(m[f]) for f in _FIELDS), pa.array(base_failed(m)), pa.array(patterns(m).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *_FIELDS, "base_failed", "pattern"])
+        common.release()
+
+    return run
 
 
 def fit(counts: dict[int, int], rounds: int = 200, prior: float = 0.1, strength: float = 0.02) -> dict:
@@ -169,7 +174,7 @@ def fit(counts: dict[int, int], rounds: int = 200, prior: float = 0.1, strength:
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     common.ship(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(_measured, _MEASURED)
+    return narrow.mapInArrow(_measured(common.new_run()), _MEASURED)
 
 
 def fit_table(rows: DataFrame) -> dict:
@@ -206,5 +211,6 @@ def keep_good(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> Da
                 m = measure(part.column(at))
                 quality = np.array([good.get(p, 0.0) for p in patterns(m).tolist()])
                 yield part.filter(pa.array(~base_failed(m) & (quality >= least)))
+        common.release()
 
     return docs.mapInArrow(run, docs.schema)

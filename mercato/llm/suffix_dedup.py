@@ -14,7 +14,6 @@ chunks, and a slice settles them across chunks.
 
 from __future__ import annotations
 
-import hashlib
 import os
 from collections.abc import Iterator
 from itertools import groupby
@@ -46,20 +45,16 @@ class _Roll:
         return common.mix64((self.sums[end] - self.sums[start]) * self.down[start])
 
 
-_POWERS: list[np.ndarray] = []
-
-
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
+    both = common.held("powers", None, list)
+    if not both or len(both[0]) < n:
         size = max(n, 1 << 17)
-        inverse = pow(_BASE, -1, 2**64)
-        both = []
-        for base in (_BASE, inverse):
+        both[:] = []
+        for base in (_BASE, pow(_BASE, -1, 2**64)):
             x = np.full(size, np.uint64(base))
             x[0] = 1
             both.append(np.multiply.accumulate(x))
-        _POWERS[:] = both
-    return _POWERS[0][:n], _POWERS[1][:n]
+    return both[0][:n], both[1][:n]
 
 
 _PLACE = 24
@@ -94,8 +89,9 @@ def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 _ANCHORS = "ah long, ch long, doc_id long, pos int"
 
 
-def _find_anchors(length: int):
+def _find_anchors(run_id: str, length: int):
     def run(batches):
+        common.only(run_id)
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
@@ -105,6 +101,7 @@ def _find_anchors(length: int):
                     found.append((ah.view(np.int64), ch.view(np.int64), np.full(len(at), doc_id, np.int64), at.astype(np.int32)))
                 cols = [pa.array(np.concatenate(x)) for x in zip(*found)]
                 yield pa.RecordBatch.from_arrays(cols, names=["ah", "ch", "doc_id", "pos"])
+        common.release()
 
     return run
 
@@ -285,7 +282,7 @@ def covered(docs: DataFrame, length: int = 100, most_contexts: int = 512) -> Dat
     """doc_id, start, size of byte runs to remove; their union is exactly the covered bytes. ``docs``: doc_id, text."""
     spark = docs.sparkSession
     some = docs.where("doc_id is not null and text is not null")
-    found = some.mapInArrow(_find_anchors(length), _ANCHORS)
+    found = some.mapInArrow(_find_anchors(common.new_run(), length), _ANCHORS)
     found = found.repartition(F.col("ah")).sortWithinPartitions("ah", "ch", "doc_id", "pos")
     group, context = Window.partitionBy("ah"), Window.partitionBy("ah", "ch").orderBy("doc_id", "pos")
     first = F.first(F.struct("doc_id", "pos")).over(context)
@@ -361,7 +358,3 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = docs.schema.add("_n_bytes", "long").add("_n_removed", "long").add("_n_spans", "long")
     schema = schema.add("_new", "string") if decode else schema.add("_kept", "binary")
     return both.mapInArrow(_removed(names.index(text_col), names, decode), schema)
-
-
-def sha256_hex(raw: bytes) -> str:
-    return hashlib.sha256(raw).hexdigest()
