@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .chunked_tokens import cut
+from .chunked_tokens import cut, gather, slices
 
 
 def byte_symbols() -> dict[str, int]:
@@ -176,7 +176,7 @@ def compile_automaton(words: list[bytes]) -> dict[str, np.ndarray]:
 
 
 class Lexicon:
-    """A memory-mapped automaton with the ids of its pieces."""
+    """A memory-mapped automaton with the ids of its pieces; nothing of it is copied to the heap."""
 
     def __init__(self, file: str):
         raw = np.load(file, mmap_mode="r")
@@ -185,15 +185,24 @@ class Lexicon:
         for n in head:
             parts.append(raw[at : at + n])
             at += n
-        self.edge, self.to, self.out, self.final, self.starts, self.ids = parts
+        self.edge, self.to, self.out, self.final, self.starts, packed = parts
+        self.ids = packed.view("<u4")  # two in a 64-bit number
 
     @staticmethod
     def write(file: str, words: list[bytes], ids: list[bytes]) -> None:
         a = compile_automaton(words)
-        flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
-        parts = [a["edge"], a["to"], a["out"], a["final"], np.cumsum([0] + [len(i) // 4 for i in ids]), flat]
+        flat = b"".join(ids)
+        packed = np.frombuffer(flat + b"\0" * (-len(flat) % 8), "<i8")
+        parts = [a["edge"], a["to"], a["out"], a["final"], np.cumsum([0] + [len(i) // 4 for i in ids]), packed]
         np.save(file, np.concatenate([np.array([len(p) for p in parts], np.int64), *parts]))
 
+    def ids_of(self, ranks: np.ndarray) -> list[bytes]:
+        """The ids of pieces by rank, as little-endian unsigned 32-bit integers."""
+        begin = self.starts[ranks]
+        sizes = self.starts[ranks + 1] - begin
+        raw, ends = gather(self.ids, begin, sizes).tobytes(), (4 * np.cumsum(sizes)).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
     def ranks(self, pieces: list[bytes]) -> np.ndarray:
         """Each piece's rank, or -1; all pieces take a step at once."""
         n = len(pieces)
@@ -222,10 +231,8 @@ class Lexicon:
 
 
 class LexiconEncoder:
-    def __init__(self, lexicon: Lexicon, merger: Merger, most: int = 1_000_000):
+    def __init__(self, lexicon: Lexicon, merger: Merger, most: int = 300_000):
         self.lexicon, self.merger, self.most, self.merged = lexicon, merger, most, {}
-        self.ids = np.ascontiguousarray(lexicon.ids).astype("<u4").tobytes()
-        self.starts = (np.asarray(lexicon.starts) * 4).tolist()
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         special = self.merger.special
@@ -233,13 +240,15 @@ class LexiconEncoder:
         wanted = set(chain.from_iterable(c for c in split if c))
         marked = [p for p in wanted if p[-1] in _MARKS and p[:-1].removeprefix(" ").isalpha()]  # the mark is a split of its own
         pieces = list(wanted.difference(marked).union(p[:-1] for p in marked).union(p[-1] for p in marked))
-        ids, starts, merged, table = self.ids, self.starts, self.merged, {}
+        merged = self.merged
         if len(merged) > self.most:
             merged.clear()
-        for p, r in zip(pieces, self.lexicon.ranks([p.encode() for p in pieces]).tolist()):
-            if r >= 0:
-                table[p] = ids[starts[r] : starts[r + 1]]
-            elif p in merged:
+        ranks = self.lexicon.ranks([p.encode() for p in pieces])
+        there = np.flatnonzero(ranks >= 0)
+        table = dict(zip((pieces[i] for i in there.tolist()), self.lexicon.ids_of(ranks[there])))
+        for i in np.flatnonzero(ranks < 0).tolist():
+            p = pieces[i]
+            if p in merged:
                 table[p] = merged[p]
             else:
                 table[p] = x = self.merger.piece(p)
@@ -266,22 +275,16 @@ class LexiconEncoder:
         return b"".join(map(self.merger.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_HELD: dict[tuple, object] = {}
-
-
-def held(kind: str, make, *key):
-    """One object of a kind for a key in a worker process; the last key's stays."""
-    if (kind, key) not in _HELD:
-        for k in [k for k in _HELD if k[0] == kind]:
-            del _HELD[k]
-        _HELD[kind, key] = make()
-    return _HELD[kind, key]
-
-
 def frequent_pieces(docs: DataFrame, text_col: str, most: int) -> list[str]:
-    """The ``most`` commonest pieces of all texts (ties: smaller piece). Counts cover every text; the driver gets ``most`` rows."""
+    """The commonest pieces of all texts, at most ``most`` of those that occur more than once.
+
+    Counts cover every text. How often a piece must occur follows from a histogram of the counts, in sixteenths of a power of two, so the
+    driver gets its few rows and the pieces above that bound, never more than ``most``.
+    """
+    run_id = common.new_run()
 
     def count(batches):
+        common.only(run_id)
         seen: Counter = Counter()
 
         def rows():
@@ -289,16 +292,23 @@ def frequent_pieces(docs: DataFrame, text_col: str, most: int) -> list[str]:
             seen.clear()
             return out
 
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                seen.update(chain.from_iterable(cut(t) for t in batch.column(0).slice(a, 1024).to_pylist() if t))
-                if len(seen) > 1_000_000:
-                    yield rows()
+        for part in slices(batches, 0):
+            seen.update(chain.from_iterable(cut(t) for t in part.column(0).to_pylist() if t))
+            if len(seen) > 300_000:
+                yield rows()
         yield rows()
 
+    spark = docs.sparkSession
     counts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "piece string, n long").where(F.length("piece") <= 64)
-    top = counts.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(most)
-    return [r["piece"] for r in top.collect()]
+    path = common.write_table(counts.groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1").withColumn("level", F.floor(F.log2("n") * 16).cast("int")), "pieces")
+    kept = spark.read.schema("piece string, n long, level int").parquet(path)
+    levels = sorted(((r["level"], r["count"]) for r in kept.groupBy("level").count().collect()), reverse=True)
+    total = np.cumsum([n for _, n in levels])
+    enough = int(np.searchsorted(total, most, side="right"))  # so many of the highest levels fit
+    least = levels[enough - 1][0] if enough else None
+    out = sorted(r["piece"] for r in kept.where(F.col("level") >= least).select("piece").collect()) if enough else []
+    common.drop_table(spark, path)
+    return out
 
 
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, pattern: str | None = None, most_pieces: int = 65_536) -> DataFrame:
@@ -320,12 +330,13 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Lexicon.write(str(local), words, [merger.piece(w.decode()) for w in words])
     spark.sparkContext.addFile(str(local))  # the driver serves it; every executor gets a copy of its own to map
 
+    run_id = common.new_run()
+
     def run(batches):
-        enc = held("lexicon", lambda: LexiconEncoder(Lexicon(SparkFiles.get(name)), Merger(path, pattern)), name, path, pattern)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
-                ids = enc.encode_many([t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([enc.decode(i) for i in ids], pa.string())], names=["doc_id", "ids", "decoded"])
+        common.only(run_id)
+        enc = common.held("lexicon", name, lambda: LexiconEncoder(Lexicon(SparkFiles.get(name)), Merger(path, pattern)))
+        for part in slices(batches, most_bytes=4 << 20):
+            ids = enc.encode_many([t or "" for t in part.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([enc.decode(i) for i in ids], pa.string())], names=["doc_id", "ids", "decoded"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary, decoded string")
