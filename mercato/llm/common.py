@@ -46,6 +46,14 @@ def release() -> None:
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def new_run() -> str:
     return uuid.uuid4().hex
 

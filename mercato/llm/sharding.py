@@ -71,7 +71,7 @@ def shuffle_into_shards(
     """``rows`` with ``shard_col`` (0 to shards - 1) and ``slot_col`` (its place there, gapless from 0).
 
     A uniformly random assignment for a seed: all shards have the same number of rows or one more, and every order of the
-    rows is equally likely. The input is read twice, first for the sizes of its source partitions; it must not change meanwhile.
+    rows is equally likely. The input is read three times, for its size, the sizes of its source partitions and its rows; it must not change meanwhile.
     A null key has a source partition as any other value has; rows with equal keys are spread by their other columns'
     hash, and wholly equal rows are interchangeable. An empty table gives no rows. Columns named like the two results are
     replaced. Wide columns travel with the rows: select what is needed.
@@ -82,8 +82,10 @@ def shuffle_into_shards(
     total = rows.count()
     part_rows = max(part_rows, total // most_parts)
     sources = max(least_sources, -(-total // part_rows))
-    base = rows.select(*names, every.alias("__order")).withColumn("__source", F.pmod(F.xxhash64(F.lit(~seed), F.col(key), "__order"), F.lit(sources)).cast("int"))
-    counts = {r[0]: r[1] for r in base.groupBy("__source").count().collect()}
+    # The caller's columns travel as one struct, so none of their names can clash with a helper's.
+    base = rows.select(F.struct(*names).alias("row"), every.alias("order"), F.col(key).alias("key"))
+    base = base.withColumn("source", F.pmod(F.xxhash64(F.lit(~seed), F.col("key"), "order"), F.lit(sources)).cast("int"))
+    counts = {r[0]: r[1] for r in base.groupBy("source").count().collect()}
 
     sizes = [total // shards + (s < total % shards) for s in range(shards)]
     parts = []  # (shard, first slot, size)
@@ -96,13 +98,13 @@ def shuffle_into_shards(
     for p, row in enumerate(matrix):
         begin = np.cumsum(row) - row
         cells += [(p, int(begin[j]), int(j), parts[j][0], parts[j][1]) for j in np.flatnonzero(row)]
-    marks = spark.createDataFrame(cells, "__source int, __begin long, __part int, __shard int, __first long")
+    marks = spark.createDataFrame(cells, "source int, begin long, part int, shard int, first long")
 
-    local = Window.partitionBy("__source").orderBy("__order", key)
-    dealt = base.withColumn("__at", F.row_number().over(local) - F.lit(1))
-    both = dealt.withColumn("__mark", F.lit(1)).unionByName(marks.select("__source", F.col("__begin").alias("__at"), "__part", "__shard", "__first").withColumn("__mark", F.lit(0)), allowMissingColumns=True)
-    along = Window.partitionBy("__source").orderBy("__at", "__mark").rowsBetween(Window.unboundedPreceding, 0)
+    local = Window.partitionBy("source").orderBy("order", "key")
+    dealt = base.withColumn("at", F.row_number().over(local) - F.lit(1)).withColumn("mark", F.lit(1))
+    both = dealt.unionByName(marks.select("source", F.col("begin").alias("at"), "part", "shard", "first", F.lit(0).alias("mark")), allowMissingColumns=True)
+    along = Window.partitionBy("source").orderBy("at", "mark").rowsBetween(Window.unboundedPreceding, 0)
     last = lambda c: F.last(c, ignorenulls=True).over(along).alias(c)
-    sent = both.select(*names, "__order", "__mark", last("__part"), last("__shard"), last("__first")).where("__mark = 1")
-    again = Window.partitionBy("__part").orderBy(F.xxhash64(F.lit(seed + 1), "__order"), "__order", key)
-    return sent.select(*names, F.col("__shard").alias(shard_col), (F.col("__first") + F.row_number().over(again) - 1).cast("long").alias(slot_col))
+    sent = both.select("row", "key", "order", "mark", last("part"), last("shard"), last("first")).where("mark = 1")
+    again = Window.partitionBy("part").orderBy(F.xxhash64(F.lit(seed + 1), "order"), "order", "key")
+    return sent.select("row.*", F.col("shard").alias(shard_col), (F.col("first") + F.row_number().over(again) - 1).cast("long").alias(slot_col))
