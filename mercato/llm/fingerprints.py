@@ -98,11 +98,13 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(len(bounds).bit_length())), ends, step)["lo"]
 
 
-def with_next(docs: DataFrame, id_col: str, cols: list[str], bucket_rows: int = 1000, most_buckets: int = 16384) -> DataFrame:
-    """``docs`` with next_<c> for each of ``cols``: the value of the next row in descending id; the first row follows the last.
+def with_next(docs: DataFrame, id_col: str, cols: list[str], prepare=lambda df: df, bucket_rows: int = 1000, most_buckets: int = 131_072) -> DataFrame:
+    """``prepare(docs)`` with next_<c> for each of ``cols``: the value of the next row in descending id; the first row follows the last.
 
-    Rows go once to buckets of consecutive ids, as many as there are ``bucket_rows`` up to ``most_buckets``; a bucket's neighbour
-    row is sent along. Null ids come last; equal ids are ordered by the columns. The driver gets the buckets' bounds.
+    Rows go once to buckets of consecutive ids, as many as there are ``bucket_rows`` up to ``most_buckets``, beyond which buckets grow and
+    are sorted with spilling; a bucket's neighbour row is sent along. ``prepare`` may add columns, row by row; it is applied to the neighbour
+    rows alone where they are copied, not to all rows again. Null ids come last; equal ids are ordered by the columns. The driver
+    gets the buckets' bounds.
     """
     key = F.col(id_col).cast("long")
     n = docs.count()
@@ -122,9 +124,10 @@ def with_next(docs: DataFrame, id_col: str, cols: list[str], bucket_rows: int =
         to = docs.sparkSession.createDataFrame(pairs, "__to int, __top long")
         ghosts = docs.join(F.broadcast(to), key == F.col("__top")).drop("__top").withColumnRenamed("__to", "__bucket").withColumn("__ghost", F.lit(1))
         both = both.unionByName(ghosts)
-    led = both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in cols], F.lead(F.lit(1)).over(w).alias("__has"))
+    led = prepare(both).select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in cols], F.lead(F.lit(1)).over(w).alias("__has"))
     fill = [F.when(F.col("__has").isNotNull(), F.col(f"next_{c}")).otherwise(F.col(c)).alias(f"next_{c}") for c in cols]
-    return led.where("__ghost = 0").select(*docs.columns, *fill)
+    own = [c for c in led.columns if c not in ("__ghost", "__bucket", "__has", *(f"next_{x}" for x in cols))]
+    return led.where("__ghost = 0").select(*own, *fill)
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,7 +137,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Null texts are empty; a single row is its own next. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    led = with_next(with_fingerprint(rows, "text", "fingerprint"), "doc_id", ["text", "fingerprint"])
+    led = with_next(rows, "doc_id", ["text", "fingerprint"], lambda df: with_fingerprint(df, "text", "fingerprint"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half))
