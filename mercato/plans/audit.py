@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.price import rom_bucket
 from ..operators import filters as flt
+from ..operators.quantiles import interpolated
 from ..sources.tables import observations, over_obs
 from .registry import query
 
@@ -25,9 +26,11 @@ def baselines(obs):
 
 def floors(obs, least=30):
     rows = obs.where((F.col("product_kind") == "device") & flt.audited("not_rejected"))
-    ok = F.when(flt.audited(), F.col("sale_price"))
-    mid = F.when(F.count(ok) >= least, F.median(ok)).when(F.count("*") >= least, F.median("sale_price"))
-    return rows.groupBy("country", "category", "currency").agg(mid.alias("mid"))
+    keys = ["country", "category", "currency"]
+    every = interpolated(rows, keys, "sale_price", {"all": 0.5})
+    ok = interpolated(rows.where(flt.audited()), keys, "sale_price", {"ok": 0.5}).withColumnRenamed("n", "ok_n")
+    mid = F.when(F.col("ok_n") >= least, F.col("ok")).when(F.col("n") >= least, F.col("all"))
+    return every.join(ok, keys, "left").select(*keys, mid.alias("mid"))
 
 
 @query(over_obs(BASE + " SELECT country, product_id, rom_gb, month, round(base + 1e-9, 4) AS base, n FROM base"))
@@ -103,4 +106,6 @@ def bucket_report(spark, sf_dir):
 
 @query(over_obs(" SELECT CASE WHEN rom_gb IS NULL OR rom_gb <= 0 THEN 'unknown' WHEN rom_gb <= 32 THEN '<=32' WHEN rom_gb <= 64 THEN '<=64' WHEN rom_gb <= 128 THEN '<=128' WHEN rom_gb <= 256 THEN '<=256' WHEN rom_gb <= 512 THEN '<=512' WHEN rom_gb <= 1024 THEN '<=1024' WHEN rom_gb <= 2048 THEN '<=2048' ELSE '>2048' END AS bucket, currency, count(*) AS n, round(min(sale_price) + 1e-9, 4) AS lowest, round(median(sale_price) + 1e-9, 4) AS mid FROM obs GROUP BY ALL"))
 def storage_buckets(spark, sf_dir):
-    return observations(spark, sf_dir).groupBy(rom_bucket(F.col("rom_gb")).alias("bucket"), "currency").agg(F.count("*").alias("n"), r4(F.min("sale_price")).alias("lowest"), r4(F.median("sale_price")).alias("mid"))
+    rows = observations(spark, sf_dir).select(rom_bucket(F.col("rom_gb")).alias("bucket"), "currency", "sale_price")
+    out = interpolated(rows, ["bucket", "currency"], "sale_price", {"lowest": 0.0, "mid": 0.5})
+    return out.select("bucket", "currency", "n", r4(F.col("lowest")).alias("lowest"), r4(F.col("mid")).alias("mid"))

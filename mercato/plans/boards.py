@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import filters as flt
+from ..operators.quantiles import at_ranks, interpolated
 from ..sources.tables import OWN_BRAND, observations, over_obs, read
 from .registry import query
 
@@ -23,12 +24,12 @@ OFFICIAL = "seller_kind IN ('self_operated', 'brand_official')"
 )
 def price_band(spark, sf_dir, days=720, min_n=5):
     """Quartiles of clean prices for each brand, one currency at a time; a brand far under its market's median is suspect, our own never."""
-    clean = flt.recent(observations(spark, sf_dir), days).where(flt.clean_device() & flt.audited())
-    band = clean.groupBy("currency", "category", "brand").agg(F.count("*").alias("n"), F.percentile("sale_price", [0.25, 0.5, 0.75]).alias("q")).where(F.col("n") >= min_n)
-    market = clean.groupBy("currency", "category").agg(F.median("sale_price").alias("mid"))
+    clean = observations(spark, sf_dir, days).where(flt.clean_device() & flt.audited())
+    band = interpolated(clean, ["currency", "category", "brand"], "sale_price", {"p25": 0.25, "p50": 0.5, "p75": 0.75}).where(F.col("n") >= min_n)
+    market = interpolated(clean, ["currency", "category"], "sale_price", {"mid": 0.5}).drop("n")
     return band.join(market, ["currency", "category"]).select(
-        "currency", "category", "brand", "n", r4(F.col("q")[0]).alias("p25"), r4(F.col("q")[1]).alias("p50"), r4(F.col("q")[2]).alias("p75"),
-        ((F.col("brand") != OWN_BRAND) & (F.col("q")[1] < 0.15 * F.col("mid"))).alias("suspect"),
+        "currency", "category", "brand", "n", r4(F.col("p25")).alias("p25"), r4(F.col("p50")).alias("p50"), r4(F.col("p75")).alias("p75"),
+        ((F.col("brand") != OWN_BRAND) & (F.col("p50") < 0.15 * F.col("mid"))).alias("suspect"),
     )
 
 
@@ -41,7 +42,7 @@ def price_band(spark, sf_dir, days=720, min_n=5):
 def discount_heat(spark, sf_dir, days=180, min_n=5):
     """Mean discount on the dense country x category grid; a thin cell is null, not zero. The centre uses the cells' own filter."""
     obs = observations(spark, sf_dir)
-    rows = flt.recent(obs, days).where(flt.not_accessory() & flt.audited())
+    rows = observations(spark, sf_dir, days).where(flt.not_accessory() & flt.audited())
     cells = rows.groupBy("country", "category").agg(F.count("*").alias("n"), F.avg("discount_pct").alias("d"))
     # 25 countries and a closed list of categories: both sides of the grid have a fixed size.
     grid = obs.select("country").distinct().crossJoin(F.broadcast(obs.select("category").distinct()))
@@ -82,7 +83,7 @@ def dashboard_matrix(spark, sf_dir, grain, days=90):
     all_rows = observations(spark, sf_dir).where(flt.not_accessory())
     key = ["period", "country", "category"]
     period = lambda c: F.to_date(F.date_trunc(grain, c)).alias("period")
-    base = flt.recent(all_rows, days).withColumn("period", period("obs_date"))
+    base = observations(spark, sf_dir, days).where(flt.not_accessory()).withColumn("period", period("obs_date"))
     promo = F.col("discount_pct") > 0
     acc = base.where(flt.audited()).groupBy(*key).agg(
         F.count("*").alias("obs"), F.countDistinct("product_id").alias("products"), F.countDistinct("channel_id").alias("channels"), F.avg(F.when(promo, F.col("discount_pct"))).alias("d"),
@@ -116,7 +117,7 @@ def dashboard_matrix_month(spark, sf_dir):
     FROM g GROUP BY ALL""")
 )
 def country_category_summary(spark, sf_dir, days=365):
-    rows = flt.recent(observations(spark, sf_dir), days).where(flt.not_accessory() & flt.audited())
+    rows = observations(spark, sf_dir, days).where(flt.not_accessory() & flt.audited())
     return rows.groupBy("country", "category").agg(
         F.count("*").alias("obs"), F.countDistinct("brand").alias("brands"), F.countDistinct("product_id").alias("products"), r4(F.median("sale_price")).alias("median_price"),
         r4(F.sum(flt.official().cast("double")) / F.count("*")).alias("official_share"), F.max("obs_date").alias("last_seen"),
@@ -198,13 +199,9 @@ _RANKED = """, f AS (SELECT currency, category, sale_price FROM obs WHERE produc
 )
 def promo_board_quantiles(spark, sf_dir):
     """Quantiles by integer rank (the median is the mean of the middle, quartiles are elements): not the interpolated ones of the price band."""
-    w = Window.partitionBy("currency", "category")
     q = observations(spark, sf_dir).where((F.col("product_kind") == "device") & flt.audited()).select("currency", "category", "sale_price")
-    q = q.withColumn("rn", F.row_number().over(w.orderBy("sale_price"))).withColumn("n", F.count("*").over(w))
-    at = lambda e: F.when(F.expr(e), F.col("sale_price"))
-    return q.groupBy("currency", "category").agg(
-        F.max("n").alias("n"), r4(F.avg(at("rn in ((n + 1) div 2, (n + 2) div 2)"))).alias("median"), r4(F.max(at("rn = (n + 3) div 4"))).alias("p25"), r4(F.max(at("rn = (3 * n + 3) div 4"))).alias("p75")
-    )
+    out = at_ranks(q, ["currency", "category"], "sale_price", {"lo": "(n + 1) div 2", "hi": "(n + 2) div 2", "a": "(n + 3) div 4", "b": "(3 * n + 3) div 4"})
+    return out.select("currency", "category", "n", r4((F.col("lo") + F.col("hi")) / 2).alias("median"), r4(F.col("a")).alias("p25"), r4(F.col("b")).alias("p75"))
 
 
 @query(
@@ -212,10 +209,9 @@ def promo_board_quantiles(spark, sf_dir):
 )
 def price_by_storage(spark, sf_dir):
     """Quantiles by floor index, the third definition, for before/after comparisons of repairs."""
-    w = Window.partitionBy("rom_gb", "currency")
-    q = observations(spark, sf_dir).where("product_kind = 'device'").select("rom_gb", "currency", "sale_price").withColumn("rn", F.row_number().over(w.orderBy("sale_price"))).withColumn("n", F.count("*").over(w))
-    at = lambda p: r4(F.max(F.when(F.col("rn") == F.least(F.floor(F.col("n") * p) + 1, F.col("n")), F.col("sale_price"))))
-    return q.groupBy("rom_gb", "currency").agg(F.max("n").alias("n"), at(0.05).alias("p5"), at(0.5).alias("p50"))
+    q = observations(spark, sf_dir).where("product_kind = 'device'").select("rom_gb", "currency", "sale_price")
+    out = at_ranks(q, ["rom_gb", "currency"], "sale_price", {"p5": "least(floor(n * 0.05D) + 1, n)", "p50": "least(floor(n * 0.5D) + 1, n)"})
+    return out.select("rom_gb", "currency", "n", r4(F.col("p5")).alias("p5"), r4(F.col("p50")).alias("p50"))
 
 
 @query(over_obs(""" SELECT country, category, audit_status, count(*) AS n FROM obs WHERE product_kind = 'device' GROUP BY GROUPING SETS ((country, audit_status), (category, audit_status))"""))

@@ -191,7 +191,7 @@ def floor_recheck(spark, sf_dir):
 @query(over_obs(", d AS (SELECT DISTINCT title, brand FROM obs WHERE obs_date > (SELECT max(obs_date) FROM obs) - 21) SELECT title, count(*) AS brands FROM d GROUP BY title ORDER BY brands DESC, title LIMIT 6"))
 def tracked_models(spark, sf_dir, days=21, limit=6):
     """The report of the models that queries are built from."""
-    d = flt.recent(observations(spark, sf_dir), days).select("title", "brand").distinct()
+    d = observations(spark, sf_dir, days).select("title", "brand").distinct()
     return d.groupBy("title").agg(F.count("*").alias("brands")).orderBy(F.desc("brands"), "title").limit(limit)
 
 

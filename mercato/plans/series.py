@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..operators import filters as flt
 from ..operators.asof import carry_forward, spine
+from ..operators.quantiles import interpolated
 from ..sources.shipping import ship
 from ..sources.tables import observations, over_obs, read
 from .registry import query
@@ -60,7 +61,9 @@ def product_chain_index(spark, sf_dir):
     """The chained matched-pair index on carried lines: the product of daily median ratios of members present on both days. Members that enter or leave do not move it."""
     g = carried(spark, sf_dir).where("price is not null").withColumn("series", F.col("user_id") % 10)
     ratio = F.try_divide(F.col("price"), F.lag("price").over(Window.partitionBy("user_id").orderBy("day")))
-    m = g.select("series", "day", ratio.alias("ratio")).groupBy("series", "day").agg(F.median("ratio").alias("step"), F.count("ratio").alias("pairs"))
+    ratios = g.select("series", "day", ratio.alias("ratio"))
+    steps = interpolated(ratios, ["series", "day"], "ratio", {"step": 0.5}).withColumnRenamed("n", "pairs")
+    m = g.select("series", "day").distinct().join(steps, ["series", "day"], "left").na.fill(0, ["pairs"])
     w = Window.partitionBy("series").orderBy("day")
     step = F.coalesce(F.ln(F.when((F.col("pairs") >= 3) & (F.col("step") > 0), F.col("step"))), F.lit(0.0))
     return m.select("series", "day", "pairs", r4(100 * F.exp(F.sum(step).over(w))).alias("chain_index"))

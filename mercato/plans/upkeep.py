@@ -137,7 +137,7 @@ _OUR = "CASE seller_kind WHEN 'brand_official' THEN 1 WHEN 'self_operated' THEN
 def own_price(spark, sf_dir, days=200):
     """Our price of a product: the brand's store before the retailer, before others; then the latest, then the lowest."""
     prio = F.when(F.col("seller_kind") == "brand_official", 1).when(F.col("seller_kind") == "self_operated", 2).otherwise(3)
-    rows = flt.recent(observations(spark, sf_dir), days).where((F.col("brand") == OWN_BRAND) & (F.col("product_kind") == "device")).withColumn("prio", prio)
+    rows = observations(spark, sf_dir, days).where((F.col("brand") == OWN_BRAND) & (F.col("product_kind") == "device")).withColumn("prio", prio)
     best = F.min_by(F.struct("prio", "sale_price"), F.struct("prio", (-F.unix_date("obs_date")).alias("age"), "sale_price"))
     return rows.groupBy("product_id", "country", "currency").agg(best.alias("b")).select("product_id", "country", "currency", "b.prio", r4(F.col("b.sale_price")).alias("price"))
 
@@ -204,7 +204,7 @@ def recent_events(spark, sf_dir, after=20, most=200):
 @query(over_obs(""", d AS (SELECT obs_date, country, count(*) AS n FROM obs WHERE obs_date > (SELECT max(obs_date) FROM obs) - 10 GROUP BY ALL) SELECT country, sum(n) AS n, count(*) AS days FROM d GROUP BY country"""))
 def replace_days(spark, sf_dir):
     """Signals of a day are replaced whole: each day is a partition that a second run writes again, so nothing is there twice."""
-    rows = flt.recent(observations(spark, sf_dir), 10).groupBy("obs_date", "country").agg(F.count("*").alias("n"))
+    rows = observations(spark, sf_dir, 10).groupBy("obs_date", "country").agg(F.count("*").alias("n"))
     path = new_path(spark, "signals")
     for _ in range(2):
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("obs_date").parquet(path)

@@ -5,6 +5,8 @@ An observation is a line item: the supplier is the channel, the nation the count
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,9 +52,21 @@ def countries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select("n_nationkey", F.col("n_name").alias("country"), F.col("r_name").alias("currency"))
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Price observations. Products and channels are joined as they come; their size decides how, at run time."""
+def latest(spark: SparkSession, sf_dir: str, name: str = "lineitem", col: str = "l_shipdate") -> date | None:
+    """The last day of a fact: one column of one table, not of the joined observations."""
+    return read(spark, sf_dir, name).agg(F.to_date(F.max(col)).alias("d")).first()["d"]
+
+
+def observations(spark: SparkSession, sf_dir: str, last_days: int | None = None) -> DataFrame:
+    """Price observations. Products and channels are joined as they come; their size decides how, at run time.
+
+    With ``last_days`` only those of so many days up to the fact's last one: a literal bound on the fact's own column, which reaches its
+    scan, so files and row groups before it are not read.
+    """
     li, part, sup = (read(spark, sf_dir, t) for t in ("lineitem", "part", "supplier"))
+    if last_days is not None and (now := latest(spark, sf_dir)):
+        first = F.lit(now - timedelta(days=last_days - 1)).cast(li.schema["l_shipdate"].dataType)
+        li = li.where(F.col("l_shipdate") >= first)
     price = F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))
     flag = F.create_map(*[F.lit(x) for x in ("N", "self_operated", "A", "brand_official", "R", "third_party")])
     size = F.col("p_size")
