@@ -1,7 +1,8 @@
 """A corpus from raw documents to packed sequences: five stages, each over all that the one before kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result to the shared folder as Parquet and reads it
-again, so a lost executor never repeats an earlier stage. All but the last return the columns of documents.
+again, so a lost executor never repeats an earlier stage. All but the last return the columns of documents, whatever further columns there
+are. Repeated rows count as often as they come, ties go to the smaller id, and an empty table goes through all stages.
 """
 
 from __future__ import annotations
@@ -22,19 +23,23 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base test or the weighed rules reject go."""
+    """Documents that the base test or the weighed rules reject go. A null or empty text has no words and fails the base test."""
     return keep_good(docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters or without a language that holds half of their words go."""
+    """Documents without letters or without a language that holds half of their words go; null texts have no letters."""
     return keep_identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    kept = near_duplicates(docs, percent=80).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id"))).select(*docs.columns)
+    """Of each group of near duplicates the document with the smallest id stays.
+
+    Documents without words and those with a null id link with nothing and stay. Rows that share the kept id stay together.
+    """
+    name = common.unused(docs, "_kept_id")
+    kept = near_duplicates(docs, percent=80).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name))).select(*docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +53,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining texts in sequences of 2048 ids."""
+    """Pieces of the remaining texts in sequences of 2048 ids. A null or empty text is its end id."""
     return pack_documents(docs)
 
 
