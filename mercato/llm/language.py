@@ -149,7 +149,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose strongest language holds at least ``least`` of the words, all columns kept."""
+    """The rows of ``docs`` whose strongest language holds at least ``least`` of the words, all columns kept.
+
+    Null texts and those without a letter go. On a tie the language that comes first by name is the strongest. Where nothing could be learned
+    every row goes. Repeated rows stay or go together; an empty table gives no rows.
+    """
     languages, logp = fit(docs.where(F.crc32(F.col(id_col).cast("string")) % 4 != 2), text_col, lang_col, id_col)
     model = docs.sparkSession.sparkContext.broadcast(Mixture(languages, logp))
     at = docs.columns.index(text_col)

@@ -133,7 +133,8 @@ def near_duplicates(
     Documents whose ``words``-word shingle sets (A-Z folded) have ``100 * intersection >= percent * union`` are
     linked; a component has its smallest id. Texts without words (null, empty, white space) have an empty set and
     link with nothing; a text of fewer words is one shingle. Rows with a null id are kept, link with
-    nothing and have a null component. Repeated rows are copies of each other under one id. Other columns are not read.
+    nothing and have a null component. Repeated rows are copies of each other under one id. Other columns are not read. An empty table
+    gives no rows; a text is hashed whole, 4096 shingles at a time. The result is a table in the shared folder, the steps' own are dropped.
     """
     spark = docs.sparkSession
     common.ship(spark)

@@ -172,6 +172,8 @@ def fit(counts: dict[int, int], rounds: int = 200, prior: float = 0.1, strength:
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Counts, base_failed and the vote pattern of each row; null is empty, repeated rows are rows, other columns are not read. A text is
+    measured whole: memory grows with the longest one."""
     common.ship(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(_measured(common.new_run()), _MEASURED)
@@ -199,7 +201,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns. The texts are read twice: to fit and to filter."""
+    """The rows of ``docs`` that are kept, with all their columns. The texts are read twice: to fit and to filter.
+
+    A null text has no words and goes. Repeated rows count as often as they come and stay or go together; ids play no part. An empty table
+    gives no rows. A posterior of exactly ``least`` is kept.
+    """
     numbered = docs.select(F.lit(0).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     good = fit_table(measured(numbered))["good"]
     at = docs.columns.index(text_col)
