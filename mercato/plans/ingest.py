@@ -78,7 +78,7 @@ def device_pages(spark, sf_dir):
     return pages_of(spark, sf_dir).select("p_partkey", one("chipset").alias("chipset"), F.regexp_extract(one("battery"), "([0-9]+)", 1).try_cast("int").alias("battery"))
 
 
-@query("SELECT doc_id, source, lang AS category, length(text) AS n_chars FROM documents WHERE doc_id % 2 = 0 OR doc_id % 2 = 1")
+@query("SELECT doc_id, source, lang AS category, length(text) AS n_chars FROM documents")
 def feed_items(spark, sf_dir):
     """Items of a feed: XML parsed by schema, with everything that markup needs escaped."""
     escaped = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))

@@ -85,10 +85,10 @@ def series_model_keys(spark, sf_dir):
     return written(spark, sf_dir, MODEL).select("p_partkey", F.array_join(sp.series_keys(t, ("nova", "luma")), ",").alias("keys"), g["family"].alias("family"), g["number"].alias("generation"))
 
 
-@query(f"""SELECT p_partkey, CASE k WHEN 0 THEN 'acme nova ' || CAST(p_size AS VARCHAR) || ' pro 8' WHEN 1 THEN 'nova ' || CAST(p_size AS VARCHAR) || ' pro' WHEN 2 THEN 'luma x ' || CAST(p_size AS VARCHAR) ELSE NULL END AS core FROM ({MODEL}) WHERE k < 3""")
+@query(f"""SELECT p_partkey, CASE k WHEN 0 THEN 'acme nova ' || CAST(p_size AS VARCHAR) || ' pro 8' WHEN 1 THEN 'nova ' || CAST(p_size AS VARCHAR) || ' pro' WHEN 2 THEN 'luma x ' || CAST(p_size AS VARCHAR) ELSE trim(regexp_replace(regexp_replace(title, '\\b(black|white|blue|red|green|new|sale)\\b', ' ', 'g'), '\\s+', ' ', 'g')) END AS core FROM ({MODEL})""")
 def core_models(spark, sf_dir):
     """Titles without memory, colour, network and promotion words."""
-    return written(spark, sf_dir, MODEL).where("k < 3").select("p_partkey", ls.core_model(F.col("title")).alias("core"))
+    return written(spark, sf_dir, MODEL).select("p_partkey", ls.core_model(F.col("title")).alias("core"))
 
 
 PAGE = """SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'Please solve the CAPTCHA' WHEN 1 THEN 'Too many requests' WHEN 2 THEN 'Just a moment' WHEN 3 THEN 'Sign in to see prices' WHEN 4 THEN 'Add to cart Compare ' || p_name WHEN 5 THEN p_name || ' - Agotado' ELSE p_name END AS page, p_partkey % 7 AS k FROM part"""
@@ -129,10 +129,10 @@ OFFER = """SELECT p_partkey, p_retailprice AS list_price, CASE p_partkey % 3 WHE
 
 
 @query(f"""SELECT p_partkey, CAST(CASE k WHEN 0 THEN 25.0 WHEN 1 THEN 0.0 END AS DOUBLE) AS discount, CASE WHEN j < 2 THEN 'card' ELSE 'public' END AS scope, CASE WHEN j = 2 THEN 12 END AS months, CASE WHEN j = 2 THEN CAST(99.5 AS DOUBLE) END AS amount,
-    list_price BETWEEN 950 AND 1500 AS sane, 'USD ' || printf('%.2f', round(list_price, 2)) AS shown FROM ({OFFER}) WHERE list_price < 1000""")
+    list_price BETWEEN 950 AND 1500 AS sane, 'USD ' || format('{{:,.2f}}', round(list_price, 2)) AS shown FROM ({OFFER})""")
 def offers(spark, sf_dir):
     """Discounts (unknown is not none), prices for card holders, instalments, bounds and formatting."""
-    rows = written(spark, sf_dir, OFFER).where("list_price < 1000")
+    rows = written(spark, sf_dir, OFFER)
     m, n = pr.installments(F.col("note")), F.col("note")
     sane = pr.is_sane(F.col("list_price"), F.lit(950), F.lit(1500))
     return rows.select("p_partkey", r4(pr.discount(F.col("list_price"), F.col("sale_price"))).alias("discount"), pr.price_scope(n).alias("scope"), m["months"].alias("months"), m["amount"].alias("amount"), sane.alias("sane"), pr.money(F.col("list_price"), F.lit("USD")).alias("shown"))

@@ -158,11 +158,11 @@ def protected_matches(spark, sf_dir):
     return protect(fresh, decided, ["mine", "rival", "country"])
 
 
-@query(over_obs(""", r AS (SELECT DISTINCT obs_date FROM obs WHERE channel_id % 7 = 3 AND obs_date > (SELECT max(obs_date) FROM obs) - 60) SELECT o.obs_date, count(*) AS n, round(min(sale_price) + 1e-9, 4) AS lowest FROM obs o JOIN r ON o.obs_date = r.obs_date GROUP BY o.obs_date"""))
-def rerun_days(spark, sf_dir):
+@query(over_obs(""", r AS (SELECT DISTINCT obs_date FROM obs WHERE channel_id = 3 AND obs_date > (SELECT max(obs_date) FROM obs) - 60) SELECT o.obs_date, count(*) AS n, round(min(sale_price) + 1e-9, 4) AS lowest FROM obs o JOIN r ON o.obs_date = r.obs_date GROUP BY o.obs_date"""))
+def rerun_days(spark, sf_dir, channel=3):
     """What a run's late channel makes stale: the days that it observed are computed again, not today's."""
     obs = observations(spark, sf_dir)
-    days = obs.where("channel_id % 7 = 3").select("obs_date").distinct()
+    days = obs.where(F.col("channel_id") == channel).select("obs_date").distinct()
     now = F.broadcast(obs.agg(F.max("obs_date").alias("d")))
     days = days.crossJoin(now).where(F.col("obs_date") > F.date_sub("d", 60)).select("obs_date")
     return obs.join(days, "obs_date", "left_semi").groupBy("obs_date").agg(F.count("*").alias("n"), r4(F.min("sale_price")).alias("lowest"))
