@@ -2,14 +2,17 @@
 
 How suffix arrays are spread over a cluster: from every ``length``-byte string the leftmost least hash of its
 ``GRAM``-byte substrings picks an anchor, so equal strings pick the same anchor at the same offset. Anchors go
-through one shuffle as narrow rows. Of an anchor that occurs once nothing can repeat. Occurrences whose whole
-context (all strings that could pick the anchor) equals an earlier one's are covered outright. What is left, the
-first occurrence of each distinct context of an anchor with several, is the text of that anchor's suffix array
-(``suffix_array``), in which runs of suffixes with ``length`` common bytes keep the earliest start only.
-
-An anchor with more than ``most_contexts`` contexts never meets in one task: its contexts are dealt to chunks, a chunk
-settles what repeats within it and deals its distinct strings by hash to as many slices as there are
-chunks, and a slice settles them across chunks.
+through one shuffle as narrow rows; of those with one context in a batch only the first goes on. Of an anchor that occurs
+once nothing can repeat. Occurrences whose whole context (all strings that could pick the anchor) equals an earlier one's are
+covered outright. What is left, the first occurrence of each distinct context of an anchor with several, is put end to end, and the
+suffix array of that text (``suffix_array``) brings equal strings together: of a run of suffixes with ``length`` common bytes only
+the earliest start stays.
+
+No suffix array gets more than ``most_contexts`` contexts. A larger group is split by content, not by chance: its strings are those
+with ``lo`` to ``hi`` bytes before the anchor; the half with at most the middle of that shares more bytes behind the anchor,
+the other half more bytes before it, and each half is parted by what its strings must have in common. Equal parts of contexts are
+one, so a group whose strings are all equal is done, and groups end in suffix arrays again. A context gives two rows a level at most and
+no two contexts are ever paired.
 """
 
 from __future__ import annotations
@@ -86,21 +89,28 @@ def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return at, h[at], roll.each(start, np.minimum(at + length, n)) + common.mix64((at - start).astype(np.uint64))
 
 
-_ANCHORS = "ah long, ch long, doc_id long, pos int"
+_ANCHORS = "ah long, ch long, doc_id long, pos int, late boolean"
 
 
 def _find_anchors(run_id: str, length: int):
+    """Anchors of all texts. What has the context of an earlier anchor of the batch is late: it gets an anchor of its own, so nothing meets it."""
+
     def run(batches):
         common.only(run_id)
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                found = []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    at, ah, ch = anchors((text or "").encode(), length)
-                    found.append((ah.view(np.int64), ch.view(np.int64), np.full(len(at), doc_id, np.int64), at.astype(np.int32)))
-                cols = [pa.array(np.concatenate(x)) for x in zip(*found)]
-                yield pa.RecordBatch.from_arrays(cols, names=["ah", "ch", "doc_id", "pos"])
+            found = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                at, ah, ch = anchors((text.as_py() or "").encode(), length)
+                found.append((ah.view(np.int64), ch.view(np.int64), np.full(len(at), doc_id, np.int64), at.astype(np.int32)))
+            ah, ch, doc_id, pos = map(np.concatenate, zip(*found)) if found else (np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int32))
+            key = common.mix64(ah.view(np.uint64) ^ common.mix64(ch.view(np.uint64)))
+            order = np.lexsort((pos, doc_id, key))
+            late = np.zeros(len(key), bool)
+            late[order[1:]] = key[order][1:] == key[order][:-1]
+            own = common.mix64(common.mix64(doc_id.view(np.uint64)) ^ pos.astype(np.uint64)).view(np.int64)
+            for a in range(0, len(key), 1 << 16):
+                cols = [pa.array(x[a : a + (1 << 16)]) for x in (np.where(late, own, ah), ch, doc_id, pos, late)]
+                yield pa.RecordBatch.from_arrays(cols, names=["ah", "ch", "doc_id", "pos", "late"])
         common.release()
 
     return run
@@ -136,45 +146,37 @@ def _longest_shared(parts: list[bytes]) -> list[int]:
     return best
 
 
+_END = b"\xff"  # no UTF-8 text has this byte, so no common string goes beyond a context
+
+
 def repeats(contexts: list[tuple[int, int, int, bytes]], length: int) -> list[tuple[int, int]]:
     """(document, start) of each ``length``-byte string around one anchor that also starts earlier around it.
 
-    A context is (document, start, the anchor's place in it, bytes). The anchor is one symbol of the suffix array's text, and
-    what no other context shares to the left or right of it is left out.
+    A context is (document, start, the anchor's place in it, bytes). What no other context shares to the left or right of the anchor is
+    left out; the rest, end to end, is the suffix array's text.
     """
     left = _longest_shared([c[:off][::-1] for _, _, off, c in contexts])
     right = _longest_shared([c[off + GRAM :] for _, _, off, c in contexts])
-    symbols, origin, texts = [], [], []
-    for k, ((_, _, off, c), a, b) in enumerate(zip(contexts, left, right)):
-        texts.append(c[off - a : off + GRAM + b])
+    parts, origin = [], []
+    for (doc_id, start, off, c), a, b in zip(contexts, left, right):
         m = a + GRAM + b - length + 1
         if m < 1:
             continue
-        symbols += [x + 1 for x in c[off - a : off]]
-        symbols.append(257)
-        symbols += [x + 1 for x in c[off + GRAM : off + GRAM + b]]
-        symbols.append(0)
-        origin += [(k, j) for j in range(m)]
-        origin += [None] * (a + b + 2 - m)
-    late, run, key = [], [], None
-
-    def settle():
-        if len(run) > 1:
-            places = sorted({(contexts[k][0], contexts[k][1] + contexts[k][2] - left[k] + j) for k, j in run})
-            late.extend(places[1:])
-
-    for s in suffix_array(symbols):
-        o = origin[s]
-        if o is None:
+        parts.append(c[off - a : off + GRAM + b])
+        origin += [(doc_id, start + off - a + j) for j in range(m)]
+        origin += [None] * length  # starts with too few bytes before the end
+    if not parts:
+        return []
+    text = _END.join(parts) + _END
+    late, run, last = [], [], b""
+    for s in suffix_array(text):
+        if origin[s] is None:
             continue
-        k, j = o
-        this = left[k] - j, texts[k][j : j + length]
-        if this != key:
-            settle()
-            run, key = [], this
-        run.append(o)
-    settle()
-    return late
+        if (this := text[s : s + length]) != last:
+            late += sorted(set(run))[1:]
+            run, last = [], this
+        run.append(origin[s])
+    return late + sorted(set(run))[1:]
 
 
 def _spans(late: list[tuple[int, int]], length: int) -> Iterator[tuple[int, int, int]]:
@@ -221,89 +223,78 @@ def _settle_groups(length: int):
     return run
 
 
-_STRING = np.dtype([("h", "<u8"), ("g", "<u8"), ("doc_id", "<i8"), ("start", "<i4")])
-_SLICES = "ah long, slice int, strings binary, late binary"
-
-
-def _strings(contexts: list[tuple[int, int, bytes]], length: int) -> np.ndarray:
-    """A row per ``length``-byte string of the contexts: two hashes and its place."""
-    parts = []
-    for d, s, c in contexts:
-        m = len(c) - length + 1
-        roll, x = _Roll(c), np.empty(m, _STRING)
-        x["h"] = roll.each(np.arange(m), np.arange(m) + length)
-        x["g"] = roll.each(np.arange(m) + 1, np.arange(m) + length - 1) ^ (np.frombuffer(c, np.uint8)[:m].astype(np.uint64) << np.uint64(8))
-        x["doc_id"], x["start"] = d, np.arange(s, s + m)
-        parts.append(x)
-    return np.concatenate(parts)
-
-
-def _late(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The strings with the earliest place of each value, and the others."""
-    if not len(x):  # a slice may get no string
-        return x, x
-    x = np.unique(x)  # by h, g, document, start
-    again = np.concatenate([[False], (x["h"][1:] == x["h"][:-1]) & (x["g"][1:] == x["g"][:-1])])
-    return x[~again], x[again]
-
-
-def _settle_chunks(length: int, most: int):
-    """Over rows sorted by anchor and chunk: a row per slice with the distinct strings, and what repeats."""
-
-    def run(batches):
-        for (ah, _), rows in groupby(_rows(batches, ("ah", "chunk", "k", "doc_id", "start", "context")), key=lambda r: r[:2]):
-            rows = list(rows)
-            slices = -(-rows[0][2] // most)
-            first, late = _late(_strings([r[3:] for r in rows], length))
-            of = (common.mix64(first["h"]) % np.uint64(slices)).astype(int)
-            blobs = [first[of == i].tobytes() for i in range(slices)]
-            spans = np.array(list(_spans(list(zip(late["doc_id"].tolist(), late["start"].tolist())), length)), np.int64).reshape(-1, 3)
-            cols = [pa.array([ah] * slices, pa.int64()), pa.array(range(slices), pa.int32()), pa.array(blobs, pa.binary()), pa.array([spans.tobytes()] + [b""] * (slices - 1), pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["ah", "slice", "strings", "late"])
-
-    return run
-
-
-def _settle_slices(length: int):
-    def run(batches):
-        for _, rows in groupby(_rows(batches, ("ah", "slice", "strings", "late")), key=lambda r: r[:2]):
-            parts = []
-            for _, _, blob, late in rows:
-                parts.append(np.frombuffer(blob, _STRING))
-                if late:
-                    yield _cover_batch(np.frombuffer(late, np.int64).reshape(-1, 3).tolist())
-            late = _late(np.concatenate(parts))[1]
-            yield _cover_batch(list(_spans(list(zip(late["doc_id"].tolist(), late["start"].tolist())), length)))
-
-    return run
+def _halves(groups: DataFrame, length: int) -> DataFrame:
+    """Each context of a group in the two halves of the group's strings, with the new group and a hash of the context's part in it."""
+    back = length - GRAM
+    halves = F.array(F.struct("lo", F.col("mid").alias("hi")), F.struct((F.col("mid") + 1).alias("lo"), "hi"))
+    rows = groups.withColumn("mid", F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")).withColumn("half", F.explode(halves))
+    rows = rows.select("g", F.col("half.lo").alias("lo"), F.col("half.hi").alias("hi"), "doc_id", "pos", "off", "context")
+    behind = F.octet_length("context") - F.col("off") - GRAM
+    rows = rows.withColumn("a", F.least("hi", "off")).withColumn("b", F.least(back - F.col("lo"), behind)).where((F.col("a") + F.col("b") >= back) & (F.col("a") >= F.col("lo")) & (F.col("b") >= back - F.col("hi")))
+    cut = lambda before, after: F.substring("context", F.col("off") - before + 1, before + GRAM + after)
+    same = F.xxhash64("g", "lo", cut(F.col("lo"), back - F.col("hi")))
+    return rows.withColumn("g", same).withColumn("part", F.xxhash64("a", "b", cut(F.col("a"), F.col("b"))))
+
+
+def _refined(spark, crowd: DataFrame, length: int, most: int, drop: list[str]) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Runs that equal parts of contexts cover, and groups of at most ``most`` contexts, of groups that are larger."""
+    covers, small = [], []
+
+    def kept(df: DataFrame, label: str) -> DataFrame:
+        drop.append(common.write_table(df, label))
+        return spark.read.schema(df.schema).parquet(drop[-1])
+
+    crowd = kept(crowd, "crowd")
+    while not crowd.isEmpty():
+        parts = kept(_halves(crowd, length), "halves")
+        firsts = parts.groupBy("g", "part").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
+        sizes = firsts.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+        told = parts.join(firsts, ["g", "part"])
+        is_first = F.struct("doc_id", "pos") == F.col("first")
+        covers.append(kept(told.where(~is_first).select("doc_id", (F.col("pos") - F.col("a")).cast("int").alias("start"), (F.col("a") + GRAM + F.col("b")).cast("int").alias("size")), "equal"))
+        some = kept(told.where(is_first).drop("first", "part").join(sizes, "g"), "firsts")
+        text = F.substring("context", F.col("off") - F.col("a") + 1, F.col("a") + GRAM + F.col("b"))
+        small.append(some.where(F.col("n") <= most).select(F.col("g").alias("ah"), "doc_id", (F.col("pos") - F.col("a")).cast("int").alias("start"), F.col("a").cast("int").alias("off"), text.alias("context")))
+        crowd = some.where(F.col("n") > most).select("g", "lo", "hi", "doc_id", "pos", "off", "context")
+    return covers, small
 
 
 def covered(docs: DataFrame, length: int = 100, most_contexts: int = 512) -> DataFrame:
     """doc_id, start, size of byte runs to remove; their union is exactly the covered bytes. ``docs``: doc_id, text."""
     spark = docs.sparkSession
+    drop: list[str] = []
+
+    def kept(df: DataFrame, label: str) -> DataFrame:
+        drop.append(common.write_table(df, label))
+        return spark.read.schema(df.schema).parquet(drop[-1])
+
     some = docs.where("doc_id is not null and text is not null")
     found = some.mapInArrow(_find_anchors(common.new_run(), length), _ANCHORS)
     found = found.repartition(F.col("ah")).sortWithinPartitions("ah", "ch", "doc_id", "pos")
     group, context = Window.partitionBy("ah"), Window.partitionBy("ah", "ch").orderBy("doc_id", "pos")
     first = F.first(F.struct("doc_id", "pos")).over(context)
     rows = found.select("*", (first == F.struct("doc_id", "pos")).alias("is_first"), (F.row_number().over(context) == 1).cast("int").alias("new"))
-    rows = rows.select("doc_id", "pos", "ah", "is_first", "new", F.sum("new").over(group).alias("k"), F.count("*").over(group).alias("n"))
-    rows = rows.where("n > 1 and (not is_first or (k > 1 and new = 1))").select("doc_id", "pos", F.when(F.col("is_first"), F.col("ah")).alias("ah"), F.col("k").cast("int").alias("k"))
-    rows = common.table(rows, "anchors")
+    rows = rows.select("doc_id", "pos", "ah", "late", "is_first", "new", F.sum("new").over(group).alias("k"), F.count("*").over(group).alias("n"))
+    rows = rows.where("late or n > 1 and (not is_first or (k > 1 and new = 1))")
+    rows = kept(rows.select("doc_id", "pos", F.when(F.col("is_first") & ~F.col("late"), F.col("ah")).alias("ah"), F.col("k").cast("int").alias("k")), "anchors")
     back = length - GRAM
     whole = rows.where("ah is null").select("doc_id", F.greatest(F.col("pos") - back, F.lit(0)).alias("start"), (F.col("pos") + length).alias("end"))
     whole = whole.select("doc_id", "start", (F.col("end") - F.col("start")).cast("int").alias("size"))
 
     wanted = rows.where("ah is not null").groupBy("doc_id").agg(F.collect_list(F.struct("ah", "k", "pos")).alias("wanted"))
-    cut = some.join(wanted, "doc_id").mapInArrow(_cut_contexts(length), _CONTEXTS)
-    cut = common.table(cut, "contexts")
+    cut = kept(some.join(wanted, "doc_id").mapInArrow(_cut_contexts(length), _CONTEXTS), "contexts")
     usual = cut.where(F.col("k") <= most_contexts).select("ah", "doc_id", "start", "off", "context")
-    usual = usual.repartition(F.col("ah")).sortWithinPartitions("ah").mapInArrow(_settle_groups(length), _COVER)
-    crowd = cut.where(F.col("k") > most_contexts)
-    crowd = crowd.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "start"), F.ceil(F.col("k") / most_contexts)))
-    slices = crowd.repartition(F.col("ah"), F.col("chunk")).sortWithinPartitions("ah", "chunk").mapInArrow(_settle_chunks(length, most_contexts), _SLICES)
-    slices = slices.repartition(F.col("ah"), F.col("slice")).sortWithinPartitions("ah", "slice").mapInArrow(_settle_slices(length), _COVER)
-    return common.table(whole.unionByName(usual).unionByName(slices), "covers")
+    crowd = cut.where(F.col("k") > most_contexts).select(F.col("ah").alias("g"), F.lit(0).alias("lo"), F.lit(back).alias("hi"), "doc_id", (F.col("start") + F.col("off")).alias("pos"), "off", "context")
+    covers, small = _refined(spark, crowd, length, most_contexts, drop)
+    for part in small:
+        usual = usual.unionByName(part)
+    settled = usual.repartition(F.col("ah")).sortWithinPartitions("ah").mapInArrow(_settle_groups(length), _COVER)
+    for part in covers:
+        whole = whole.unionByName(part)
+    out = common.table(whole.unionByName(settled), "covers")
+    for path in drop:
+        common.drop_table(spark, path)
+    return out
 
 
 _TEXTS = "doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -347,13 +338,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one document a smaller start. With ``decode``, _new takes the place of _kept: its text without bytes that are no
     character any more, null for a null text. Null texts are empty. A row with a null id is left as it is and covers nothing. Rows with
     one id are one document: each keeps what it would keep alone. An empty table gives no rows. A column of ``docs``
-    with one of the five names, or ``_runs``, is replaced.
+    with one of the five names, or ``_runs``, is replaced; any other name does no harm. Ties are settled by document and start. A text
+    of any length is read whole: the memory of its task is about a hundred times the text.
     """
     common.ship(docs.sparkSession)
     docs = docs.drop("_n_bytes", "_n_removed", "_n_spans", "_kept", "_new", "_runs")
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    runs = covered(narrow, length).groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list(F.shiftleft(F.col("start").cast("long"), 20) + F.col("size")).alias("_runs"))
-    both = docs.join(runs, F.col(id_col).cast("long") == F.col("_of"), "left").select(*docs.columns, "_runs")
+    of = common.unused(docs, "_of")
+    runs = covered(narrow, length).groupBy(F.col("doc_id").alias(of)).agg(F.collect_list(F.shiftleft(F.col("start").cast("long"), 20) + F.col("size")).alias("_runs"))
+    both = docs.join(runs, F.col(id_col).cast("long") == F.col(of), "left").select(*docs.columns, "_runs")
     names = docs.columns
     schema = docs.schema.add("_n_bytes", "long").add("_n_removed", "long").add("_n_spans", "long")
     schema = schema.add("_new", "string") if decode else schema.add("_kept", "binary")
