@@ -49,8 +49,71 @@ def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
 
 
-class ChunkEncoder:
-    """``encode_many(texts)``: each text's ids as little-endian unsigned 32-bit integers.
+class Split:
+    """Texts in pieces: ``keys`` are distinct, ``pieces`` says which of them come, text by text from ``starts``.
+
+    Texts whose white space may be glued to a word, and those with a NUL, are cut one by one (``cuts``, by text); those with a special
+    string are left whole (``special``). Both have no ``pieces``. Null is empty.
+    """
+
+    def __init__(self, texts: pa.Array, specials: list[str]):
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        odd = pc.match_substring_regex(texts, r"\x00|[ \n](\s|\p{Z}|[\x0B\x1C-\x1F\x85]|\z)").to_numpy(zero_copy_only=False)
+        special = np.zeros(len(texts), bool)
+        for x in specials:
+            special |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(odd | special), "", texts)
+        # A split ends where marks or a line end follow a letter or digit, and behind a line end: more places that are safe to cut.
+        marked = pc.replace_substring_regex(plain, _MARKED, "\\1 \0\\2")
+        whole = [pa.scalar(x, pa.large_string()) for x in ("\0", "")]
+        split = pc.split_pattern(pc.binary_join_element_wise(whole[0], pc.replace_substring(marked, "\n", "\n \0"), whole[1]), " ")
+        coded = split.flatten().dictionary_encode()
+        self.starts = split.offsets.to_numpy() - split.offsets[0].as_py()
+        self.pieces = coded.indices.to_numpy(zero_copy_only=False)
+        self.keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.special = {i: texts[i].as_py() for i in np.flatnonzero(special).tolist()}
+        self.cuts = {i: ["\0" + p for p in cut(texts[i].as_py())] for i in np.flatnonzero(odd & ~special).tolist()}
+        self.place = {}
+        if self.cuts:
+            self.place = {k: i for i, k in enumerate(self.keys)}
+            for k in chain.from_iterable(self.cuts.values()):
+                if k not in self.place:
+                    self.place[k] = len(self.keys)
+                    self.keys.append(k)
+
+
+class Encoder:
+    """Ids of whole texts from the ids of their pieces. ``learn`` gives the ids of distinct keys, ``whole`` those of a text with specials."""
+
+    specials: list[str]
+
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and where each text's begin, with the end. Null is empty."""
+        s = Split(texts, self.specials)
+        ids = self.learn(s.keys)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begin = np.cumsum(size) - size
+        values = np.frombuffer(b"".join(ids), "<u4")
+        per_piece = size[s.pieces]
+        before = np.concatenate([[0], np.cumsum(per_piece)])[s.starts]
+        flat = gather(values, begin[s.pieces], per_piece)
+        instead = {i: np.concatenate([values[begin[k] : begin[k] + size[k]] for k in map(s.place.__getitem__, c)] or [values[:0]]) for i, c in s.cuts.items()}
+        instead |= {i: self.whole(text) for i, text in s.special.items()}
+        if instead:
+            rows = [instead[i] if i in instead else flat[before[i] : before[i + 1]] for i in range(len(texts))]
+            flat = np.concatenate(rows)
+            before = np.cumsum([0, *map(len, rows)])
+        return flat, before
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        flat, at = self.encode_flat(pa.array(texts, pa.string()))
+        raw, ends = flat.tobytes(), (4 * at).tolist()
+        return [raw[a:b] for a, b in zip(ends, ends[1:])]
+
+
+class ChunkEncoder(Encoder):
+    """The library's ids, asked for once where pieces come again.
 
     At most ``most`` pieces stay known. A piece is kept when it comes a second time, so what occurs once takes no room; ``met`` is a
     table of marks by hash, in which a false mark only keeps a piece early.
@@ -102,53 +165,8 @@ class ChunkEncoder:
             out[i] = x
         return out
 
-    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end, and where each text's begin, with the end. Null is empty.
-
-        Texts whose white space may be glued to a word, and those with a NUL, are cut piece by piece; those with a special string go to
-        the library whole.
-        """
-        texts = pc.fill_null(texts, "").cast(pa.large_string())
-        odd = pc.match_substring_regex(texts, r"\x00|[ \n](\s|\p{Z}|[\x0B\x1C-\x1F\x85]|\z)").to_numpy(zero_copy_only=False)
-        special = np.zeros(len(texts), bool)
-        for x in self.specials:
-            special |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
-        plain = pc.if_else(pa.array(odd | special), "", texts)
-        # A split ends where marks or a line end follow a letter or digit, and behind a line end: more places that are safe to cut.
-        marked = pc.replace_substring_regex(plain, _MARKED, "\\1 \0\\2")
-        whole = [pa.scalar(x, pa.large_string()) for x in ("\0", "")]
-        split = pc.split_pattern(pc.binary_join_element_wise(whole[0], pc.replace_substring(marked, "\n", "\n \0"), whole[1]), " ")
-        coded = split.flatten().dictionary_encode()
-        starts = split.offsets.to_numpy() - split.offsets[0].as_py()
-        odd_at = np.flatnonzero(odd & ~special).tolist()
-        cuts = [["\0" + p for p in cut(texts[i].as_py())] for i in odd_at]
-        keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        place = {k: i for i, k in enumerate(keys)} if cuts else {}
-        for k in chain.from_iterable(cuts):
-            if k not in place:
-                place[k] = len(keys)
-                keys.append(k)
-        ids = self.learn(keys)
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        begin = np.cumsum(size) - size
-        values = np.frombuffer(b"".join(ids), "<u4")
-        pieces = coded.indices.to_numpy(zero_copy_only=False)
-        per_piece = size[pieces]
-        before = np.concatenate([[0], np.cumsum(per_piece)])[starts]
-        flat = gather(values, begin[pieces], per_piece)
-        instead = {i: np.concatenate([values[begin[k] : begin[k] + size[k]] for k in map(place.__getitem__, c)] or [values[:0]]) for i, c in zip(odd_at, cuts)}
-        for i in np.flatnonzero(special).tolist():
-            instead[i] = np.array(self.library.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4")
-        if instead:
-            rows = [instead[i] if i in instead else flat[before[i] : before[i + 1]] for i in range(len(texts))]
-            flat = np.concatenate(rows)
-            before = np.cumsum([0, *map(len, rows)])
-        return flat, before
-
-    def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        flat, at = self.encode_flat(pa.array(texts, pa.string()))
-        raw, ends = flat.tobytes(), (4 * at).tolist()
-        return [raw[a:b] for a, b in zip(ends, ends[1:])]
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 def encoder(path: str) -> ChunkEncoder:

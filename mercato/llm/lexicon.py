@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .chunked_tokens import cut, gather, slices
+from .chunked_tokens import Encoder, Split, gather, slices
 
 
 def byte_symbols() -> dict[str, int]:
@@ -36,7 +36,6 @@ def byte_symbols() -> dict[str, int]:
 
 
 _NEVER = 1 << 30
-_MARKS = frozenset(".,;:!?")
 
 
 class Merger:
@@ -60,6 +59,44 @@ class Merger:
         self.order = {p: r for p, (r, _) in self.rank.items()}
         self.made = {r: new for r, new in self.rank.values()}
         self.words = regex.compile(pattern).findall
+        # The merges as arrays, by the pair: for many words at once.
+        order = sorted((a << 20 | b, r, new) for (a, b), (r, new) in self.rank.items())
+        self.pairs, self.ranks, self.news = (np.array(x, np.int64) for x in zip(*order))
+        self.bytes_at = np.zeros(max(self.bytes) + 2, np.int64)
+        for i, raw in self.bytes.items():
+            self.bytes_at[i + 1] = len(raw)
+        np.cumsum(self.bytes_at, out=self.bytes_at)
+        self.all_bytes = np.frombuffer(b"".join(self.bytes.get(i, b"") for i in range(len(self.bytes_at) - 1)), np.uint8)
+
+    def merge_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of single splits of at most 32 bytes: in each round every word merges its leftmost pair of the least rank."""
+        out: list[bytes] = [b""] * len(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        for low, high in ((0, 8), (8, 16), (16, 32)):
+            at = np.flatnonzero((size > low) & (size <= high))
+            if not len(at):
+                continue
+            ids = np.full((len(at), high), -1, np.int64)
+            ids[np.arange(high) < size[at][:, None]] = np.array(self.single)[np.frombuffer(b"".join([words[i] for i in at.tolist()]), np.uint8)]
+            left, columns = np.arange(len(at)), np.arange(high - 1)
+            while len(left):
+                key = np.where(ids[:, 1:] >= 0, ids[:, :-1] << 20 | ids[:, 1:], -1)
+                e = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+                rank = np.where(self.pairs[e] == key, self.ranks[e], _NEVER)
+                j = rank.argmin(axis=1)
+                rows = np.arange(len(j))
+                going = rank[rows, j] < _NEVER
+                ended = ~going
+                count = (ids[ended] >= 0).sum(axis=1)
+                flat = ids[ended]
+                raw, ends = flat[flat >= 0].astype("<u4").tobytes(), (4 * np.cumsum(count)).tolist()
+                for i, a, b in zip(at[left[ended]].tolist(), [0, *ends], ends):
+                    out[i] = raw[a:b]
+                ids[rows, j] = np.where(going, self.news[e[rows, j]], ids[rows, j])
+                ids, j, left = ids[going], j[going], left[going]
+                moved = np.take_along_axis(ids, columns + (columns > j[:, None]), axis=1)
+                ids = np.concatenate([moved, np.full((len(ids), 1), -1, np.int64)], axis=1)
+        return out
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one split. Merges only make pairs of later rank, so one merge at a time from the left is exact."""
@@ -230,36 +267,37 @@ class Lexicon:
         return rank
 
 
-class LexiconEncoder:
+class LexiconEncoder(Encoder):
+    """Pieces by the automaton; the others are merged. At most ``most`` merged ones are kept, those that come a second time."""
+
     def __init__(self, lexicon: Lexicon, merger: Merger, most: int = 300_000):
         self.lexicon, self.merger, self.most, self.merged = lexicon, merger, most, {}
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        special = self.merger.special
-        split = [cut(t) if not any(s in t for s in special) else None for t in texts]
-        wanted = set(chain.from_iterable(c for c in split if c))
-        marked = [p for p in wanted if p[-1] in _MARKS and p[:-1].removeprefix(" ").isalpha()]  # the mark is a split of its own
-        pieces = list(wanted.difference(marked).union(p[:-1] for p in marked).union(p[-1] for p in marked))
-        merged = self.merged
-        if len(merged) > self.most:
-            merged.clear()
-        ranks = self.lexicon.ranks([p.encode() for p in pieces])
+        self.specials, self.met = list(merger.special), np.zeros(1 << 22, bool)
+
+    def learn(self, wanted: list[str]) -> list[bytes]:
+        if len(self.merged) > self.most:
+            self.merged.clear()
+            self.met[:] = False
+        raw = [(k[1:] if k[:1] == "\0" else " " + k).encode() for k in wanted]
+        ranks = self.lexicon.ranks(raw)
         there = np.flatnonzero(ranks >= 0)
-        table = dict(zip((pieces[i] for i in there.tolist()), self.lexicon.ids_of(ranks[there])))
-        for i in np.flatnonzero(ranks < 0).tolist():
-            p = pieces[i]
-            if p in merged:
-                table[p] = merged[p]
-            else:
-                table[p] = x = self.merger.piece(p)
-                if len(p) <= 64:
-                    merged[p] = x
-        for p in marked:
-            table[p] = table[p[:-1]] + table[p[-1]]
-        of = table.__getitem__
-        return [self._special(t) if c is None else b"".join(map(of, c)) for t, c in zip(texts, split)]
-
-    def _special(self, text: str) -> bytes:
+        out: list[bytes | None] = list(map(self.merged.get, wanted))
+        for i, x in zip(there.tolist(), self.lexicon.ids_of(ranks[there])):
+            out[i] = x
+        rest = [i for i, x in enumerate(out) if x is None]
+        words = [i for i in rest if len(raw[i]) <= 32 and wanted[i].removeprefix("\0").isalpha()]  # one split each
+        for i, x in zip(words, self.merger.merge_words([raw[i] for i in words])):
+            out[i] = x
+        for i in rest:
+            if out[i] is None:
+                out[i] = self.merger.piece(raw[i].decode())
+            at = hash(wanted[i]) & (len(self.met) - 1)
+            if self.met[at] and len(raw[i]) <= 64:
+                self.merged[wanted[i]] = out[i]
+            self.met[at] = True
+        return out
+
+    def whole(self, text: str) -> np.ndarray:
         """Special strings in a text are one id each, as in the library; what lies between is encoded alone."""
         special, out = self.merger.special, []
         while text:
@@ -269,14 +307,18 @@ class LexiconEncoder:
                 break
             out.append(np.uint32(special[which]).tobytes())
             text = text[at + len(which) :]
-        return b"".join(out)
+        return np.frombuffer(b"".join(out), "<u4")
 
-    def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.merger.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+    def decode_flat(self, flat: np.ndarray, at: np.ndarray) -> list[str]:
+        """The texts of ids that lie end to end; bytes that are no UTF-8 become U+FFFD, as in the library."""
+        begin = self.merger.bytes_at[flat]
+        sizes = self.merger.bytes_at[flat + 1] - begin
+        raw, ends = gather(self.merger.all_bytes, begin, sizes).tobytes(), np.concatenate([[0], np.cumsum(sizes)])[at].tolist()
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
 
 
-def frequent_pieces(docs: DataFrame, text_col: str, most: int) -> list[str]:
-    """The commonest pieces of all texts, at most ``most`` of those that occur more than once.
+def frequent_pieces(docs: DataFrame, text_col: str, most: int, specials: list[str]) -> list[str]:
+    """Keys of the commonest pieces of all texts, at most ``most`` of those that occur more than once.
 
     Counts cover every text. How often a piece must occur follows from a histogram of the counts, in sixteenths of a power of two, so the
     driver gets its few rows and the pieces above that bound, never more than ``most``.
@@ -293,7 +335,9 @@ def frequent_pieces(docs: DataFrame, text_col: str, most: int) -> list[str]:
             return out
 
         for part in slices(batches, 0):
-            seen.update(chain.from_iterable(cut(t) for t in part.column(0).to_pylist() if t))
+            s = Split(part.column(0), specials)
+            seen.update(dict(zip(s.keys, np.bincount(s.pieces, minlength=len(s.keys)).tolist())))
+            seen.update(chain.from_iterable(s.cuts.values()))
             if len(seen) > 300_000:
                 yield rows()
         yield rows()
@@ -324,7 +368,8 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     common.ship(spark)
     path, pattern = tokenizer or common.tokenizer_path(), pattern or public_tokenizers.PATTERN
     merger = Merger(path, pattern)
-    words = sorted(p.encode() for p in frequent_pieces(docs, text_col, most_pieces) if not any(s in p for s in merger.special))
+    keys = frequent_pieces(docs, text_col, most_pieces, list(merger.special))
+    words = sorted({w for k in keys if (w := (k[1:] if k[:1] == "\0" else " " + k).encode()) and not any(s.encode() in w for s in merger.special)})
     name = f"lexicon-{uuid.uuid4().hex}.npy"
     local = Path(tempfile.mkdtemp(prefix="mercato-lexicon-")) / name
     Lexicon.write(str(local), words, [merger.piece(w.decode()) for w in words])
@@ -336,7 +381,9 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         common.only(run_id)
         enc = common.held("lexicon", name, lambda: LexiconEncoder(Lexicon(SparkFiles.get(name)), Merger(path, pattern)))
         for part in slices(batches, most_bytes=4 << 20):
-            ids = enc.encode_many([t or "" for t in part.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([enc.decode(i) for i in ids], pa.string())], names=["doc_id", "ids", "decoded"])
+            flat, at = enc.encode_flat(part.column(1))
+            raw, ends = flat.tobytes(), (4 * at).tolist()
+            ids = pa.array([raw[a:b] for a, b in zip(ends, ends[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(enc.decode_flat(flat, at), pa.string())], names=["doc_id", "ids", "decoded"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary, decoded string")
