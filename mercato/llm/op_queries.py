@@ -77,6 +77,15 @@ def op8_transducer_bpe(spark, sf_dir):
     return out.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op11_agenda_pieces(spark, sf_dir):
+    """Ids and decoded texts of all documents; the digests are of the operator's own ids and texts."""
+    from .score_pieces import encode_decode
+
+    out = encode_decode(common.documents(spark, sf_dir))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op9_best_fit_packing(spark, sf_dir):
     from .packing import pack_documents
 
@@ -84,5 +93,5 @@ def op9_best_fit_packing(spark, sf_dir):
     return out.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", F.col("offset").cast("long").alias("offset"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_suffix_array_dedup, op3_hypergeometric_sharding, op4_context_mixing_ids, op5_chat_state_machine, op6_quality_weak_supervision, op7_one_permutation_fingerprints, op8_transducer_bpe, op9_best_fit_packing, op10_language_mixture)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_suffix_array_dedup, op3_hypergeometric_sharding, op4_context_mixing_ids, op5_chat_state_machine, op6_quality_weak_supervision, op7_one_permutation_fingerprints, op8_transducer_bpe, op9_best_fit_packing, op10_language_mixture, op11_agenda_pieces)}
 ORACLES: dict[str, str] = {}
