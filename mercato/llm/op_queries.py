@@ -86,6 +86,30 @@ def op11_agenda_pieces(spark, sf_dir):
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+#: By brute force: every group of equal flags goes through every order.
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+f AS (SELECT doc_id, part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > least, false)] AS fails FROM w),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+g AS (SELECT part, fails, len(list_filter(fails, lambda x: x)) AS n_fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails),
+k AS (SELECT unnest([1, 2, 3, 4, 5]) AS k),
+o AS (SELECT [a.k, b.k, c.k, d.k, e.k] AS o FROM k a, k b, k c, k d, k e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+s AS (SELECT part, o, step, o[step] AS letter, n, good, toxic, n_fails, fails[o[step]] AS fails_it, len(list_filter(o[1:step - 1], lambda x: fails[x])) > 0 AS gone FROM g, o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+r AS (SELECT part, array_to_string(list_transform(o, lambda x: substr('ABCDE', x, 1)), '') AS filter_order, step, letter, sum(CASE WHEN NOT gone AND NOT fails_it THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND fails_it THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN gone AND fails_it THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails_it AND n_fails = 1 THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN NOT gone AND fails_it THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND fails_it THEN toxic ELSE 0 END) AS toxic_lost
+  FROM s GROUP BY part, o, step, letter)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM r"""
+
+
+def op12_filter_interactions(spark, sf_dir):
+    """All orders of the five filters over all documents and their labels."""
+    from .interactions import audit, failure_counts
+
+    return audit(failure_counts(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op9_best_fit_packing(spark, sf_dir):
     from .packing import pack_documents
 
@@ -93,5 +117,5 @@ def op9_best_fit_packing(spark, sf_dir):
     return out.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", F.col("offset").cast("long").alias("offset"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_suffix_array_dedup, op3_hypergeometric_sharding, op4_context_mixing_ids, op5_chat_state_machine, op6_quality_weak_supervision, op7_one_permutation_fingerprints, op8_transducer_bpe, op9_best_fit_packing, op10_language_mixture, op11_agenda_pieces)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_suffix_array_dedup, op3_hypergeometric_sharding, op4_context_mixing_ids, op5_chat_state_machine, op6_quality_weak_supervision, op7_one_permutation_fingerprints, op8_transducer_bpe, op9_best_fit_packing, op10_language_mixture, op11_agenda_pieces, op12_filter_interactions)}
+ORACLES: dict[str, str] = {"op12_filter_interactions": OP12_SQL}
