@@ -110,6 +110,13 @@ def op12_filter_interactions(spark, sf_dir):
     return audit(failure_counts(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op13_token_alignment(spark, sf_dir):
+    """Byte-level tokens against pieces over all documents."""
+    from .alignment import align
+
+    return align(common.documents(spark, sf_dir))
+
+
 def op9_best_fit_packing(spark, sf_dir):
     from .packing import pack_documents
 
@@ -117,5 +124,5 @@ def op9_best_fit_packing(spark, sf_dir):
     return out.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", F.col("offset").cast("long").alias("offset"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_suffix_array_dedup, op3_hypergeometric_sharding, op4_context_mixing_ids, op5_chat_state_machine, op6_quality_weak_supervision, op7_one_permutation_fingerprints, op8_transducer_bpe, op9_best_fit_packing, op10_language_mixture, op11_agenda_pieces, op12_filter_interactions)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_suffix_array_dedup, op3_hypergeometric_sharding, op4_context_mixing_ids, op5_chat_state_machine, op6_quality_weak_supervision, op7_one_permutation_fingerprints, op8_transducer_bpe, op9_best_fit_packing, op10_language_mixture, op11_agenda_pieces, op12_filter_interactions, op13_token_alignment)}
 ORACLES: dict[str, str] = {"op12_filter_interactions": OP12_SQL}
