@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .suffix_array import suffix_array
@@ -89,24 +90,34 @@ def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return at, h[at], roll.each(start, np.minimum(at + length, n)) + common.mix64((at - start).astype(np.uint64))
 
 
-_ANCHORS = "ah long, ch long, doc_id long, pos int, late boolean"
+#: A place is a long: below bit 32 the byte, above it which of its id's texts it is in (``_told_apart``), 0 nearly always.
+_TEXT_BITS = 32
+_LOW = (1 << _TEXT_BITS) - 1
+_ANCHORS = "ah long, ch long, doc_id long, pos long, late boolean"
 
 
 def _find_anchors(run_id: str, length: int):
-    """Anchors of all texts. What has the context of an earlier anchor of the batch is late: it gets an anchor of its own, so nothing meets it."""
+    """Anchors of all texts. What has the context of an earlier anchor of the batch is late: it gets an anchor of its own, so nothing meets it.
+
+    Rows that are equal are one document: their anchors are the same places, of which one goes on.
+    """
 
     def run(batches):
         common.only(run_id)
         for batch in batches:
             found = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, text, which in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 at, ah, ch = anchors((text.as_py() or "").encode(), length)
-                found.append((ah.view(np.int64), ch.view(np.int64), np.full(len(at), doc_id, np.int64), at.astype(np.int32)))
-            ah, ch, doc_id, pos = map(np.concatenate, zip(*found)) if found else (np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int32))
+                found.append((ah.view(np.int64), ch.view(np.int64), np.full(len(at), doc_id, np.int64), at + (which << _TEXT_BITS)))
+            ah, ch, doc_id, pos = map(np.concatenate, zip(*found)) if found else (np.empty(0, np.int64) for _ in range(4))
             key = common.mix64(ah.view(np.uint64) ^ common.mix64(ch.view(np.uint64)))
             order = np.lexsort((pos, doc_id, key))
             late = np.zeros(len(key), bool)
             late[order[1:]] = key[order][1:] == key[order][:-1]
+            again = np.zeros(len(key), bool)
+            again[order[1:]] = late[order[1:]] & (doc_id[order][1:] == doc_id[order][:-1]) & (pos[order][1:] == pos[order][:-1])
+            if again.any():
+                ah, ch, doc_id, pos, late, key = (x[~again] for x in (ah, ch, doc_id, pos, late, key))
             own = common.mix64(common.mix64(doc_id.view(np.uint64)) ^ pos.astype(np.uint64)).view(np.int64)
             for a in range(0, len(key), 1 << 16):
                 cols = [pa.array(x[a : a + (1 << 16)]) for x in (np.where(late, own, ah), ch, doc_id, pos, late)]
@@ -116,7 +127,7 @@ def _find_anchors(run_id: str, length: int):
     return run
 
 
-_CONTEXTS = "ah long, k int, doc_id long, start int, off int, context binary"
+_CONTEXTS = "ah long, k int, doc_id long, start long, off int, context binary"
 
 
 def _cut_contexts(length: int):
@@ -126,9 +137,10 @@ def _cut_contexts(length: int):
             for doc_id, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "wanted"))):
                 raw = text.encode()
                 for w in wanted:
-                    a = max(0, w["pos"] - (length - GRAM))
-                    rows.append((w["ah"], w["k"], doc_id, a, w["pos"] - a, raw[a : w["pos"] + length]))
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                    at = w["pos"] & _LOW
+                    a = max(0, at - (length - GRAM))
+                    rows.append((w["ah"], w["k"], doc_id, w["pos"] - (at - a), at - a, raw[a : at + length]))
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
             cols = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 6, types)]
             yield pa.RecordBatch.from_arrays(cols, names=["ah", "k", "doc_id", "start", "off", "context"])
 
@@ -193,12 +205,12 @@ def _spans(late: list[tuple[int, int]], length: int) -> Iterator[tuple[int, int,
         i += 1
 
 
-_COVER = "doc_id long, start int, size int"
+_COVER = "doc_id long, start long, size int"
 
 
 def _cover_batch(rows) -> pa.RecordBatch:
     cols = list(zip(*rows)) or [[], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "start", "size"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32()))], names=["doc_id", "start", "size"])
 
 
 def _rows(batches, names):
@@ -251,16 +263,31 @@ def _refined(spark, crowd: DataFrame, length: int, most: int, drop: list[str]) -
         sizes = firsts.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
         told = parts.join(firsts, ["g", "part"])
         is_first = F.struct("doc_id", "pos") == F.col("first")
-        covers.append(kept(told.where(~is_first).select("doc_id", (F.col("pos") - F.col("a")).cast("int").alias("start"), (F.col("a") + GRAM + F.col("b")).cast("int").alias("size")), "equal"))
+        covers.append(kept(told.where(~is_first).select("doc_id", (F.col("pos") - F.col("a")).cast("long").alias("start"), (F.col("a") + GRAM + F.col("b")).cast("int").alias("size")), "equal"))
         some = kept(told.where(is_first).drop("first", "part").join(sizes, "g"), "firsts")
         text = F.substring("context", F.col("off") - F.col("a") + 1, F.col("a") + GRAM + F.col("b"))
-        small.append(some.where(F.col("n") <= most).select(F.col("g").alias("ah"), "doc_id", (F.col("pos") - F.col("a")).cast("int").alias("start"), F.col("a").cast("int").alias("off"), text.alias("context")))
+        small.append(some.where(F.col("n") <= most).select(F.col("g").alias("ah"), "doc_id", (F.col("pos") - F.col("a")).cast("long").alias("start"), F.col("a").cast("int").alias("off"), text.alias("context")))
         crowd = some.where(F.col("n") > most).select("g", "lo", "hi", "doc_id", "pos", "off", "context")
     return covers, small
 
 
+def _told_apart(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """doc_id, text, which: the number of the text among the different texts of its id, by their digests; and whether any id comes twice at all."""
+    some = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    often = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if often.isEmpty():
+        return some.withColumn("which", F.lit(0)), False
+    texts = some.join(often, "doc_id").select("doc_id", F.md5("text").alias("digest")).distinct()
+    texts = texts.withColumn("which", F.row_number().over(Window.partitionBy("doc_id").orderBy("digest")) - 1).where("which > 0")
+    return some.withColumn("digest", F.md5("text")).join(texts, ["doc_id", "digest"], "left").select("doc_id", "text", F.coalesce("which", F.lit(0)).alias("which")), True
+
+
 def covered(docs: DataFrame, length: int = 100, most_contexts: int = 512) -> DataFrame:
-    """doc_id, start, size of byte runs to remove; their union is exactly the covered bytes. ``docs``: doc_id, text."""
+    """doc_id, which, start, size of byte runs to remove; their union is exactly the covered bytes.
+
+    ``docs``: doc_id, text (rows with a null have none), which (the number of the text among those of its id; without it all are 0).
+    """
+    docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.col("which") if "which" in docs.columns else F.lit(0).alias("which"))
     spark = docs.sparkSession
     drop: list[str] = []
 
@@ -268,8 +295,7 @@ def covered(docs: DataFrame, length: int = 100, most_contexts: int = 512) -> Dat
         drop.append(common.write_table(df, label))
         return spark.read.schema(df.schema).parquet(drop[-1])
 
-    some = docs.where("doc_id is not null and text is not null")
-    found = some.mapInArrow(_find_anchors(common.new_run(), length), _ANCHORS)
+    found = docs.mapInArrow(_find_anchors(common.new_run(), length), _ANCHORS)
     found = found.repartition(F.col("ah")).sortWithinPartitions("ah", "ch", "doc_id", "pos")
     group, context = Window.partitionBy("ah"), Window.partitionBy("ah", "ch").orderBy("doc_id", "pos")
     first = F.first(F.struct("doc_id", "pos")).over(context)
@@ -278,11 +304,12 @@ def covered(docs: DataFrame, length: int = 100, most_contexts: int = 512) -> Dat
     rows = rows.where("late or n > 1 and (not is_first or (k > 1 and new = 1))")
     rows = kept(rows.select("doc_id", "pos", F.when(F.col("is_first") & ~F.col("late"), F.col("ah")).alias("ah"), F.col("k").cast("int").alias("k")), "anchors")
     back = length - GRAM
-    whole = rows.where("ah is null").select("doc_id", F.greatest(F.col("pos") - back, F.lit(0)).alias("start"), (F.col("pos") + length).alias("end"))
+    before = F.least(F.col("pos").bitwiseAND(F.lit(_LOW)), F.lit(back))
+    whole = rows.where("ah is null").select("doc_id", (F.col("pos") - before).alias("start"), (F.col("pos") + length).alias("end"))
     whole = whole.select("doc_id", "start", (F.col("end") - F.col("start")).cast("int").alias("size"))
 
-    wanted = rows.where("ah is not null").groupBy("doc_id").agg(F.collect_list(F.struct("ah", "k", "pos")).alias("wanted"))
-    cut = kept(some.join(wanted, "doc_id").mapInArrow(_cut_contexts(length), _CONTEXTS), "contexts")
+    wanted = rows.where("ah is not null").groupBy("doc_id", F.shiftright("pos", _TEXT_BITS).cast("int").alias("which")).agg(F.collect_list(F.struct("ah", "k", "pos")).alias("wanted"))
+    cut = kept(docs.join(wanted, ["doc_id", "which"]).mapInArrow(_cut_contexts(length), _CONTEXTS), "contexts")
     usual = cut.where(F.col("k") <= most_contexts).select("ah", "doc_id", "start", "off", "context")
     crowd = cut.where(F.col("k") > most_contexts).select(F.col("ah").alias("g"), F.lit(0).alias("lo"), F.lit(back).alias("hi"), "doc_id", (F.col("start") + F.col("off")).alias("pos"), "off", "context")
     covers, small = _refined(spark, crowd, length, most_contexts, drop)
@@ -291,7 +318,8 @@ def covered(docs: DataFrame, length: int = 100, most_contexts: int = 512) -> Dat
     settled = usual.repartition(F.col("ah")).sortWithinPartitions("ah").mapInArrow(_settle_groups(length), _COVER)
     for part in covers:
         whole = whole.unionByName(part)
-    out = common.table(whole.unionByName(settled), "covers")
+    runs = whole.unionByName(settled).select("doc_id", F.shiftright("start", _TEXT_BITS).cast("int").alias("which"), F.col("start").bitwiseAND(F.lit(_LOW)).alias("start"), "size")
+    out = common.table(runs, "covers")
     for path in drop:
         common.drop_table(spark, path)
     return out
@@ -317,37 +345,46 @@ def remove(raw: bytes, runs: list[int]) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, spans
 
 
-def _removed(at_text: int, schema_names: list[str], decode: bool):
+def _removed(decode: bool):
     def run(batches):
         for batch in batches:
-            texts, runs = batch.column(at_text).to_pylist(), batch.column("_runs").to_pylist()
-            got = [remove((t or "").encode(), r or []) for t, r in zip(texts, runs)]
-            cols = [batch.column(c) for c in schema_names]
-            cols += [pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64()), pa.array([g[0] for g in got], pa.binary())]
-            if decode:
-                cols[-1] = pa.array([None if t is None else g[0].decode(errors="ignore") if g[1] else t for t, g in zip(texts, got)], pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=[*schema_names, "_n_bytes", "_n_removed", "_n_spans", "_new" if decode else "_kept"])
+            texts = batch.column("text").to_pylist()
+            got = [remove((t or "").encode(), r or []) for t, r in zip(texts, batch.column("runs").to_pylist())]
+            left = [None if t is None else g[0].decode(errors="ignore") if g[1] else t for t, g in zip(texts, got)] if decode else [g[0] for g in got]
+            cols = [batch.column("row"), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64()), pa.array(left, pa.string() if decode else pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, decode: bool = False) -> DataFrame:
-    """``docs`` with _n_bytes, _n_removed, _n_spans (maximal removed runs) and _kept (the bytes that stay).
+def cut_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, decode: bool = False) -> DataFrame:
+    """row (a struct of all columns of ``docs``, whatever their names), n_bytes, n_removed, n_spans (maximal removed runs), kept (the bytes that stay).
 
     Texts are UTF-8 bytes, judged as they come in; matches never cross documents. Earlier means a smaller id, or in
-    one document a smaller start. With ``decode``, _new takes the place of _kept: its text without bytes that are no
-    character any more, null for a null text. Null texts are empty. A row with a null id is left as it is and covers nothing. Rows with
-    one id are one document: each keeps what it would keep alone. An empty table gives no rows. A column of ``docs``
-    with one of the five names, or ``_runs``, is replaced; any other name does no harm. Ties are settled by document and start. A text
-    of any length is read whole: the memory of its task is about a hundred times the text.
+    one document a smaller start. With ``decode`` kept is a text, without bytes that are no character any more, null for a null text.
+    Null texts are empty. A row with a null id is left as it is and covers nothing. Rows with the same id and text are one
+    document, and each keeps what it keeps; different texts of one id are documents of their own, in the order of their MD5 digests.
+    An empty table gives no rows. Ties are settled by document and start. A text of any length is read whole:
+    the memory of its task is about a hundred times the text.
     """
     common.ship(docs.sparkSession)
-    docs = docs.drop("_n_bytes", "_n_removed", "_n_spans", "_kept", "_new", "_runs")
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    of = common.unused(docs, "_of")
-    runs = covered(narrow, length).groupBy(F.col("doc_id").alias(of)).agg(F.collect_list(F.shiftleft(F.col("start").cast("long"), 20) + F.col("size")).alias("_runs"))
-    both = docs.join(runs, F.col(id_col).cast("long") == F.col(of), "left").select(*docs.columns, "_runs")
-    names = docs.columns
-    schema = docs.schema.add("_n_bytes", "long").add("_n_removed", "long").add("_n_spans", "long")
-    schema = schema.add("_new", "string") if decode else schema.add("_kept", "binary")
-    return both.mapInArrow(_removed(names.index(text_col), names, decode), schema)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    told, repeated = _told_apart(rows)
+    runs = covered(told, length).groupBy("doc_id", "which").agg(F.collect_list(F.shiftleft("start", 20) + F.col("size")).alias("runs"))
+    if not repeated:
+        rows = rows.join(runs.select("doc_id", "runs"), "doc_id", "left")
+    else:  # covers of one text are not those of another with its id
+        of = told.select("doc_id", "which", F.md5("text").alias("digest")).distinct().join(runs, ["doc_id", "which"]).select("doc_id", "digest", "runs")
+        rows = rows.withColumn("digest", F.md5("text")).join(of, ["doc_id", "digest"], "left")
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept", T.StringType() if decode else T.BinaryType())])
+    return rows.select("row", "text", "runs").mapInArrow(_removed(decode), schema)
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, decode: bool = False) -> DataFrame:
+    """``docs`` with _n_bytes, _n_removed, _n_spans and _kept, or with ``decode`` _new in its place: ``cut_rows`` in flat columns.
+
+    A column of ``docs`` with one of these five names is replaced; any other name does no harm.
+    """
+    given = {"_n_bytes": "n_bytes", "_n_removed": "n_removed", "_n_spans": "n_spans", "_new" if decode else "_kept": "kept"}
+    cut = cut_rows(docs, id_col, text_col, length, decode)
+    return cut.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in {*given, "_kept", "_new"}], *[F.col(c).alias(n) for n, c in given.items()])

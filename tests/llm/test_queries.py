@@ -220,6 +220,7 @@ def test_crowded_anchor_is_split_by_content(spark):
 def test_every_query_takes_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for name, query in QUERIES.items():
         assert query(spark, str(tmp_path)).count() == (1 if name.startswith("op5") else 0), name
 
