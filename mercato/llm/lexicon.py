@@ -321,7 +321,7 @@ def frequent_pieces(docs: DataFrame, text_col: str, most: int, specials: list[st
     """Keys of the commonest pieces of all texts, at most ``most`` of those that occur more than once.
 
     Counts cover every text. How often a piece must occur follows from a histogram of the counts, in sixteenths of a power of two, so the
-    driver gets its few rows and the pieces above that bound, never more than ``most``.
+    driver gets its few rows and the pieces above that bound, and of those at the bound as many as make ``most``.
     """
     run_id = common.new_run()
 
@@ -349,8 +349,11 @@ def frequent_pieces(docs: DataFrame, text_col: str, most: int, specials: list[st
     levels = sorted(((r["level"], r["count"]) for r in kept.groupBy("level").count().collect()), reverse=True)
     total = np.cumsum([n for _, n in levels])
     enough = int(np.searchsorted(total, most, side="right"))  # so many of the highest levels fit
-    least = levels[enough - 1][0] if enough else None
-    out = sorted(r["piece"] for r in kept.where(F.col("level") >= least).select("piece").collect()) if enough else []
+    wanted = kept.where(F.col("level") >= levels[enough - 1][0]).select("piece") if enough else kept.limit(0).select("piece")
+    if enough < len(levels):  # the next level fills what is left, its pieces in the order of a hash
+        rest = most - int(total[enough - 1] if enough else 0)
+        wanted = wanted.unionByName(kept.where(F.col("level") == levels[enough][0]).orderBy(F.xxhash64("piece"), "piece").limit(rest).select("piece"))
+    out = sorted(r["piece"] for r in wanted.collect())
     common.drop_table(spark, path)
     return out
 
