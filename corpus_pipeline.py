@@ -15,7 +15,7 @@ from mercato.llm.language import keep_identified
 from mercato.llm.minhash import near_duplicates
 from mercato.llm.packing import pack_documents
 from mercato.llm.quality import keep_good
-from mercato.llm.suffix_dedup import deduplicate
+from mercato.llm.suffix_dedup import cut_rows
 
 #: EM and merged n-gram models, hashes and packing have no SQL form; tests hold near_dedup, suffix_dedup and the packing of ``run`` against
 #: brute force, the two stages before against the verdicts of their operators.
@@ -46,10 +46,10 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Passages of 100 bytes and more that an earlier document has are cut out; a text cut to nothing is empty.
 
     A cut within a character leaves the bytes of a part of it, which are dropped; U+FFFD of the text itself stays. n_chars is counted again.
+    Equal rows are one document and stay equal; different texts of one id are documents of their own.
     """
-    cut = deduplicate(docs, decode=True)
-    put = {"text": F.col("_new"), "n_chars": F.length("_new").cast(docs.schema["n_chars"].dataType)}
-    return cut.select(*[put[c].alias(c) if c in put else c for c in docs.columns])
+    put = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)}
+    return cut_rows(docs, decode=True).select(*[put.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
