@@ -258,16 +258,6 @@ def batch_relevance(spark, sf_dir, rate=0.34, least=3):
     return read(spark, sf_dir, "conversations").groupBy("conv_id").agg(verdict.alias("verdict"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'keep' WHEN 1 THEN 'relink' ELSE 'unlink' END AS plan FROM part""")
-def relink_plan(spark, sf_dir):
-    """What becomes of a link: kept where title and product have the same numbers and tier words, moved where another product has them."""
-    k = F.col("p_partkey") % 3
-    mine = F.when(k == 0, "Nova 12 Pro").when(k == 1, "Nova 12 Max").otherwise("Luma 3")
-    codes = lambda s: F.array_sort(F.regexp_extract_all(F.lower(s), F.lit("([0-9]+|pro|max|lite)"), 1))
-    linked, other = F.lit("nova 12 pro"), F.lit("Nova Max 12")
-    return read(spark, sf_dir, "part").select("p_partkey", F.when(codes(mine) == codes(linked), "keep").when(codes(mine) == codes(other), "relink").otherwise("unlink").alias("plan"))
-
-
 @query(over_obs(""", k AS (SELECT product_id, country, min(sale_price) AS lowest, max(ram_gb) AS ram, max(rom_gb) AS rom, arg_max(title, length(title)) AS title FROM obs GROUP BY ALL) SELECT product_id, count(*) AS countries, max(ram) AS ram, max(rom) AS rom, max(length(title)) AS title_chars FROM k GROUP BY product_id"""))
 def renormalised(spark, sf_dir):
     """A product's rows merged: the longest title, the richest specification, field by field."""
@@ -285,22 +275,6 @@ def orphans(spark, sf_dir, latest=60):
     return obs.join(days, "obs_date", "left_semi").join(lost, "product_id", "left_semi").groupBy("country").agg(F.count("*").alias("orphans"))
 
 
-IDENT = """SELECT p_partkey, p_size, p_partkey % 4 AS k, p_brand FROM part"""
-
-
-@query(f"""SELECT p_partkey, CASE WHEN k = 0 THEN 'rule' WHEN k = 1 THEN 'series' WHEN k = 2 THEN 'name' ELSE 'none' END AS source, k = 1 AND p_size % 2 = 0 AS conflict FROM ({IDENT})""")
-def product_identity(spark, sf_dir):
-    """Where a product's identity comes from: an authoritative rule, its series keys, its cleaned name, or nowhere; and whether the sources disagree."""
-    from ..functions.spec import series_keys
-
-    k = F.col("p_partkey") % 4
-    title = F.when(k == 0, F.concat(F.lit("SKU-"), F.col("p_size").cast("string"))).when(k == 1, F.concat(F.lit("Nova "), (F.col("p_size") % 2 + 12).cast("string"))).when(k == 2, "Plain thing").otherwise("")
-    rows = read(spark, sf_dir, "part").select("p_partkey", title.alias("title"))
-    keys, core = series_keys(F.col("title"), ("nova",)), ls.core_model(F.col("title"))
-    source = F.when(F.col("title").rlike("^SKU-[0-9]+$"), "rule").when(F.size(keys) > 0, "series").when(F.length(core) >= 3, "name").otherwise("none")
-    return rows.select("p_partkey", source.alias("source"), (F.array_contains(keys, "nova 12")).alias("conflict"))
-
-
 @query("SELECT doc_id, CASE WHEN regexp_matches(lower(text), '\\b(sale|discount|promo|oferta)') THEN 'promo' WHEN regexp_matches(lower(text), '\\b(rumou?r|leak|filtra)') THEN 'rumor' WHEN regexp_matches(lower(text), '\\b(review|hands-on|rese)') THEN 'review' WHEN regexp_matches(lower(text), '\\b(update|android|firmware)') THEN 'software' WHEN regexp_matches(lower(text), '\\b(launch|announce|lanza)') THEN 'launch' ELSE 'other' END AS kind FROM documents")
 def event_kinds(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", event_kind(F.col("text")).alias("kind"))
