@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-AREAS = ("boards", "moves", "series", "audit", "matching", "reviews", "strategy", "weekly", "operations", "retrieval", "textual", "incremental", "listings", "periods", "ingest", "upkeep", "brief", "lines", "identity")
+AREAS = ("boards", "moves", "series", "audit", "matching", "reviews", "strategy", "weekly", "operations", "retrieval", "textual", "incremental", "listings", "periods", "ingest", "upkeep", "brief", "lines", "identity", "webpages")
 
 _QUERIES: dict[str, Callable] = {}
 _ORACLES: dict[str, str] = {}
