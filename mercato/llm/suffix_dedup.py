@@ -158,7 +158,9 @@ def _longest_shared(parts: list[bytes]) -> list[int]:
     return best
 
 
-_END = b"\xff"  # no UTF-8 text has this byte, so no common string goes beyond a context
+#: No UTF-8 text has these bytes: no common string goes beyond a context's end, and the anchor, which all strings of a context hold at the
+#: same place if they are equal, is one symbol.
+_END, _ANCHOR = b"\xff", b"\xfe"
 
 
 def repeats(contexts: list[tuple[int, int, int, bytes]], length: int) -> list[tuple[int, int]]:
@@ -169,14 +171,14 @@ def repeats(contexts: list[tuple[int, int, int, bytes]], length: int) -> list[tu
     """
     left = _longest_shared([c[:off][::-1] for _, _, off, c in contexts])
     right = _longest_shared([c[off + GRAM :] for _, _, off, c in contexts])
-    parts, origin = [], []
+    parts, origin, symbols = [], [], length - GRAM + 1
     for (doc_id, start, off, c), a, b in zip(contexts, left, right):
         m = a + GRAM + b - length + 1
         if m < 1:
             continue
-        parts.append(c[off - a : off + GRAM + b])
+        parts.append(c[off - a : off] + _ANCHOR + c[off + GRAM : off + GRAM + b])
         origin += [(doc_id, start + off - a + j) for j in range(m)]
-        origin += [None] * length  # starts with too few bytes before the end
+        origin += [None] * symbols  # starts with too few bytes before the end
     if not parts:
         return []
     text = _END.join(parts) + _END
@@ -184,7 +186,7 @@ def repeats(contexts: list[tuple[int, int, int, bytes]], length: int) -> list[tu
     for s in suffix_array(text):
         if origin[s] is None:
             continue
-        if (this := text[s : s + length]) != last:
+        if (this := text[s : s + symbols]) != last:
             late += sorted(set(run))[1:]
             run, last = [], this
         run.append(origin[s])
