@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.spec import model_key
 from ..operators import filters as flt
+from ..operators.provenance import revoke
 from ..operators.state import protect, upsert_latest
 from ..sources.shared import new_path
 from ..sources.tables import OWN_BRAND, observations, over_obs, read
@@ -168,12 +169,20 @@ def rerun_days(spark, sf_dir, channel=3):
     return obs.join(days, "obs_date", "left_semi").groupBy("obs_date").agg(F.count("*").alias("n"), r4(F.min("sale_price")).alias("lowest"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 10 = 0 AND p_partkey % 2 = 0 THEN NULL ELSE p_size END AS ram, CASE WHEN p_size % 10 = 0 AND p_partkey % 2 = 0 THEN 'revoked' WHEN p_size % 10 = 0 THEN 'inferred' ELSE 'source' END AS state FROM part""")
+@query("""WITH RECURSIVE p AS (SELECT p_partkey, CASE WHEN p_size % 10 <> 0 THEN 2 + 2 * (p_size % 5) END AS ram, lag(p_partkey) OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS before FROM part),
+    v AS (SELECT p_partkey, ram AS value, CASE WHEN ram IS NULL THEN 'none' ELSE 'source' END AS origin, 0 AS steps FROM p WHERE ram IS NOT NULL OR before IS NULL UNION ALL SELECT p.p_partkey, v.value, CASE WHEN v.value IS NULL THEN 'none' ELSE 'inferred' END, steps + 1 FROM p JOIN v ON p.before = v.p_partkey WHERE p.ram IS NULL),
+    ch AS (SELECT DISTINCT l_partkey AS p_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 50), g AS (SELECT p_partkey FROM ch UNION SELECT p.p_partkey FROM p JOIN g ON p.before = g.p_partkey WHERE p.ram IS NULL)
+    SELECT v.p_partkey, CASE WHEN origin = 'inferred' AND g.p_partkey IS NOT NULL THEN NULL ELSE CAST(value AS INTEGER) END AS ram, CASE WHEN origin = 'inferred' AND g.p_partkey IS NOT NULL THEN 'revoked' ELSE origin END AS state FROM v
+    LEFT JOIN (SELECT DISTINCT p.p_partkey FROM p JOIN g ON p.before = g.p_partkey WHERE p.ram IS NULL) g ON g.p_partkey = v.p_partkey""")
 def spec_revoke(spark, sf_dir):
-    """An inferred value lasts as long as what it came from: it is computed from its source, so it goes when the source changes."""
-    p = read(spark, sf_dir, "part")
-    inferred, changed = F.col("p_size") % 10 == 0, F.col("p_partkey") % 2 == 0
-    return p.select("p_partkey", F.when(~(inferred & changed), F.col("p_size")).alias("ram"), F.when(inferred & changed, "revoked").when(inferred, "inferred").otherwise("source").alias("state"))
+    """Unknown memory is carried on from the product before it in brand and category, over any number of steps; what came from products whose listings were returned in bulk is taken back, and nothing else."""
+    w = Window.partitionBy("p_brand", "p_type").orderBy("p_partkey")
+    known = F.when(F.col("p_size") % 10 != 0, 2 + 2 * (F.col("p_size") % 5)).cast("int")
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("fact"), known.alias("ram"), F.lag("p_partkey").over(w).alias("premise"), F.last(known, ignorenulls=True).over(w).alias("value"))
+    facts = p.select("fact", "value", F.when(F.col("ram").isNotNull(), "source").when(F.col("value").isNotNull(), "inferred").otherwise("none").alias("origin"))
+    edges = p.where("ram is null").select(F.col("fact").alias("derived"), "premise")
+    changed = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity >= 50").select(F.col("l_partkey").alias("fact")).distinct()
+    return revoke(facts, edges, changed).select(F.col("fact").alias("p_partkey"), F.col("value").alias("ram"), F.col("origin").alias("state"))
 
 
 @query("""WITH k AS (SELECT p_brand, p_name, min(p_partkey) AS primary_id, count(*) AS merged, max(p_size) AS size, max(p_retailprice) AS price FROM part GROUP BY p_brand, p_name) SELECT p.p_partkey AS before, k.primary_id AS after, k.merged, k.size FROM part p JOIN k ON p.p_brand = k.p_brand AND p.p_name = k.p_name WHERE p.p_partkey <> k.primary_id""")
