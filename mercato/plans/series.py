@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators import filters as flt
 from ..operators.asof import carry_forward, spine
+from ..operators.chains import chain_index
 from ..operators.quantiles import interpolated
-from ..sources.shipping import ship
 from ..sources.tables import observations, over_obs, read
 from .registry import query
 
@@ -93,11 +92,8 @@ def basket_level(spark, sf_dir):
     return day.join(size, "series").select("series", "day", "present", F.when(F.col("present") >= 0.5 * F.col("members"), r4(F.col("m"))).alias("level"))
 
 
-CHAIN = T.StructType([T.StructField("series", T.LongType()), T.StructField("day", T.DateType()), T.StructField("pairs", T.LongType()), T.StructField("chain_index", T.DoubleType())])
-
-
 def fold_chain(days: list, prices: list[dict], min_pairs: int = 3, can_rebase=None) -> list[tuple]:
-    """The chained index of one series: (pairs, index) for each day.
+    """The chained index of one short series by hand: (pairs, index) for each day. ``operators.chains`` spreads the same rule.
 
     A day with at least ``min_pairs`` members of the base day moves the index by the median of their ratios and becomes the base. A day with
     fewer has no index (a break); it still becomes the base if ``can_rebase`` says its coverage is good, and the
@@ -122,26 +118,21 @@ def fold_chain(days: list, prices: list[dict], min_pairs: int = 3, can_rebase=No
     return out
 
 
-@query()
+@query(
+    DAILY.replace("WITH d AS", "WITH RECURSIVE d AS", 1) + """, b AS (SELECT d.*, user_id % 10 AS series FROM d), act AS (SELECT series, count(DISTINCT day) AS active FROM b GROUP BY series),
+    mem AS (SELECT b.series, user_id FROM b JOIN act USING (series) GROUP BY b.series, user_id, active HAVING count(*) >= greatest(2, floor(active * 0.6))),
+    k AS (SELECT b.series, b.user_id, day, v FROM b JOIN mem ON b.user_id = mem.user_id WHERE v IS NOT NULL), sz AS (SELECT series, count(DISTINCT user_id) AS members FROM k GROUP BY series),
+    dy AS (SELECT k.series, day, count(*) >= 0.5 * members AS covered, row_number() OVER (PARTITION BY k.series ORDER BY day) AS rn FROM k JOIN sz USING (series) GROUP BY k.series, day, members),
+    pr AS (SELECT a.series, a.day AS base, c.day, count(*) AS pairs, median(c.v / a.v) AS step FROM k a JOIN k c ON c.series = a.series AND c.user_id = a.user_id AND c.day > a.day WHERE a.v <> 0 GROUP BY ALL),
+    f AS (SELECT series, rn, day, day AS base, CAST(100 AS DOUBLE) AS level, CAST(0 AS BIGINT) AS pairs, CAST(100 AS DOUBLE) AS chain_index FROM dy WHERE rn = 1
+      UNION ALL SELECT n.series, n.rn, n.day, CASE WHEN coalesce(pr.pairs, 0) >= 3 OR n.covered THEN n.day ELSE f.base END, CASE WHEN coalesce(pr.pairs, 0) >= 3 THEN f.level * pr.step ELSE f.level END, coalesce(pr.pairs, 0), CASE WHEN coalesce(pr.pairs, 0) >= 3 THEN f.level * pr.step END
+      FROM f JOIN dy n ON n.series = f.series AND n.rn = f.rn + 1 LEFT JOIN pr ON pr.series = f.series AND pr.base = f.base AND pr.day = n.day)
+    SELECT series, day, pairs, round(chain_index + 1e-9, 4) AS chain_index FROM f"""
+)
 def basket_chain_index(spark, sf_dir):
-    """The chained index of fixed baskets, with breaks and re-basing on well covered days: a fold over one series' days.
-
-    A series is a fixed basket of bounded size over a calendar; the fold's input is one row per series, not its raw observations.
-    """
-    ship(spark)
-    d = _fixed_basket(spark, sf_dir)
-
-    def fold(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("day")
-        days = list(dict.fromkeys(pdf["day"]))
-        by = {k: dict(zip(g["user_id"], g["v"])) for k, g in pdf.groupby("day")}
-        size = pdf["user_id"].nunique()
-        rows = fold_chain(days, [by[k] for k in days], can_rebase=lambda t: len(t) >= 0.5 * size)
-        return pd.DataFrame({"series": pdf["series"].iloc[0], "day": days, "pairs": [r[0] for r in rows], "chain_index": [None if r[1] is None else round(r[1], 4) for r in rows]})
-
-    return d.groupBy("series").applyInPandas(fold, CHAIN)
+    """The chained index of fixed baskets, with breaks and re-basing on well covered days."""
+    d = _fixed_basket(spark, sf_dir).select("series", "day", F.col("user_id").alias("member"), "v")
+    return chain_index(d).select("series", "day", "pairs", r4(F.col("chain_index")).alias("chain_index"))
 
 
 @query(
