@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import as_text
-from ..operators.state import append_archive
+from ..sources.archive import archived, publish, verify
 from ..sources.shared import new_path
 from ..sources.tables import evolve, observations, over_obs, read
+from ..sources.versions import Versions
 from .registry import query
 
 r4 = lambda c: F.round(c + 1e-9, 4)
@@ -116,30 +117,33 @@ def seed_countries(spark, sf_dir):
     return said.select(F.col("c")["name"].alias("country"), F.col("c")["currency"].alias("currency"), F.col("c")["enabled"].cast("boolean").alias("enabled"))
 
 
-@query(over_obs(" SELECT CAST(CAST(date_trunc('month', obs_date) AS DATE) AS VARCHAR) AS part, count(*) AS n_rows, count(DISTINCT country) AS countries FROM obs GROUP BY 1"))
+_RUNS = """SELECT CAST(CAST(date_trunc('month', CAST(l_shipdate AS DATE)) AS DATE) AS VARCHAR) AS part, l_linenumber <= 5 AS first_run, l_linenumber <= CASE WHEN year(CAST(l_shipdate AS DATE)) = 1997 THEN 4 ELSE 7 END AS second_run, l_partkey FROM lineitem"""
+_COUNTS = f"WITH r AS ({_RUNS}), c AS (SELECT part, count(CASE WHEN first_run THEN 1 END) AS had, count(CASE WHEN second_run THEN 1 END) AS has, count(DISTINCT CASE WHEN first_run THEN l_partkey END) AS p1, count(DISTINCT CASE WHEN second_run THEN l_partkey END) AS p2 FROM r GROUP BY part)"
+
+
+def archived_runs(spark, sf_dir):
+    """The line items archived twice: a first run without late lines, a second one with all but for a year whose rows were lost in part."""
+    li = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", F.to_date("l_shipdate").alias("day"))
+    li = li.withColumn("part", F.to_date(F.date_trunc("month", "day")).cast("string"))
+    store = Versions(spark, new_path(spark, "archive"))
+    publish(store, li.where("l_linenumber <= 5"), "part", 2, "l_partkey")
+    return store, publish(store, li.where(F.col("l_linenumber") <= F.when(F.year("day") == 1997, 4).otherwise(7)), "part", 2, "l_partkey")
+
+
+@query(_COUNTS + " SELECT part, nullif(had, 0) AS had, nullif(has, 0) AS has, CASE WHEN has = 0 THEN 'kept' WHEN had = 0 THEN 'new' WHEN has < had THEN 'refused' WHEN has = had THEN 'same' ELSE 'grown' END AS state, greatest(had, has) AS n_rows, CASE WHEN has < had THEN p1 ELSE p2 END AS products FROM c WHERE had > 0 OR has > 0")
 def partition_export(spark, sf_dir):
-    """The fact as compressed CSV by month, written only where a partition does not shrink against the manifest, and counted from the files."""
-    obs = observations(spark, sf_dir).select("country", "product_id", "sale_price", "obs_date", F.to_date(F.date_trunc("month", "obs_date")).cast("string").alias("part"))
-    manifest = obs.groupBy("part").agg((F.count("*") - 1).alias("rows_"))
-    fresh = obs.groupBy("part").agg(F.count("*").alias("rows_"))
-    path = new_path(spark, "export")
-    # The months' rows are spread over files by a hash beside the month, so one month is not one task's.
-    may = obs.join(append_archive(manifest, fresh, "part").select("part"), "part", "left_semi")
-    may.repartition("part", F.pmod(F.xxhash64("product_id"), F.lit(4))).write.partitionBy("part").option("compression", "gzip").csv(path)
-    back = spark.read.schema("country string, product_id long, sale_price double, obs_date date, part string").csv(path)
-    return back.groupBy("part").agg(F.count("*").alias("n_rows"), F.countDistinct("country").alias("countries"))
-
-
-@query("SELECT 1 AS files, 0 AS mismatched")
+    """The fact as compressed CSV by month: months that would shrink against the last run's manifest are refused and keep their files; counted from the archive."""
+    store, decided = archived_runs(spark, sf_dir)
+    rows = archived(store, "l_partkey long, l_suppkey long, l_linenumber int, day date")
+    return decided.join(rows.groupBy("part").agg(F.count("*").alias("n_rows"), F.countDistinct("l_partkey").alias("products")), "part", "left")
+
+
+@query(_COUNTS + " SELECT part, greatest(had, has) AS noted_rows, CASE WHEN has < had THEN 1 ELSE 2 END AS run, CAST(0 AS BIGINT) AS bad FROM c WHERE had > 0 OR has > 0")
 def manifest_check(spark, sf_dir):
-    """Files read back as bytes and held against the checksums noted for them."""
-    path = new_path(spark, "manifest")
-    read(spark, sf_dir, "nation").coalesce(1).write.option("compression", "gzip").csv(path)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv.gz").load(path).select("path", "length", F.sha2("content", 256).alias("sha"))
-    noted = new_path(spark, "noted")
-    files.write.json(noted)
-    both = files.join(spark.read.schema("path string, length long, sha string").json(noted).withColumnRenamed("sha", "was"), ["path", "length"], "left")
-    return both.agg(F.count("*").alias("files"), F.count(F.when(~F.col("sha").eqNullSafe(F.col("was")), 1)).alias("mismatched"))
+    """What the manifest notes for each month, from which run its files are, and how many of them have other bytes than were published."""
+    store, _ = archived_runs(spark, sf_dir)
+    noted = store.read("files").groupBy("part").agg(F.sum("n_rows").alias("noted_rows"), F.max("run").alias("run"))
+    return noted.join(verify(store).groupBy("part").agg(F.count(F.when(F.col("status") != "ok", 1)).alias("bad")), "part")
 
 
 @query(over_obs(""", m AS (SELECT max(obs_date) AS d FROM obs) SELECT p_partkey, p_brand, d AS asof FROM part, m"""))

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.spec import model_key
 from ..operators import filters as flt
+from ..operators.merges import Child, dry_run, rollback
+from ..operators.merges import apply as apply_merge
 from ..operators.provenance import revoke
 from ..operators.state import protect, upsert_latest
 from ..sources.shared import new_path
 from ..sources.tables import OWN_BRAND, observations, over_obs, read
+from ..sources.versions import Versions
 from .matching import CANDIDATES, scored_pairs
 from .moves import MOVES, moves
 from .registry import query
@@ -193,6 +196,36 @@ def merge_plan(spark, sf_dir):
     return p.join(k, ["p_brand", "p_name"]).where("p_partkey <> after").select(F.col("p_partkey").alias("before"), "after", "merged", "size")
 
 
+_MERGED = """WITH k AS (SELECT p_brand, p_name, min(p_partkey) AS after FROM part GROUP BY p_brand, p_name), pl AS (SELECT p.p_partkey AS before, after FROM part p JOIN k ON p.p_brand = k.p_brand AND p.p_name = k.p_name WHERE p.p_partkey <> after),
+    o AS (SELECT DISTINCT l_partkey AS product, l_suppkey AS channel, CAST(l_shipdate AS DATE) AS day FROM lineitem), m AS (SELECT o.*, pl.after FROM o LEFT JOIN pl ON pl.before = o.product), w AS (SELECT DISTINCT l_partkey AS product, l_suppkey AS channel FROM lineitem WHERE l_quantity >= 45)"""
+
+
+@query(_MERGED + """ SELECT 'products' AS table_name, (SELECT count(*) FROM part) AS rows_before, (SELECT count(*) FROM part) - (SELECT count(*) FROM pl) AS rows_after, (SELECT count(*) FROM pl) + (SELECT count(DISTINCT after) FROM pl) AS touched, true AS as_planned, true AS restored
+    UNION ALL SELECT 'obs', (SELECT count(*) FROM m), (SELECT count(*) FROM (SELECT DISTINCT coalesce(after, product), channel, day FROM m)), (SELECT count(*) FROM m WHERE after IS NOT NULL), true, true
+    UNION ALL SELECT 'watched', (SELECT count(*) FROM w), (SELECT count(*) FROM w WHERE product NOT IN (SELECT before FROM pl)), (SELECT count(*) FROM w WHERE product IN (SELECT before FROM pl)), true, true""")
+def merge_rehearsal(spark, sf_dir):
+    """Products of one brand and name merged over three tables: what the dry run says, whether applying it did just that, and whether the rollback gave every row back."""
+    p, li = read(spark, sf_dir, "part"), read(spark, sf_dir, "lineitem")
+    products = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
+    obs = li.groupBy(F.col("l_partkey").alias("product"), F.col("l_suppkey").alias("channel"), F.to_date("l_shipdate").alias("day")).agg(F.min("l_extendedprice").alias("price"))
+    watched = li.where("l_quantity >= 45").select(F.col("l_partkey").alias("product"), F.col("l_suppkey").alias("channel")).distinct()
+    store = Versions(spark, new_path(spark, "merges"))
+    store.commit({"products": products, "obs": obs.withColumn("id", F.concat_ws("/", "product", "channel", "day")), "watched": watched.withColumn("id", F.concat_ws("/", "product", "channel"))}, 0)
+    args = (merge_plan(spark, sf_dir), ("products", "id"), [Child("obs", "id", "product", ("product", "channel", "day")), Child("watched", "id", "product", derived=True)], ("name",), ("size", "price"))
+
+    def stamps(version):
+        """table_name, n, stamp of each table: one row each."""
+        each = [store.read(t, version).agg(F.count("*").alias("n"), F.sum(F.xxhash64("*").cast("decimal(38,0)")).alias("stamp")).select(F.lit(t).alias("table_name"), "*") for t in ("products", "obs", "watched")]
+        return each[0].unionByName(each[1]).unionByName(each[2])
+
+    planned = dry_run(store, *args)
+    done = apply_merge(store, *args)
+    undone = rollback(store, done)
+    was, then, back = (stamps(v).select("table_name", F.struct("n", "stamp").alias(name)) for v, name in ((1, "was"), (done, "then"), (undone, "back")))
+    rows = planned.join(was, "table_name").join(then, "table_name").join(back, "table_name")
+    return rows.select("table_name", "rows_before", "rows_after", "touched", (F.col("then.n") == F.col("rows_after")).alias("as_planned"), (F.col("was") == F.col("back")).alias("restored"))
+
+
 @query("""WITH r AS (SELECT user_id, ts, event_type, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events), m AS (SELECT max(ts) AS now FROM events) SELECT user_id, count(*) AS dangling FROM r, m WHERE event_type = 'click' AND nxt IS NULL AND ts < now - INTERVAL 30 HOUR GROUP BY user_id""")
 def dangling_runs(spark, sf_dir, hours=30):
     """Runs that began, have nothing after them and are older than any run takes: they are marked as ended."""
