@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .chatty import json_object  # noqa: F401
+
 NULLISH = ("", "null", "none", "nan", "n/a", "-")
 
 
@@ -130,18 +132,6 @@ def block_kind(text: Column, head: int = 4000) -> Column:
     return F.coalesce(*[F.when(t.rlike("|".join(words)), kind) for kind, words in BLOCK_WORDS.items()], F.lit("none"))
 
 
-def json_object(text: Column) -> Column:
-    """The first balanced object of a chatty text, as JSON text; null if there is none that parses.
-
-    Braces are counted outside of strings: what closes the first open brace ends the object.
-    """
-    body = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    depth = lambda s: F.length(F.regexp_replace(s, r"[^{]", "")) - F.length(F.regexp_replace(s, r"[^}]", ""))
-    cuts = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(body), F.lit(1))), lambda i: F.substring(body, i, F.lit(1)) == "}"), lambda i: F.substring(body, F.lit(1), i))
-    level = lambda s: depth(F.regexp_replace(s, r'(?s)"(?:\\.|[^"\\])*"', ""))
-    return F.get(F.filter(cuts, lambda s: (level(s) == 0) & F.try_parse_json(s).isNotNull()), F.lit(0))
-
-
 def seller_kind(seller: Column, brand: Column, channel_kind: Column) -> Column:
     """Ladder: the brand's own store, a seller named as the channel's own, an official store of the brand, another name, unknown."""
     s = F.lower(F.trim(seller))

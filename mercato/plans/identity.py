@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rewrite import RULES, Rule, name_key, normalise, read_rules, usable, variants
 from ..operators.identity import identity, relink, resolve, upsert_products
+from ..operators.phrases import longest_hits, phrase_hits
 from ..sources.tables import read
 from .registry import query
 
@@ -100,6 +101,23 @@ def known_names(spark, sf_dir):
     return each.groupBy("doc_id").agg(longest.alias("x")).select("doc_id", F.col("x.variant").alias("known_as"), "x.n_words", "x.n")
 
 
+_FLAT = lambda x: f"trim(regexp_replace(translate(lower(coalesce({x}, '')), 'áàâãäéèêëíìîïóòôõöúùûüñç', 'aaaaaeeeeiiiiooooouuuunc'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+@query(LINE_SQL.replace("WITH l AS", "WITH RECURSIVE l AS", 1) + f""", c AS (SELECT name FROM n WHERE {_usable("name")} GROUP BY name HAVING count(*) > 1), ph AS (SELECT f AS phrase, len(string_split(f, ' ')) AS n, min(name) AS value FROM (SELECT name, {_FLAT("name")} AS f FROM c) WHERE f <> '' GROUP BY f),
+    t AS (SELECT doc_id, string_split({_FLAT("text")}, ' ') AS w FROM documents), p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM t), k AS (SELECT DISTINCT n FROM ph),
+    h AS (SELECT doc_id, pos, ph.n, ph.phrase FROM p CROSS JOIN k JOIN ph ON ph.n = k.n WHERE ph.phrase = array_to_string(list_slice(w, pos, pos + k.n - 1), ' ') AND pos + k.n - 1 <= len(w)),
+    b AS (SELECT doc_id, pos, max(n) AS n FROM h GROUP BY doc_id, pos), rd AS (SELECT doc_id, CAST(0 AS BIGINT) AS pos, CAST(1 AS BIGINT) AS free FROM (SELECT DISTINCT doc_id FROM b) UNION ALL SELECT doc_id, pos, free FROM (SELECT b.doc_id, b.pos, b.pos + b.n AS free, row_number() OVER (PARTITION BY b.doc_id ORDER BY b.pos) AS rn FROM rd JOIN b ON b.doc_id = rd.doc_id AND b.pos >= rd.free) WHERE rn = 1)
+    SELECT rd.doc_id, count(*) AS named, count(DISTINCT array_to_string(list_slice(w, rd.pos, rd.free - 1), ' ')) AS names, CAST(min(rd.pos) AS INTEGER) AS first_at FROM rd JOIN t ON t.doc_id = rd.doc_id WHERE rd.pos > 0 GROUP BY rd.doc_id""")
+def names_in_texts(spark, sf_dir):
+    """How often the names that several documents have stand in whole texts, read from the left, the longest name first: a dictionary that is a table."""
+    named = named_lines(spark, sf_dir).where(usable(F.col("name"), 3))
+    catalogue = named.groupBy(F.col("name").alias("phrase")).agg(F.count("*").alias("n")).where("n > 1").select("phrase", F.col("phrase").alias("value"))
+    texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    hits = longest_hits(phrase_hits(texts, catalogue))
+    return hits.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("named"), F.countDistinct("phrase").alias("names"), F.min("at").alias("first_at"))
+
+
 _STAGES = PART_LADDER[0]
 IDENT_SQL = f"""WITH t AS (SELECT p_partkey, p_brand AS brand, p_type AS category, p_size, p_retailprice, p_name || ' ' || lower(p_type) || ' ' || CAST(p_size AS VARCHAR) AS title FROM part),
     s AS (SELECT *, regexp_matches(title, '\\b(ring|bolt)\\b') AS acc, regexp_matches(title, '^(hot|cold) gizmo\\b') AS att, CASE WHEN regexp_matches(title, '\\bwidget\\b') THEN 'Widget' WHEN regexp_matches(title, '\\bgizmo\\b') THEN 'Gizmo' END AS sku,

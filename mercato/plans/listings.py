@@ -9,6 +9,7 @@ from ..functions import price as pr
 from ..functions import spec as sp
 from ..functions import text as tx
 from ..operators import filters as flt
+from ..sources.shipping import ship
 from ..sources.tables import OWN_BRAND, observations, over_obs, read
 from .registry import query
 
@@ -146,6 +147,7 @@ SAID = """SELECT p_partkey, p_size, CASE p_partkey % 4 WHEN 0 THEN CAST(1 + p_si
     '{{"a": {{"b": ' || CAST(p_size AS VARCHAR) || ', "c": "}}"}}}}' AS object FROM ({SAID})""")
 def said_and_dated(spark, sf_dir):
     """Relative and absolute dates, words that mean nothing, and the balanced object of a chatty answer."""
+    ship(spark)
     p = read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name")
     ago = F.when(F.col("k") == 0, F.concat((1 + F.col("p_size") % 9).cast("string"), F.lit(" days ago"))).when(F.col("k") == 1, F.concat((1 + F.col("p_size") % 5).cast("string"), F.lit(" weeks ago"))).when(F.col("k") == 2, "1 month ago").otherwise("yesterday?")
     day = F.when(F.col("k") == 0, "2024-02-03").when(F.col("k") == 1, "03/02/2024").when(F.col("k") == 2, "3 Feb 2024").otherwise("soon")

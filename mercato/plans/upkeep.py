@@ -9,6 +9,7 @@ from ..functions.spec import model_key
 from ..operators import filters as flt
 from ..operators.merges import Child, dry_run, rollback
 from ..operators.merges import apply as apply_merge
+from ..operators.phrases import contained
 from ..operators.provenance import revoke
 from ..operators.state import protect, upsert_latest
 from ..sources.shared import new_path
@@ -83,16 +84,16 @@ def link_by_id_or_key(spark, sf_dir):
     return both.select("row_id", F.coalesce("a", "b").alias("product_id"), F.when(F.col("a").isNotNull(), "id").when(F.col("b").isNotNull(), "key").alias("how"))
 
 
-@query("""WITH w AS (SELECT conv_id, turn, substring(text, 1, 12 + CAST(turn % 3 AS INTEGER) * 20) AS t FROM conversations UNION ALL SELECT conv_id, turn + 100, substring(text, 1, 10) FROM conversations)
-    SELECT conv_id, count(*) AS kept FROM (SELECT DISTINCT conv_id, t FROM w) a WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT conv_id, t FROM w) b WHERE b.conv_id = a.conv_id AND length(b.t) > length(a.t) AND contains(b.t, a.t)) GROUP BY conv_id""")
+@query("""WITH s AS (SELECT conv_id, turn, text, unnest(string_split(text, '. ')) AS piece FROM conversations), w AS (SELECT DISTINCT conv_id, text AS t FROM conversations WHERE text <> '' UNION SELECT conv_id, piece FROM s WHERE piece <> '')
+    SELECT conv_id, count(*) AS kept FROM w a WHERE NOT EXISTS (SELECT 1 FROM w b WHERE b.conv_id = a.conv_id AND length(b.t) > length(a.t) AND contains(b.t, a.t)) GROUP BY conv_id""")
 def drop_nested(spark, sf_dir):
-    """Texts of a page that no longer text of the page contains. A page's blocks are one bounded list."""
+    """Turns and their sentences, whole, less those that a longer text of the conversation contains."""
     c = read(spark, sf_dir, "conversations")
-    long = c.select("conv_id", F.substring("text", F.lit(1), (12 + F.col("turn") % 3 * 20).cast("int")).alias("t"))
-    every = long.unionByName(c.select("conv_id", F.substring("text", 1, 10).alias("t")))
-    page = every.groupBy("conv_id").agg(F.collect_set("t").alias("ts"))
-    kept = F.filter("ts", lambda x: ~F.exists("ts", lambda y: (F.length(y) > F.length(x)) & y.contains(x)))
-    return page.select("conv_id", F.size(kept).cast("long").alias("kept"))
+    pieces = c.select("conv_id", F.explode(F.split("text", r"\. ")).alias("text"))
+    texts = c.select("conv_id", "text").unionByName(pieces).where("text <> ''").distinct().withColumn("n", F.length("text"))
+    ids = texts.select("conv_id", F.struct("n", "text").alias("id"), "text")
+    held = contained(ids.withColumnRenamed("id", "holder"), ids.withColumnRenamed("id", "item"), ("conv_id",)).where("holder.n > item.n").select("conv_id", F.col("item.text").alias("text")).distinct()
+    return texts.join(held, ["conv_id", "text"], "left_anti").groupBy("conv_id").agg(F.count("*").alias("kept"))
 
 
 #: Names by which a thing is known; the longest that stands in a text as whole words counts.
@@ -117,8 +118,7 @@ def enabled_categories(spark, sf_dir):
 def contained_items(spark, sf_dir, words=8):
     """Documents that contain a benchmark item: candidates meet on the item's inner words by equality, then ``contains`` decides.
 
-    An item's second to ninth words stand whole in any text that contains it; items of fewer than ten words, of which there must be few, are held
-    against all texts.
+    An item's second to ninth words stand whole in any text that contains it; items of fewer than ten words meet texts on a run of their characters.
     """
     space = r"\s+"
     d = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -127,8 +127,8 @@ def contained_items(spark, sf_dir, words=8):
     long = b.where(F.size("w") >= words + 2).select("item_id", "item", gram(F.col("w"), F.lit(2)).alias("g"))
     grams = d.select("doc_id", F.split("text", space).alias("w")).where(F.size("w") >= words).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: gram(F.col("w"), i)))).alias("g"))
     near = grams.join(long, "g").select("doc_id", "item_id", "item").distinct().join(d, "doc_id").where(F.col("text").contains(F.col("item")))
-    short = b.where(F.size("w") < words + 2).select("item_id", "item")
-    also = d.join(F.broadcast(short), F.col("text").contains(F.col("item"))) if short.limit(1001).count() <= 1000 else d.join(short, F.col("text").contains(F.col("item")))
+    short = b.where(F.size("w") < words + 2).select(F.col("item_id").alias("item"), F.col("item").alias("text"))
+    also = contained(d.withColumnRenamed("doc_id", "holder"), short).select(F.col("item").alias("item_id"), F.col("holder").alias("doc_id"))
     hits = near.select("item_id", "doc_id").unionByName(also.select("item_id", "doc_id")).groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
     return b.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"), "first_doc")
 
