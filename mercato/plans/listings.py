@@ -63,6 +63,8 @@ def spec_sheets(spark, sf_dir):
 
 #: Tiers of invented chips: the longest key decides.
 CHIPS = {"nova8gen1": 6, "nova8gen2": 7, "nova8": 5, "luma900": 4, "luma9000": 9}
+#: Words of the names in the table that say nothing about the tier.
+CHIP_MAKERS = ("mobile", "platform", "processor", "cpu", "samsung", "qualcomm", "mediatek")
 CHIP = """SELECT p_partkey, p_size, CASE p_partkey % 6 WHEN 0 THEN 'Qualcomm Nova 8 Gen 2' WHEN 1 THEN 'Nova 8 Gen 1 Mobile Platform' WHEN 2 THEN 'MediaTek Luma 9000' WHEN 3 THEN 'luma-900 processor' WHEN 4 THEN 'Samsung CPU' ELSE 'Other 77' END AS chip, p_partkey % 6 AS k FROM part"""
 
 
@@ -70,7 +72,7 @@ CHIP = """SELECT p_partkey, p_size, CASE p_partkey % 6 WHEN 0 THEN 'Qualcomm Nov
     FROM (SELECT *, [7, 6, 9, 4, NULL, NULL][k + 1] AS tier FROM ({CHIP}))""")
 def chip_tiers(spark, sf_dir):
     """A chip's tier, exact or by the longest key within, scored against another's; and the nearness of two sizes."""
-    tier = sp.chip_tier(F.col("chip"), CHIPS)
+    tier = sp.chip_tier(F.col("chip"), CHIPS, CHIP_MAKERS)
     return written(spark, sf_dir, CHIP).select("p_partkey", tier.alias("tier"), sp.tier_score(tier, F.col("p_size") % 10).alias("score"), r4(sp.ratio_score(F.col("p_size"), F.lit(25.0), 0.5)).alias("near"))
 
 

@@ -57,30 +57,43 @@ def period_counts(spark, sf_dir):
     )
 
 
-#: Approximate promotion days by month and day; the last Friday of November and the Monday after it are computed.
-FIXED_DAYS = (("christmas", 12, 25), ("hot_sale", 5, 20), ("mid_year", 7, 15), ("cyber_day", 10, 15))
-_FIXED = " UNION ALL ".join(f"SELECT make_date(y, {m}, {d}) AS promo_day, '{n}' AS promo FROM yrs" for n, m, d in FIXED_DAYS)
+_CALENDAR = """SELECT n_name AS country, 'national week' AS promo, 1 + n_nationkey % 12 AS m, 1 + n_nationkey % 28 AS d FROM nation UNION ALL SELECT n_name, r_name || ' sale', 1 + (n_regionkey * 5 + 2) % 12, 15 FROM nation JOIN region ON n_regionkey = r_regionkey"""
 
 
-def promo_calendar(years: DataFrame) -> DataFrame:
-    """promo, promo_day of each year (column y)."""
-    friday = F.date_sub(F.next_day(F.make_date("y", F.lit(11), F.lit(30)), "Sat"), 8)
-    last = F.when(F.dayofweek(F.make_date("y", F.lit(11), F.lit(30))) == 6, F.make_date("y", F.lit(11), F.lit(30))).otherwise(friday)
-    days = [F.struct(F.lit(n).alias("promo"), F.make_date("y", F.lit(m), F.lit(d)).alias("promo_day")) for n, m, d in FIXED_DAYS]
-    days += [F.struct(F.lit("black_friday").alias("promo"), last.alias("promo_day")), F.struct(F.lit("cyber_monday").alias("promo"), F.date_add(last, 3).alias("promo_day"))]
-    return years.select(F.explode(F.array(*days)).alias("x")).select("x.promo", "x.promo_day")
+def promo_days(spark, sf_dir) -> DataFrame:
+    """country, promo, m, d: the calendar of promotions, a row for each day of a country. There is no such table, so it is written from nations and regions."""
+    n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    own = n.select(F.col("n_name").alias("country"), F.lit("national week").alias("promo"), (1 + F.col("n_nationkey") % 12).alias("m"), (1 + F.col("n_nationkey") % 28).alias("d"))
+    zone = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("country"), F.concat("r_name", F.lit(" sale")).alias("promo"), (1 + (F.col("n_regionkey") * 5 + 2) % 12).alias("m"), F.lit(15).alias("d"))
+    return own.unionByName(zone)
 
 
-@query(f"""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), yrs AS (SELECT DISTINCT y FROM (SELECT year(day) AS y FROM d UNION ALL SELECT year(day) + 1 FROM d)), lf AS (SELECT y, make_date(y, 11, 30) - CAST((isodow(make_date(y, 11, 30)) + 2) % 7 AS INTEGER) AS f FROM yrs),
-    c AS ({_FIXED} UNION ALL SELECT CAST(f AS DATE), 'black_friday' FROM lf UNION ALL SELECT CAST(f + 3 AS DATE), 'cyber_monday' FROM lf)
-    SELECT day, arg_min(promo, promo_day) AS promo, CAST(min(promo_day) - day AS INTEGER) AS days_left FROM d LEFT JOIN c ON promo_day >= day AND promo_day <= day + 45 GROUP BY day""")
+def promo_calendar(days: DataFrame, years: DataFrame) -> DataFrame:
+    """country, promo, promo_day of each year (column y), and the last Friday of November, which is every country's."""
+    fixed = days.join(F.broadcast(years)).select("country", "promo", F.make_date("y", "m", "d").alias("promo_day"))  # a calendar's rows: days of a year times years
+    end = F.make_date("y", F.lit(11), F.lit(30))
+    friday = F.date_sub(end, F.pmod(F.dayofweek(end) - 6, F.lit(7)))
+    return fixed.unionByName(days.select("country").distinct().join(F.broadcast(years)).select("country", F.lit("last friday").alias("promo"), friday.alias("promo_day")))
+
+
+def next_of(days: DataFrame, calendar: DataFrame, horizon: int) -> DataFrame:
+    """country, day, promo, days_left: the next promotion of a country within ``horizon`` days, or none. Days meet promotions by country and month."""
+    months = F.explode(F.sequence(F.trunc(F.date_sub("promo_day", horizon), "month"), F.trunc("promo_day", "month"), F.expr("interval 1 month")))
+    near = calendar.select("country", "promo", "promo_day", months.alias("month"))
+    both = days.withColumn("month", F.trunc("day", "month")).join(near, ["country", "month"]).where((F.col("promo_day") >= F.col("day")) & (F.col("promo_day") <= F.date_add("day", horizon)))
+    first = both.groupBy("country", "day").agg(F.min(F.struct("promo_day", "promo")).alias("x"))
+    return days.join(first, ["country", "day"], "left").select("country", "day", F.col("x.promo").alias("promo"), F.datediff("x.promo_day", "day").alias("days_left"))
+
+
+@query(f"""WITH d AS (SELECT DISTINCT n_name AS country, CAST(o_orderdate AS DATE) AS day FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey), yrs AS (SELECT DISTINCT y FROM (SELECT year(day) AS y FROM d UNION ALL SELECT year(day) + 1 FROM d)),
+    c AS (SELECT country, promo, make_date(y, m, d) AS promo_day FROM ({_CALENDAR}) k, yrs UNION ALL SELECT n_name, 'last friday', make_date(y, 11, 30) - CAST((isodow(make_date(y, 11, 30)) + 2) % 7 AS INTEGER) FROM nation, yrs)
+    SELECT d.country, day, min_by(promo, CAST(promo_day AS VARCHAR) || promo) AS promo, CAST(min(promo_day) - day AS INTEGER) AS days_left FROM d LEFT JOIN c ON c.country = d.country AND promo_day >= day AND promo_day <= day + 45 GROUP BY d.country, day""")
 def next_promo(spark, sf_dir, horizon=45):
-    """The next promotion within the horizon of each day, or none. The calendar is a few rows a year, so it is broadcast."""
-    day = read(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    """The next promotion in the country of each day that has orders there, or none within the horizon."""
+    home = read(spark, sf_dir, "customer").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("country"))
+    day = read(spark, sf_dir, "orders").join(home, F.col("o_custkey") == F.col("c_custkey")).select("country", F.to_date("o_orderdate").alias("day")).distinct()
     years = day.select(F.explode(F.array(F.year("day"), F.year("day") + 1)).alias("y")).distinct()
-    cal = F.broadcast(promo_calendar(years))
-    near = day.join(cal, (F.col("promo_day") >= F.col("day")) & (F.col("promo_day") <= F.date_add("day", horizon)), "left")
-    return near.groupBy("day").agg(F.min_by("promo", "promo_day").alias("promo"), F.datediff(F.min("promo_day"), F.col("day")).alias("days_left"))
+    return next_of(day, promo_calendar(promo_days(spark, sf_dir), years), horizon)
 
 
 @query(over_obs(" SELECT count(*) AS n_rows, count(DISTINCT obs_date) AS days, min(obs_date) AS first_day, max(obs_date) AS last_day, count(DISTINCT country) AS countries FROM obs"))
