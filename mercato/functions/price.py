@@ -11,16 +11,17 @@ COMMA_DECIMALS = ("BRL", "ARS")
 
 
 def parse_price(raw: Column, currency: Column) -> Column:
-    """A number from a price text by the currency's own rules; null where there is none.
+    """A number from a price text by the currency's own rules; null where there is none. Full-width digits and marks are read as plain ones.
 
-    Without decimals every separator groups thousands. With a comma as decimal sign points group. Else commas group, but one comma
+    Where points and commas both stand and group by thousands, the last one is the decimal sign in any currency. Else: without decimals every separator groups thousands. With a comma as decimal sign points group. Else commas group, but one comma
     before at most two final digits is a decimal sign, as is a single point.
     """
-    digits = F.regexp_extract(raw, r"\d[\d.,]*", 0)
+    digits = F.regexp_extract(F.translate(raw, "０１２３４５６７８９．，", "0123456789.,"), r"[0-9]+(?:[.,][0-9]+)*", 0)
+    point_last, comma_last = digits.rlike(r"^[0-9]{1,3}(,[0-9]{3})+[.][0-9]{1,2}$"), digits.rlike(r"^[0-9]{1,3}([.][0-9]{3})+,[0-9]{1,2}$")
     plain = F.regexp_replace(digits, "[.,]", "")
     comma = F.replace(F.replace(digits, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
     point = F.when(digits.rlike(r"^\d+,\d{1,2}$"), F.replace(digits, F.lit(","), F.lit("."))).otherwise(F.replace(digits, F.lit(","), F.lit("")))
-    return F.when(currency.isin(*NO_DECIMALS), plain).when(currency.isin(*COMMA_DECIMALS), comma).otherwise(point).try_cast("double")
+    return F.when(point_last, F.replace(digits, F.lit(","), F.lit(""))).when(comma_last, comma).when(currency.isin(*NO_DECIMALS), plain).when(currency.isin(*COMMA_DECIMALS), comma).otherwise(point).try_cast("double")
 
 
 def is_sane(price: Column, low: Column, high: Column) -> Column:

@@ -118,10 +118,12 @@ def dashboard_matrix_month(spark, sf_dir):
 )
 def country_category_summary(spark, sf_dir, days=365):
     rows = observations(spark, sf_dir, days).where(flt.not_accessory() & flt.audited())
-    return rows.groupBy("country", "category").agg(
-        F.count("*").alias("obs"), F.countDistinct("brand").alias("brands"), F.countDistinct("product_id").alias("products"), r4(F.median("sale_price")).alias("median_price"),
+    g = rows.groupBy("country", "category").agg(
+        F.count("*").alias("obs"), F.countDistinct("brand").alias("brands"), F.countDistinct("product_id").alias("products"),
         r4(F.sum(flt.official().cast("double")) / F.count("*")).alias("official_share"), F.max("obs_date").alias("last_seen"),
     )
+    mid = interpolated(rows, ["country", "category"], "sale_price", {"mid": 0.5}).select(F.col("country").alias("c"), F.col("category").alias("k"), r4(F.col("mid")).alias("median_price"))
+    return g.join(mid, F.col("country").eqNullSafe(F.col("c")) & F.col("category").eqNullSafe(F.col("k")), "left").drop("c", "k")
 
 
 @query(

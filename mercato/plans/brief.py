@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import listing as ls
 from ..functions.text import event_kind
 from ..operators import filters as flt
+from ..operators.quantiles import interpolated
 from ..sources.tables import OWN_BRAND, observations, over_obs, read
 from .boards import OFFICIAL
 from .matching import CANDIDATES, scored_pairs
@@ -184,7 +184,7 @@ def category_follows_vote(spark, sf_dir):
 def floor_recheck(spark, sf_dir):
     """Accepted rows held against the floor again: they can only be rejected, never the other way round."""
     obs = observations(spark, sf_dir).where(flt.audited())
-    fl = obs.groupBy("category", "currency").agg(F.median("sale_price").alias("mid"))
+    fl = interpolated(obs, ["category", "currency"], "sale_price", {"mid": 0.5})
     return obs.join(fl, ["category", "currency"]).select("product_id", "obs_date", "channel_id", F.when(F.col("sale_price") < 0.25 * F.col("mid"), "rejected").otherwise("accepted").alias("verdict"))
 
 

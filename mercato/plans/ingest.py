@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import as_text
+from ..sources import feeds
 from ..sources.archive import archived, publish, verify
 from ..sources.shared import new_path
 from ..sources.tables import evolve, observations, over_obs, read
@@ -79,15 +80,38 @@ def device_pages(spark, sf_dir):
     return pages_of(spark, sf_dir).select("p_partkey", one("chipset").alias("chipset"), F.regexp_extract(one("battery"), "([0-9]+)", 1).try_cast("int").alias("battery"))
 
 
-@query("SELECT doc_id, source, lang AS category, length(text) AS n_chars FROM documents")
-def feed_items(spark, sf_dir):
-    """Items of a feed: XML parsed by schema, with everything that markup needs escaped."""
+def written_feeds(spark, sf_dir):
+    """Twenty documents to a feed, each feed one line: there is no table of feeds. Everything that markup needs is escaped."""
     escaped = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    clean = F.regexp_replace(escaped, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\ufffe\\uffff]", " ")
-    xml = F.concat(F.lit("<item><source>"), "source", F.lit("</source><category>"), F.coalesce("lang", F.lit("")), F.lit("</category><title>"), clean, F.lit("</title></item>"))
-    d = read(spark, sf_dir, "documents")
-    rows = d.select("doc_id", F.length("text").alias("n_chars"), "lang", F.from_xml(xml, "source string, category string, title string").alias("x"))
-    return rows.select("doc_id", "x.source", F.when(F.col("lang").isNotNull(), as_text(F.col("x.category"))).alias("category"), "n_chars")
+    clean = F.regexp_replace(F.replace(escaped, F.lit("\r"), F.lit("&#13;")), "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\ufffe\\uffff]", " ")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 300).cast("int"))
+    said = F.date_format(day.cast("timestamp"), "EEE, dd MMM yyyy HH:mm:ss")
+    item = F.concat(F.lit("<item><title>"), F.substring_index(clean, "\n", 1), F.lit("</title><guid>"), F.col("doc_id").cast("string"), F.lit("</guid><pubDate>"), said, F.lit(" +0000</pubDate><category>"), F.coalesce("lang", F.lit("none")), F.lit("</category><category>all</category><description>"), F.replace(clean, F.lit("\n"), F.lit("&#10;")), F.lit("</description></item>"))
+    rows = read(spark, sf_dir, "documents").select("source", F.floor(F.col("doc_id") / 20).alias("block"), "doc_id", item.alias("item"))
+    feeds = rows.groupBy("source", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "item"))), lambda x: x["item"]), "").alias("items"))
+    return feeds.select("source", "block", F.concat(F.lit('<?xml version="1.0"?><rss version="2.0"><channel><title>'), F.coalesce("source", F.lit("")), F.lit("</title>"), "items", F.lit("</channel></rss>")).alias("value"))
+
+
+_FEEDS = """SELECT doc_id, source, block, CAST(row_number() OVER (PARTITION BY source, block ORDER BY doc_id) AS INTEGER) AS place, CAST(DATE '2024-01-01' + CAST(doc_id % 300 AS INTEGER) AS DATE) AS day, CASE WHEN lang IN ('none') OR lang IS NULL THEN NULL ELSE lang END AS category, text FROM (SELECT *, CAST(floor(doc_id / 20) AS BIGINT) AS block FROM documents)"""
+
+
+@query(f"SELECT doc_id, source, block, place, day, category, length(text) AS n_chars FROM ({_FEEDS})")
+def feed_items(spark, sf_dir):
+    """Every item of every feed: its place, day, first category and the length of its text."""
+    items = feeds.feed_items(written_feeds(spark, sf_dir), keep=("source", "block"))
+    return items.select(F.col("guid").cast("long").alias("doc_id"), "source", "block", "place", F.to_date("published").alias("day"), as_text(F.get("categories", F.lit(0))).alias("category"), F.length("summary").alias("n_chars"))
+
+
+@query(f"SELECT day, count(*) AS n, min(doc_id) AS first_doc FROM ({_FEEDS}) GROUP BY day")
+def stream_feeds(spark, sf_dir):
+    """Feed files taken in by a stream in two runs under one checkpoint, the second with files that say it all again: every item once, by day."""
+    path, out, state = (new_path(spark, x) for x in ("feeds", "feed-items", "feed-state"))
+    rows = written_feeds(spark, sf_dir).select("block", "value")
+    for run, some in enumerate((rows.where("block % 2 = 0"), rows)):
+        some.select("value").write.text(f"{path}/run={run}")
+        feeds.take_in(feeds.feed_stream(spark, path, whole=False), out, state, late="400 days")
+    got = spark.read.schema(feeds.ITEMS).parquet(out)
+    return got.groupBy(F.to_date("published").alias("day")).agg(F.count("*").alias("n"), F.min(F.col("guid").cast("long")).alias("first_doc"))
 
 
 @query("SELECT url, count(*) AS versions, min(page_id) AS first_page FROM (SELECT url, md5(html) AS h, min(page_id) AS page_id FROM pages GROUP BY url, md5(html)) GROUP BY url")

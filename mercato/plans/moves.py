@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.price import TIER_BANDS, move_tier
 from ..operators import filters as flt
 from ..operators.asof import daily_prices, price_changes
+from ..operators.quantiles import interpolated
 from ..sources.tables import observations, over_obs
+from .identity import IDENT_SQL, identified_parts
 from .registry import query
 
 KEYS = ["product_id", "country", "currency", "brand", "category"]
@@ -32,6 +34,17 @@ def price_moves(spark, sf_dir):
     return moves(spark, sf_dir).select("product_id", "country", "currency", F.col("obs_date").alias("move_date"), "prev_date", r4(F.col("prev_price")).alias("prev_price"), r4(F.col("curr_price")).alias("curr_price"), r4(F.col("change_pct")).alias("change_pct"), "days_span", "is_official")
 
 
+@query(over_obs(MOVES + ", " + IDENT_SQL.removeprefix("WITH ") + """ SELECT m.country, count(*) AS n, count(DISTINCT m.product_id) AS products, round(min(change_pct) + 1e-9, 4) AS deepest FROM moves m JOIN ident i ON i.p_partkey = m.product_id
+    WHERE NOT i.is_bucket AND (m.category = i.category OR i.category IS NULL) AND abs(round(change_pct, 2) - (round(curr_price, 2) - round(prev_price, 2)) / nullif(round(prev_price, 2), 0) * 100) <= 0.01 GROUP BY m.country"""))
+def sound_moves(spark, sf_dir):
+    """Moves of single products in their own category whose shown percentage agrees with their two shown prices."""
+    shown = moves(spark, sf_dir).select("product_id", "country", "category", "change_pct", *[F.round(c, 2).alias(c) for c in ("curr_price", "prev_price")])
+    own = identified_parts(spark, sf_dir).select(F.col("p_partkey").alias("product_id"), F.col("category").alias("own_category"), F.col("is_bucket").cast("int").alias("is_bucket"))
+    rows = shown.join(own, "product_id").where(flt.not_bucket() & flt.same_category("category", "own_category"))
+    sound = rows.withColumn("exact", F.col("change_pct")).withColumn("change_pct", F.round("change_pct", 2)).where(flt.self_consistent(0.01))
+    return sound.groupBy("country").agg(F.count("*").alias("n"), F.countDistinct("product_id").alias("products"), r4(F.min("exact")).alias("deepest"))
+
+
 @query(
     over_obs(""", d AS (SELECT product_id, currency, ram_gb, rom_gb, obs_date, min(sale_price) AS price FROM obs GROUP BY ALL)
     SELECT product_id, currency, ram_gb, rom_gb, obs_date, round(price + 1e-9, 4) AS price, round(lag(price) OVER (PARTITION BY product_id, currency, ram_gb, rom_gb ORDER BY obs_date) + 1e-9, 4) AS prev_price FROM d""")
@@ -97,8 +110,10 @@ def brand_cluster(spark, sf_dir):
 
 @query(over_obs(MOVES + " SELECT category, CAST(date_trunc('month', obs_date) AS DATE) AS month, count(DISTINCT brand) AS brands, count(*) AS cuts, round(median(change_pct) + 1e-9, 4) AS median_cut FROM moves WHERE change_pct < 0 GROUP BY ALL HAVING count(DISTINCT brand) >= 3"))
 def category_war(spark, sf_dir):
-    rows = moves(spark, sf_dir).where("change_pct < 0").groupBy("category", F.to_date(F.date_trunc("month", "obs_date")).alias("month"))
-    return rows.agg(F.countDistinct("brand").alias("brands"), F.count("*").alias("cuts"), r4(F.median("change_pct")).alias("median_cut")).where("brands >= 3")
+    rows = moves(spark, sf_dir).where("change_pct < 0").select("category", F.to_date(F.date_trunc("month", "obs_date")).alias("month"), "brand", "change_pct")
+    war = rows.groupBy("category", "month").agg(F.countDistinct("brand").alias("brands")).where("brands >= 3")
+    mid = interpolated(rows, ["category", "month"], "change_pct", {"mid": 0.5})
+    return mid.join(war, ["category", "month"]).select("category", "month", "brands", F.col("n").alias("cuts"), r4(F.col("mid")).alias("median_cut"))
 
 
 @query(

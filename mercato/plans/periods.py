@@ -147,7 +147,7 @@ def seen_before(spark, sf_dir, days=90):
     """Products of the last days that were seen before them: a first day joined by equality, not a search through the past."""
     obs = observations(spark, sf_dir)
     first = obs.groupBy("product_id").agg(F.min("obs_date").alias("first_day"))
-    rows = flt.recent(obs, days).where(F.col("brand") != OWN_BRAND).select("country", "product_id").distinct().join(first, "product_id")
+    rows = observations(spark, sf_dir, days).where(F.col("brand") != OWN_BRAND).select("country", "product_id").distinct().join(first, "product_id")
     now = F.broadcast(obs.agg(F.max("obs_date").alias("d")))
     old = F.when(F.col("first_day") <= F.date_sub("d", days), F.col("product_id"))
     return rows.crossJoin(now).groupBy("country").agg(F.countDistinct("product_id").alias("products"), F.countDistinct(old).alias("seen_before"))

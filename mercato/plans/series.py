@@ -88,7 +88,7 @@ def basket_level(spark, sf_dir):
     """The median of a fixed basket, null on days when under half of it is present."""
     d = _fixed_basket(spark, sf_dir)
     size = d.groupBy("series").agg(F.countDistinct("user_id").alias("members"))
-    day = d.groupBy("series", "day").agg(F.count("*").alias("present"), F.median("v").alias("m"))
+    day = d.groupBy("series", "day").agg(F.count("*").alias("present")).join(interpolated(d, ["series", "day"], "v", {"m": 0.5}).drop("n"), ["series", "day"], "left")
     return day.join(size, "series").select("series", "day", "present", F.when(F.col("present") >= 0.5 * F.col("members"), r4(F.col("m"))).alias("level"))
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import filters as flt
 from ..sources.tables import OWN_BRAND, observations, over_obs
 from .registry import query
 
@@ -34,7 +33,7 @@ def weekly_gaps(spark, sf_dir, days=30):
     obs = observations(spark, sf_dir)
     axis = obs.agg(F.max("obs_date").alias("m")).select(F.explode(F.sequence(F.date_sub("m", days - 1), "m")).alias("day"))
     grid = obs.select("country").distinct().crossJoin(F.broadcast(axis))
-    return grid.join(flt.recent(obs, days).select("country", F.col("obs_date").alias("day")), ["country", "day"], "left_anti")
+    return grid.join(observations(spark, sf_dir, days).select("country", F.col("obs_date").alias("day")), ["country", "day"], "left_anti")
 
 
 @query(over_obs(""" SELECT channel_id, country, max(obs_date) AS last_seen, CAST(date_diff('day', max(obs_date), (SELECT max(obs_date) FROM obs)) AS INTEGER) AS silent_days FROM obs GROUP BY channel_id, country HAVING max(obs_date) <= (SELECT max(obs_date) FROM obs) - INTERVAL 7 DAY"""))
@@ -56,7 +55,7 @@ def comparable_skus(spark, sf_dir):
 def lost_pairs(spark, sf_dir, days=30):
     """Country and category pairs seen before, not in the window."""
     obs = observations(spark, sf_dir)
-    return obs.select("country", "category").distinct().join(flt.recent(obs, days).select("country", "category"), ["country", "category"], "left_anti")
+    return obs.select("country", "category").distinct().join(observations(spark, sf_dir, days).select("country", "category"), ["country", "category"], "left_anti")
 
 
 @query(over_obs(""", g AS (SELECT country, category, count(*) AS obs, count(DISTINCT obs_date) AS days, count(DISTINCT product_id) AS products FROM obs WHERE obs_date > (SELECT max(obs_date) FROM obs) - INTERVAL 30 DAY GROUP BY ALL)
@@ -64,7 +63,7 @@ def lost_pairs(spark, sf_dir, days=30):
 def coverage30(spark, sf_dir, days=30):
     """Coverage of the last 30 days over the full grid, empty cells included."""
     obs = observations(spark, sf_dir)
-    g = flt.recent(obs, days).groupBy("country", "category").agg(F.count("*").alias("obs"), F.countDistinct("obs_date").alias("days"), F.countDistinct("product_id").alias("products"))
+    g = observations(spark, sf_dir, days).groupBy("country", "category").agg(F.count("*").alias("obs"), F.countDistinct("obs_date").alias("days"), F.countDistinct("product_id").alias("products"))
     grid = obs.select("country").distinct().crossJoin(F.broadcast(obs.select("category").distinct()))
     return grid.join(g, ["country", "category"], "left").na.fill(0, ["obs", "days", "products"])
 
@@ -72,7 +71,7 @@ def coverage30(spark, sf_dir, days=30):
 @query(over_obs(""", t AS (SELECT country, category, currency, product_id, count(*) AS n, median(sale_price) AS mid FROM obs WHERE obs_date > (SELECT max(obs_date) FROM obs) - INTERVAL 365 DAY GROUP BY ALL)
     SELECT country, category, product_id, n, round(mid + 1e-9, 4) AS mid FROM (SELECT *, row_number() OVER (PARTITION BY country, category, currency ORDER BY n DESC, product_id) AS r FROM t) WHERE r <= 3"""))
 def top_products(spark, sf_dir, each=3):
-    t = flt.recent(observations(spark, sf_dir), 365).groupBy("country", "category", "currency", "product_id").agg(F.count("*").alias("n"), F.median("sale_price").alias("mid"))
+    t = observations(spark, sf_dir, 365).groupBy("country", "category", "currency", "product_id").agg(F.count("*").alias("n"), F.median("sale_price").alias("mid"))
     w = Window.partitionBy("country", "category", "currency").orderBy(F.desc("n"), "product_id")
     return t.withColumn("r", F.row_number().over(w)).where(F.col("r") <= each).select("country", "category", "product_id", "n", r4(F.col("mid")).alias("mid"))
 
