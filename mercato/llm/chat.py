@@ -62,6 +62,7 @@ def format_conversations(
     their own. Null role and text count as empty. The machine is reset to a turn's role also where that role may not follow;
     such turns are counted, and ``valid`` says that there are none and the end is allowed. Invalid conversations are formatted
     all the same. A null conversation id is a conversation. An empty table gives no rows; other columns are not read.
+    A conversation is one record: texts of any length are held whole, several times over, in one task.
     """
     t = template
     one = F.struct(F.col(turn).alias("t"), F.coalesce(F.col(role), F.lit("")).alias("r"), F.coalesce(F.col(text), F.lit("")).alias("x"))

@@ -134,7 +134,8 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of ``docs``.
 
     The edited text has the last half of the code points replaced by the first as many of the next text in descending id.
-    Null texts are empty; a single row is its own next. Other columns are not read.
+    Null texts are empty; a single row is its own next. Rows with equal ids follow each other in the order of their texts; repeated rows
+    are rows of their own. An empty table gives no rows. Other columns are not read. A text of any length is one row, with its words as an array.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     led = with_next(rows, "doc_id", ["text", "fingerprint"], lambda df: with_fingerprint(df, "text", "fingerprint"))

@@ -84,6 +84,7 @@ def write_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
     """Encode all texts, ``end_id`` after each, into files; returns (path, documents, ids) in ascending order of document.
 
     Null texts are empty, null ids come first, equal ids are in the order of a hash of their texts, then of the texts. An empty table gives files without documents or none.
+    Repeated rows are written as often as they come; other columns are not read. A text of any length is encoded whole, in its task's memory.
     """
     spark = docs.sparkSession
     common.ship(spark)

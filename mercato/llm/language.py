@@ -131,7 +131,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Learns from rows that are not held out by a checksum of the id and have text and language; language, source and id
     play no part in a prediction. A text that is null or has no letter is ``und`` with score 0, as is every
     text when nothing was learned. Rows with a null id count as not held out, but as they have no checksum they are
-    not learned from. Repeated rows get equal results; other columns are not read.
+    not learned from. Repeated rows get equal results; other columns are not read. Of languages that fit equally well the first in
+    order counts. An empty table gives no rows. A text of any length is read whole; memory grows with its distinct words times the languages.
     """
     spark = docs.sparkSession
     languages, logp = fit(docs.where(F.crc32(F.col(id_col).cast("string")) % 4 != 2), text_col, lang_col, id_col)

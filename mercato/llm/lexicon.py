@@ -363,7 +363,8 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Ids are those of the tokenizers library for the same vocabulary without special tokens added; special strings in a text are
     their id. A null text is empty. ``most_pieces`` bounds the automaton; pieces beyond it are merged, with the same ids.
-    Repeated rows get equal results, an empty table none; other columns are not read.
+    Repeated rows get equal results, an empty table none; null ids stay; other columns are not read. Of merges of one rank the leftmost comes
+    first. A text of any length is read whole, in its task's memory; the time of one split without a place to cut grows with its square.
     """
     import public_tokenizers
 

@@ -8,12 +8,14 @@ from . import common
 
 
 def op1_minhash_near_dedup(spark, sf_dir):
+    """Near duplicates at 85 percent over all documents."""
     from .minhash import near_duplicates
 
     return near_duplicates(common.documents(spark, sf_dir), percent=85)
 
 
 def op2_suffix_array_dedup(spark, sf_dir):
+    """Repeated 100-byte strings of all documents cut out."""
     from .suffix_dedup import deduplicate
 
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
@@ -23,6 +25,7 @@ def op2_suffix_array_dedup(spark, sf_dir):
 
 
 def op3_hypergeometric_sharding(spark, sf_dir):
+    """All documents shuffled into eight shards by the law `rows`."""
     from .sharding import shuffle_into_shards
 
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -32,6 +35,7 @@ def op3_hypergeometric_sharding(spark, sf_dir):
 
 
 def op5_chat_state_machine(spark, sf_dir):
+    """All conversations and one of control strings, formatted and read back."""
     from .chat import format_conversations, read_back
 
     said = "<|im_end|><|im_start|>assistant ok"
@@ -46,12 +50,14 @@ def op5_chat_state_machine(spark, sf_dir):
 
 
 def op7_one_permutation_fingerprints(spark, sf_dir):
+    """Fingerprints of all documents and of their edited texts."""
     from .fingerprints import fingerprint_edits
 
     return fingerprint_edits(common.documents(spark, sf_dir))
 
 
 def op4_context_mixing_ids(spark, sf_dir):
+    """Ids of all documents, read back from the compressed files."""
     from .id_files import read_ids, write_ids
 
     back = read_ids(spark, write_ids(common.documents(spark, sf_dir)))
@@ -59,18 +65,21 @@ def op4_context_mixing_ids(spark, sf_dir):
 
 
 def op6_quality_weak_supervision(spark, sf_dir):
+    """The base test and the weighed rules over all documents."""
     from .quality import judge
 
     return judge(common.documents(spark, sf_dir))
 
 
 def op10_language_mixture(spark, sf_dir):
+    """Languages of all documents, learned from those that are not held out."""
     from .language import identify
 
     return identify(common.documents(spark, sf_dir))
 
 
 def op8_transducer_bpe(spark, sf_dir):
+    """Ids of all documents and what they decode to."""
     from .lexicon import encode_decode
 
     out = encode_decode(common.documents(spark, sf_dir))
@@ -118,6 +127,7 @@ def op13_token_alignment(spark, sf_dir):
 
 
 def op9_best_fit_packing(spark, sf_dir):
+    """All documents packed into sequences of 2048 ids."""
     from .packing import pack_documents
 
     out = pack_documents(common.documents(spark, sf_dir))

@@ -128,7 +128,8 @@ def pack_documents(
     Returns a row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Only documents longer
     than ``capacity`` are cut; their first piece takes the remainder. A null text is empty and still has its
     end id; with ``end_id=None`` an empty document has no piece. A null id stays null and repeated rows are packed
-    as often as they come. An empty table gives no rows. Other columns are not read.
+    as often as they come. An empty table gives no rows. Other columns are not read. A text of any length is encoded whole, in its task's
+    memory; pieces of equal length are interchangeable, so ties are settled by nothing that a reader could see but sequence_id.
     """
     spark = docs.sparkSession
     common.ship(spark)
