@@ -90,10 +90,10 @@ def drop_nested(spark, sf_dir):
     """Turns and their sentences, whole, less those that a longer text of the conversation contains."""
     c = read(spark, sf_dir, "conversations")
     pieces = c.select("conv_id", F.explode(F.split("text", r"\. ")).alias("text"))
-    texts = c.select("conv_id", "text").unionByName(pieces).where("text <> ''").distinct().withColumn("n", F.length("text"))
-    ids = texts.select("conv_id", F.struct("n", "text").alias("id"), "text")
-    held = contained(ids.withColumnRenamed("id", "holder"), ids.withColumnRenamed("id", "item"), ("conv_id",)).where("holder.n > item.n").select("conv_id", F.col("item.text").alias("text")).distinct()
-    return texts.join(held, ["conv_id", "text"], "left_anti").groupBy("conv_id").agg(F.count("*").alias("kept"))
+    texts = c.select("conv_id", "text").unionByName(pieces).where("text <> ''").distinct().withColumn("id", F.md5("text"))
+    both = contained(texts.withColumnRenamed("id", "holder"), texts.withColumnRenamed("id", "item"), ("conv_id",))
+    held = both.where("holder <> item").select("conv_id", F.col("item").alias("id")).distinct()  # another text that holds this one is longer
+    return texts.join(held, ["conv_id", "id"], "left_anti").groupBy("conv_id").agg(F.count("*").alias("kept"))
 
 
 #: Names by which a thing is known; the longest that stands in a text as whole words counts.

@@ -209,6 +209,9 @@ def cards(nodes: DataFrame, tag: str, attr: str | None = None, value: str | None
 
 
 def within(nodes: DataFrame, holders: DataFrame) -> DataFrame:
-    """Elements of each holder (page_id, node, last) with its number as ``card``: a page's elements meet its holders, by page."""
-    h = holders.select(F.col("page_id"), F.col("node").alias("card"), F.col("last").alias("upto"))
-    return nodes.join(h, "page_id").where("node > card and node <= upto").drop("upto")
+    """Elements of each holder (page_id, node, last) with its number as ``card``.
+
+    A holder names the elements that it holds, whose numbers follow its own, and they are met by page and number: no more rows than come out.
+    """
+    held = holders.where("last > node").select("page_id", F.col("node").alias("card"), F.explode(F.sequence(F.col("node") + 1, F.col("last"))).alias("node"))
+    return nodes.join(held, ["page_id", "node"])
