@@ -27,3 +27,9 @@ def test_run_is_registered():
     import __spark_entry__
 
     assert "pipeline" in __spark_entry__.queries() and [k for k in __spark_entry__.queries() if k.startswith("op")]
+
+
+def test_run_over_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.collect() == [] and {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns)
