@@ -32,7 +32,7 @@ PART_LADDER = [("promotion", "colour", "mood", "measure", "short"), ("promotion"
 LINE_RULES = [
     (1, "seller", "cut", r"[|;].*$", " "),
     (2, "marks", "replace", r"[#*$%&<>|]+", " "),
-    (3, "stops", "replace", r"(?i)(^| )((?:the|of|and|in|to|is|by|de|la|le|que|du|un|el|der|die|und|en|y)(?: |$))+", " "),
+    (3, "stops", "replace", r"(?i)(^| )((?:the|of|and|in|to|is|by|de|la|le|que|du|un|el|der|die|und|en|y)(?: |$)){1,40}", " "),
     (4, "short", "words", "4", ""),
 ]
 LINE_LADDER = [("seller", "marks", "stops", "short"), ("seller", "marks", "short"), ("marks", "short")]
