@@ -67,14 +67,20 @@ class Aligner:
 
 
 _RNG = np.random.default_rng(4242)
+_AT_ONCE = 1 << 16  # groups
 _SIDE = _RNG.integers(1, 2**63, 2, dtype=np.uint64)
 
 
 def _hashes(flat: np.ndarray, first: np.ndarray, size: np.ndarray, side: int, seed: int) -> np.ndarray:
     """Of each run a sum of hashes of its ids and their places."""
-    place = np.arange(len(flat)) - np.repeat(first, size)
-    x = common.mix64((flat.astype(np.uint64) << np.uint64(32) | place.astype(np.uint64)) ^ _SIDE[side] ^ np.uint64(seed))
-    return np.add.reduceat(x, first) if len(first) else x
+    out = np.empty(len(first), np.uint64)
+    for a in range(0, len(first), _AT_ONCE):
+        runs, sizes = first[a : a + _AT_ONCE], size[a : a + _AT_ONCE]
+        low, high = int(runs[0]), int(runs[-1] + sizes[-1])
+        place = np.arange(low, high) - np.repeat(runs, sizes)
+        x = common.mix64((flat[low:high].astype(np.uint64) << np.uint64(32) | place.astype(np.uint64)) ^ _SIDE[side] ^ np.uint64(seed))
+        out[a : a + _AT_ONCE] = np.add.reduceat(x, runs - low)
+    return out
 
 
 def aligned(a: tuple, b: tuple, seed: int = 0):
@@ -87,6 +93,7 @@ def aligned(a: tuple, b: tuple, seed: int = 0):
     common_ends = np.zeros(total + 1, bool)
     common_ends[ends_a[last_a]] = True
     last_b = np.flatnonzero(common_ends[ends_b])
+    del ended, common_ends
     sides = []
     for last in (last_a, last_b):
         first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
@@ -106,6 +113,29 @@ def _spelled(ids: pa.Array) -> list[str]:
     return joined.to_pylist()
 
 
+def _sliced(aligner: Aligner, part: pa.RecordBatch, number: int, seed: int) -> tuple[dict, dict]:
+    """Columns of a slice's documents and of its dictionary. Arrays over its tokens are dropped as soon as they are used."""
+    m = part.num_rows
+    (ids_a, at_a, ends_a), (ids_b, at_b, ends_b) = aligner.encode(part.column(1))
+    common.release()
+    first_a, size_a, first_b, size_b, key = aligned((ids_a, ends_a), (ids_b, ends_b), seed)
+    del ends_a, ends_b
+    of_doc = np.searchsorted(first_a, at_a)  # a document's groups begin where its tokens do
+    keys, where, place, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    del key
+    left, right = _lists(ids_a, first_a[where], size_a[where]), _lists(ids_b, first_b[where], size_b[where])
+    del ids_a, ids_b, first_a, size_a, first_b, size_b, where
+    spelled = [f"{x}|{y}" for x, y in zip(_spelled(left), _spelled(right))]
+    shas = [hashlib.sha256(";".join([spelled[p] for p in place[a:b].tolist()]).encode()).hexdigest() if b > a else "" for a, b in zip(of_doc.tolist(), of_doc[1:].tolist())]
+    del spelled
+    both, times = np.unique(np.repeat(np.arange(m), np.diff(of_doc)) << 32 | place, return_counts=True)
+    bounds = pa.array(np.searchsorted(both, np.arange(m + 1) << 32).astype(np.int32))
+    places, times = (pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in (both & 0xFFFFFFFF, times))
+    docs = dict(doc_id=part.column(0), n_a=pa.array(np.diff(at_a)), n_b=pa.array(np.diff(at_b)), n_groups=pa.array(np.diff(of_doc)), groups_sha256=pa.array(shas), places=places, times=times)
+    groups = dict(key=pa.array(keys), a=left, b=right, n=pa.array(n))
+    return tuple(x | dict(slice=pa.array(np.full(k, number)), is_doc=pa.array(np.full(k, d))) for x, k, d in ((docs, m, True), (groups, len(keys), False)))
+
+
 def _align(run_id: str, paths: tuple[str, str], seed: int):
     def run(batches):
         common.only(run_id)
@@ -117,23 +147,11 @@ def _align(run_id: str, paths: tuple[str, str], seed: int):
         def rows(rows_of: int, **given):
             return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(rows_of, t) for c, t in zip(names, types)], names=names)
 
+        # What is made of a slice goes with its call: between slices a worker holds only what the encoders know.
         for part in slices(batches, most_bytes=4 << 20):
-            number = next(numbers)
-            (ids_a, at_a, ends_a), (ids_b, at_b, ends_b) = aligner.encode(part.column(1))
-            first_a, size_a, first_b, size_b, key = aligned((ids_a, ends_a), (ids_b, ends_b), seed)
-            keys, where, place, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-            left, right = _lists(ids_a, first_a[where], size_a[where]), _lists(ids_b, first_b[where], size_b[where])
-            spelled = [f"{x}|{y}" for x, y in zip(_spelled(left), _spelled(right))]
-            of_doc = np.searchsorted(first_a, at_a)  # a document's groups begin where its tokens do
-            shas = [hashlib.sha256(";".join([spelled[p] for p in place[a:b].tolist()]).encode()).hexdigest() if b > a else "" for a, b in zip(of_doc.tolist(), of_doc[1:].tolist())]
-            doc = np.repeat(np.arange(part.num_rows), np.diff(of_doc))
-            both, times = np.unique(doc << 32 | place, return_counts=True)
-            bounds = pa.array(np.searchsorted(both, np.arange(part.num_rows + 1) << 32).astype(np.int32))
-            places, times = (pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in (both & 0xFFFFFFFF, times))
-            m = part.num_rows
-            yield rows(m, doc_id=part.column(0), n_a=pa.array(np.diff(at_a)), n_b=pa.array(np.diff(at_b)), n_groups=pa.array(np.diff(of_doc)), groups_sha256=pa.array(shas), slice=pa.array(np.full(m, number)), places=places, times=times, is_doc=pa.array(np.ones(m, bool)))
-            m = len(keys)
-            yield rows(m, slice=pa.array(np.full(m, number)), key=pa.array(keys), a=left, b=right, n=pa.array(n), is_doc=pa.array(np.zeros(m, bool)))
+            for given in _sliced(aligner, part, next(numbers), seed):
+                yield rows(len(given["slice"]), **given)
+            del given
             common.release()
 
     return run

@@ -21,6 +21,7 @@ from . import common
 _GLUED = re.compile(r" (?=\s|\Z)")
 _LONG = 64
 _MET = 1 << 22
+_PLACES = 1 << 17
 _MARKED = r"([\pL\pN])([.,;:!?*&%#$<>|()\-]+\n?|\n)"
 
 
@@ -43,10 +44,17 @@ def cut(text: str) -> list[str]:
 
 
 def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The runs of ``values`` end to end."""
+    """The runs of ``values`` end to end. Places take eight bytes a value, so only ``_PLACES`` of them (or one run) are made at a time."""
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
-    return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
+    out = np.empty(total, values.dtype)
+    a = done = 0
+    while done < total:
+        b = max(a + 1, int(np.searchsorted(ends, done + _PLACES, side="right")))
+        upto = int(ends[b - 1])
+        out[done:upto] = values[np.repeat(starts[a:b] - (ends[a:b] - sizes[a:b]), sizes[a:b]) + np.arange(done, upto)]
+        a, done = b, upto
+    return out
 
 
 class Split:

@@ -27,6 +27,7 @@ SPACE = "▁"
 #: Marks that may follow a word.
 MARKS = ".,;:!?*&%#$<>|()-"
 _WIDE, _LONG, _NEVER = 32, 64, 1 << 30
+_CELLS = 1 << 18  # symbols that go on together
 _OTHER = 1 << 19  # symbols from here on are characters without a piece
 _NONE = (1 << 21) - 1
 _MET = 1 << 22
@@ -133,8 +134,9 @@ class Vocabulary:
             out[i] = array("I", self.segment(parts[i])).tobytes()
         for low, wide in ((0, 6), (6, 12), (12, 20), (20, _WIDE)):
             todo = np.flatnonzero((size > low) & (size <= wide))
-            for a in range(0, len(todo), 1 << 16):
-                some = todo[a : a + (1 << 16)]
+            rows = _CELLS // wide
+            for a in range(0, len(todo), rows):
+                some = todo[a : a + rows]
                 for i, x in zip(some.tolist(), self._together([parts[i] for i in some.tolist()], size[some], wide)):
                     out[i] = x
         return out

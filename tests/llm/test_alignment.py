@@ -2,12 +2,15 @@
 
 import hashlib
 import random
+import weakref
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 
-from mercato.llm import alignment, common
+from mercato.llm import alignment, chunked_tokens, common
 from mercato.llm.lexicon import byte_symbols
 from mercato.llm.op_queries import QUERIES
 
@@ -104,3 +107,49 @@ def test_empty_table(spark):
     assert alignment.align(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     one = alignment.align(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).collect()
     assert sorted(tuple(r) for r in one) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
+
+
+def test_a_worker_lets_go_of_each_slice(monkeypatch):
+    """While a slice is encoded nothing is held of the one before, nor while its rows are handed over."""
+    held = []
+
+    class Watched(alignment.Aligner):
+        def encode(self, texts):
+            assert not [r for r in held if r() is not None]
+            out = super().encode(texts)
+            held[:] = [weakref.ref(x) for side in out for x in side]
+            return out
+
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(alignment, "Aligner", Watched)
+    monkeypatch.setattr(alignment, "TaskContext", Task)
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t])], names=["doc_id", "text"]) for i, t in enumerate(["the end of it", "a b the ing", "schön, x"])]
+    run = alignment._align("slices", (common.tokenizer_path(), common.tokenizer_path("piece_bpe_32k.model")), 0)
+    seen = 0
+    for out in run(iter(batches)):
+        seen += out.num_rows
+        assert not [r for r in held if r() is not None]
+    assert seen > 6
+    common.only("")
+
+
+def test_gather_in_portions(monkeypatch):
+    monkeypatch.setattr(chunked_tokens, "_PLACES", 3)
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 99, 50)
+    for n in (0, 1, 40):
+        starts, sizes = rng.integers(0, 40, n), rng.integers(0, 8, n)
+        want = [x for a, k in zip(starts, sizes) for x in values[a : a + k]]
+        assert chunked_tokens.gather(values, starts, sizes).tolist() == want
+
+
+def test_hashes_in_portions(monkeypatch):
+    flat, size = np.arange(100, 130), np.array([1, 3, 2, 4, 1, 9, 10])
+    first = np.cumsum(size) - size
+    whole = alignment._hashes(flat, first, size, 1, 5)
+    monkeypatch.setattr(alignment, "_AT_ONCE", 2)
+    assert alignment._hashes(flat, first, size, 1, 5).tolist() == whole.tolist()
+    assert len(alignment._hashes(flat[:0], first[:0], size[:0], 0, 0)) == 0
