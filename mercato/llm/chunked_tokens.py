@@ -140,12 +140,12 @@ class ChunkEncoder(Encoder):
             self.bytes_of[i] = len(token)
         self.most, self.known, self.met = most, {}, np.zeros(_MET, bool)
 
-    def _joined(self, words: list[str]) -> list[bytes]:
-        """Ids of " " + word for words without white space in front: 256 at a time are one text, whose ids are parted by their bytes."""
+    def _joined(self, words: list[str], glue: str = " ") -> list[bytes]:
+        """Ids of ``glue`` + word for words without white space in front: 256 at a time are one text, whose ids are parted by their bytes."""
         out: list[bytes] = []
         for a in range(0, len(words), 65_536):
             part = words[a : a + 65_536]
-            coded = self.library.encode_batch_fast([" " + " ".join(part[k : k + 256]) for k in range(0, len(part), 256)], add_special_tokens=False)
+            coded = self.library.encode_batch_fast([glue + glue.join(part[k : k + 256]) for k in range(0, len(part), 256)], add_special_tokens=False)
             flat = np.concatenate([np.array(e.ids, "<u4") for e in coded])
             ends = np.cumsum(pc.binary_length(pa.array(part)).to_numpy().astype(np.int64) + 1)
             upto = (4 * (np.searchsorted(np.cumsum(self.bytes_of[flat]), ends) + 1)).tolist()
@@ -163,7 +163,12 @@ class ChunkEncoder(Encoder):
         words = [i for i in new if wanted[i][:1] != "\0"]
         whole = [i for i in new if wanted[i][:1] == "\0"]
         ids = self._joined([wanted[i] for i in words])
-        ids += [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast([wanted[i][1:] for i in whole], add_special_tokens=False)]
+        # A line end before a word is a split of its own and one id.
+        plain = [i for i in whole if wanted[i][1:].split() == [wanted[i][1:]]]
+        ids += [x[4:] for x in self._joined([wanted[i][1:] for i in plain], "\n")]
+        rest = [i for i in whole if wanted[i][1:].split() != [wanted[i][1:]]]
+        ids += [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast([wanted[i][1:] for i in rest], add_special_tokens=False)]
+        whole = plain + rest
         names = [wanted[i] for i in (*words, *whole)]
         at = np.fromiter(map(hash, names), np.int64, len(names)) & (len(self.met) - 1)
         again = self.met[at] & (np.fromiter(map(len, names), np.int64, len(names)) <= _LONG)

@@ -25,66 +25,93 @@ _S32, _M32, _TOP = _U(32), _U(0xFFFFFFFF), _U(1 << 32)
 _SLOTS = 1 << 18
 _GAIN = 24
 
-_STRETCH = np.array([round(256 * math.log((p + 0.5) / (4095.5 - p))) for p in range(4096)], np.int64)
+#: Whole numbers as floats: what is computed of them is exact, below 2**53, and the same in encoder and decoder.
+_STRETCH = np.array([round(256 * math.log((p + 0.5) / (4095.5 - p))) for p in range(4096)], np.float64)
 _SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int64)
+_FIRST, _SECOND = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 
-#: A context's entry is its candidate * 16 + confidence. Confidence after a miss (first 16) and a hit, and whether the candidate stays.
-_CONF = np.array([max(k >> 1, int(k < 2)) for k in range(16)] + [min(k + 1, 15) for k in range(16)], np.int64)
-_STAYS = np.array([k > 1 for k in range(16)] + [True] * 16)
+def _learned(v: np.ndarray, k: np.ndarray, same: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """Entries after a symbol. An entry is its candidate * 16 + confidence: a hit adds to the confidence, a miss halves it, and a
+    candidate without any gives way to the symbol."""
+    missed = np.where(k > 1, v - (k + 1 >> 1), fresh)
+    return np.where(same, v + (k < 15), missed)
 
 
 class _Model:
     """What all lanes have seen. Entries of orders 1 and 2 are gathered and put back once a step; their reliability is counted by the pair of
-    confidences."""
+    confidences. Entries have 32 bits, so ids are below 2**27."""
 
     def __init__(self, vocab: int, lanes: int):
+        if vocab > 1 << 27:
+            raise ValueError(f"too large a vocabulary: {vocab}")
         self.freq, self.cum, self.total = np.ones(vocab, np.int64), np.arange(vocab + 1, dtype=np.int64), vocab
-        self.of1, self.of2 = np.zeros(vocab, np.int64), np.zeros(_SLOTS, np.int64)
+        self.of1, self.of2 = np.zeros(vocab, np.int32), np.zeros(_SLOTS, np.int32)
         self.hit1, self.all1 = np.ones(16, np.int64), np.full(16, 2, np.int64)
         self.hit2, self.all2 = np.ones(16, np.int64), np.full(16, 2, np.int64)
         self.weights = [1 << 14, 1 << 15, 1 << 15]
-        self.last = self.before = np.zeros(lanes, np.int64)
+        self.last, self.last32, self.before32 = np.zeros(lanes, np.int64), np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         self.recent: list[np.ndarray] = []
+        self._stretched()
+
+    def _stretched(self) -> None:
+        # The mean of 4095 parts by one multiplication with a rounded reciprocal: the same in encoder and decoder.
+        self.stretch0 = _STRETCH.take((self.freq * (4095.0 / self.total)).astype(np.int64))
+        self.sure = None
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """The candidate of each lane and the probability of it, of 4096."""
-        self.slot = (self.last * 0x9E3779B1 + self.before * 0x85EBCA6B >> 7) & (_SLOTS - 1)
+        self.slot = ((self.last32 * _FIRST + self.before32 * _SECOND >> np.uint32(7)) & np.uint32(_SLOTS - 1)).astype(np.int64)
         self.v1, self.v2 = self.of1.take(self.last), self.of2.take(self.slot)
         self.k1, self.k2 = self.v1 & 15, self.v2 & 15
         self.c1, self.c2 = self.v1 >> 4, self.v2 >> 4
         self.cand = np.where(self.k2 > 0, self.c2, self.c1)
-        self.both = ((self.c1 == self.cand) * self.k1 << 4) | self.k2
-        # The mean of 4095 parts by one multiplication with a rounded reciprocal: the same in encoder and decoder.
-        self.s0 = _STRETCH.take((self.freq.take(self.cand) * (4095.0 / self.total)).astype(np.int64))
+        self.both = (np.where(self.c1 == self.cand, self.k1 << 4, 0) | self.k2).astype(np.int64)
+        self.s0 = self.stretch0.take(self.cand)
         self.s1, self.s2 = _STRETCH[self.hit1 * 4095 // self.all1], _STRETCH[self.hit2 * 4095 // self.all2]
         w0, w1, w2 = self.weights
-        mixed = (self.s0 * w0 + np.add.outer(self.s1 * w1, self.s2 * w2).ravel().take(self.both)) >> 16
-        self.p = _SQUASH.take(mixed + 2047, mode="clip")
+        of_both = np.add.outer(self.s1 * w1, self.s2 * w2).ravel() / 65536 + 2047
+        # Cutting off goes up below zero, where the clip makes all the same.
+        self.p = _SQUASH.take((self.s0 * (w0 / 65536) + of_both.take(self.both)).astype(np.int64), mode="clip")
         return self.cand, self.p
 
     def update(self, ids: np.ndarray, hit: np.ndarray) -> None:
+        """``ids``: of each lane, 64 bits wide."""
         n = len(ids)
-        error = (hit << 12) - self.p
-        every, hits = (np.bincount(self.both[x] if x is not None else self.both, minlength=256).reshape(16, 16) for x in (None, hit))
-        off = np.bincount(self.both, weights=error, minlength=256).astype(np.int64).reshape(16, 16)
+        error = np.where(hit, 4096.0, 0.0)
+        error -= self.p
+        counts = np.bincount((self.both << 1) + hit, minlength=512).reshape(16, 16, 2)
+        every, hits = counts.sum(axis=2), counts[:, :, 1]
+        off = np.bincount(self.both, weights=error, minlength=256).reshape(16, 16)
         moves = int(np.dot(error, self.s0)), int(np.dot(off.sum(axis=1), self.s1)), int(np.dot(off.sum(axis=0), self.s2))
         self.weights = [w + m // (n << 9) for w, m in zip(self.weights, moves)]
         self.all1 += every.sum(axis=1)
         self.hit1 += hits.sum(axis=1)
         self.all2 += every.sum(axis=0)
         self.hit2 += hits.sum(axis=0)
-        shifted = ids << 4
-        for at, v, k, c, table in ((self.last, self.v1, self.k1, self.c1, self.of1), (self.slot, self.v2, self.k2, self.c2, self.of2)):
-            k = k + ((c == ids) << 4)
-            table[at] = np.where(_STAYS.take(k), v & ~15, shifted) | _CONF.take(k)
+        narrow = ids.astype(np.int32)
+        fresh = narrow << 4 | 1
+        self.of1[self.last] = _learned(self.v1, self.k1, self.c1 == narrow, fresh)
+        self.of2[self.slot] = _learned(self.v2, self.k2, self.c2 == narrow, fresh)
         self.recent.append(ids)
         if len(self.recent) == REBUILD:
             self.freq += _GAIN * np.bincount(np.concatenate(self.recent), minlength=len(self.freq))
             self.recent = []
             np.cumsum(self.freq, out=self.cum[1:])
             self.total = int(self.cum[-1])
-        self.before, self.last = self.last, ids
+            self._stretched()
+        self.last, self.before32, self.last32 = ids, self.last32, narrow.view(np.uint32)
+
+    def symbols(self, v: np.ndarray) -> np.ndarray:
+        """The symbols whose shares of the total hold ``v``. Most stretches of the total lie in one symbol's share; others are searched."""
+        if self.sure is None:
+            self.shift = max(0, self.total.bit_length() - 15)
+            first = np.searchsorted(self.cum, np.arange(0, self.total + (1 << self.shift), 1 << self.shift), side="right") - 1
+            self.sure = np.where(first[1:] == first[:-1], first[:-1], -1)
+        x = self.sure.take(v >> self.shift)
+        rest = np.flatnonzero(x < 0)
+        x[rest] = np.searchsorted(self.cum, v[rest], side="right") - 1
+        return x
 
 
 class _Encoder:
@@ -93,25 +120,35 @@ class _Encoder:
         self.lanes: list[np.ndarray] = []
         self.words: list[np.ndarray] = []
 
-    def code(self, at, start, size, unit) -> None:
-        """Narrow the lanes ``at`` to ``size`` of their range's units from ``start``; ``unit``: range to unit."""
-        low, rng = self.low[at], self.range[at]
-        r = unit(rng)
-        low = low + r * start
-        rng = r * size
+    def _put(self, low: np.ndarray, rng: np.ndarray, at: np.ndarray | None) -> None:
+        """Give out a word of each lane (of ``at``) whose range has become small."""
         small = np.flatnonzero(rng < _TOP)
         if len(small):
             lo, ra = low[small], rng[small]
             # A range across a word's edge is cut at the edge, so the word can be written for good.
             ra = np.where((lo >> _S32) != ((lo + ra - _U(1)) >> _S32), _TOP - (lo & _M32), ra)
-            self.lanes.append(at[small] if isinstance(at, np.ndarray) else small)
+            self.lanes.append((small if at is None else at[small]).astype(np.uint16))
             self.words.append((lo >> _S32).astype("<u4"))
             low[small], rng[small] = lo << _S32, ra << _S32
+
+    def bit(self, p: np.ndarray, hit: np.ndarray) -> None:
+        """Narrow all lanes to the first ``p`` of 4096 parts or, without a hit, to the others."""
+        r = self.range >> _TWELVE
+        part = r * p
+        self.low = self.low + np.where(hit, _U(0), part)
+        self.range = np.where(hit, part, (r << _TWELVE) - part)
+        self._put(self.low, self.range, None)
+
+    def code(self, at: np.ndarray, start: np.ndarray, size: np.ndarray, total: int) -> None:
+        """Narrow the lanes ``at`` to ``size`` of ``total`` parts from ``start``."""
+        r = self.range[at] // _U(total)
+        low, rng = self.low[at] + r * start, r * size
+        self._put(low, rng, at)
         self.low[at], self.range[at] = low, rng
 
     def finish(self) -> tuple[np.ndarray, np.ndarray]:
         n = len(self.low)
-        self.lanes.append(np.arange(n))
+        self.lanes.append(np.arange(n, dtype=np.uint16))
         self.words.append(((self.low >> _S32) + ((self.low & _M32) != 0)).astype("<u4"))
         lanes = np.concatenate(self.lanes)
         return np.bincount(lanes, minlength=n).astype("<u4"), np.concatenate(self.words)[np.argsort(lanes, kind="stable")]
@@ -132,40 +169,65 @@ class _Decoder:
         self.at[lanes] = at + 1
         return word
 
-    def narrow(self, at, start, size, r) -> None:
-        low, rng = self.low[at] + r * start, r * size
+    def _take(self, low: np.ndarray, rng: np.ndarray, at: np.ndarray | None) -> None:
         small = np.flatnonzero(rng < _TOP)
         if len(small):
             lo, ra = low[small], rng[small]
             ra = np.where((lo >> _S32) != ((lo + ra - _U(1)) >> _S32), _TOP - (lo & _M32), ra)
             low[small], rng[small] = lo << _S32, ra << _S32
-            lanes = at[small] if isinstance(at, np.ndarray) else small
+            lanes = small if at is None else at[small]
             self.value[lanes] = (self.value[lanes] << _S32) | self._next(lanes)
+
+    def bit(self, p: np.ndarray) -> np.ndarray:
+        """Whether each lane has a hit."""
+        r = self.range >> _TWELVE
+        part = r * p
+        hit = self.value - self.low < part
+        self.low = self.low + np.where(hit, _U(0), part)
+        self.range = np.where(hit, part, (r << _TWELVE) - part)
+        self._take(self.low, self.range, None)
+        return hit
+
+    def decode(self, at: np.ndarray, model: _Model) -> np.ndarray:
+        """The symbols of the lanes ``at``."""
+        r, low = self.range[at] // _U(model.total), self.low[at]
+        x = model.symbols(np.minimum((self.value[at] - low) // r, _U(model.total - 1)).view(np.int64))
+        low, rng = low + r * model.cum.take(x).view(_U), r * model.freq.take(x).view(_U)
+        self._take(low, rng, at)
         self.low[at], self.range[at] = low, rng
+        return x
 
 
-_ALL = slice(None)
 _TWELVE = _U(12)
 
 
+def _turned(grid: np.ndarray) -> np.ndarray:
+    """Rows as columns, in squares that stay in the cache."""
+    out = np.empty(grid.shape[::-1], grid.dtype)
+    for a in range(0, grid.shape[0], 64):
+        for b in range(0, grid.shape[1], 64):
+            out[b : b + 64, a : a + 64] = grid[a : a + 64, b : b + 64].T
+    return out
+
+
 def encode_block(ids: np.ndarray, vocab: int) -> bytes:
     n = len(ids)
     lanes = max(1, min(MOST_LANES, n // LEAST_STEPS))
     steps = -(-n // lanes)
     lanes = -(-n // steps) if n else 1
-    grid = np.zeros((lanes, steps), np.int64)
+    grid = np.zeros((lanes, steps), np.uint32)
     grid.ravel()[:n] = ids
-    columns = np.ascontiguousarray(grid.T)
+    columns = _turned(grid)
     model, coder = _Model(vocab, lanes), _Encoder(lanes)
     for s in columns:
         cand, p = model.predict()
+        s = s.astype(np.int64)
         hit = s == cand
-        p = p.astype(_U)
-        coder.code(_ALL, np.where(hit, _U(0), p), np.where(hit, p, _U(4096) - p), lambda r: r >> _TWELVE)
+        coder.bit(p.view(_U), hit)
         miss = np.flatnonzero(~hit)
         if len(miss):
-            x, total = s[miss], _U(model.total)
-            coder.code(miss, model.cum[x].astype(_U), (model.cum[x + 1] - model.cum[x]).astype(_U), lambda r: r // total)
+            x = s[miss]
+            coder.code(miss, model.cum.take(x).view(_U), model.freq.take(x).view(_U), model.total)
         model.update(s, hit)
     counts, words = coder.finish()
     payload = counts.tobytes() + words.tobytes()
@@ -187,24 +249,17 @@ def decode_block(block: bytes) -> np.ndarray:
     counts = np.frombuffer(payload, "<u4", lanes)
     coder, model = _Decoder(counts.astype(np.int64), np.frombuffer(payload, "<u4", offset=4 * lanes)), _Model(vocab, lanes)
     steps = -(-n // lanes)
-    out = np.zeros((steps, lanes), np.int64)
+    out = np.zeros((steps, lanes), np.uint32)
     for t in range(steps):
         cand, p = model.predict()
-        p = p.astype(_U)
-        r = coder.range >> _TWELVE
-        hit = coder.value - coder.low < r * p
-        coder.narrow(_ALL, np.where(hit, _U(0), p), np.where(hit, p, _U(4096) - p), r)
+        hit = coder.bit(p.view(_U))
         miss = np.flatnonzero(~hit)
-        s = cand.copy()
+        s = cand.astype(np.int64)
         if len(miss):
-            r = coder.range[miss] // _U(model.total)
-            v = np.minimum((coder.value[miss] - coder.low[miss]) // r, _U(model.total - 1)).astype(np.int64)
-            x = np.searchsorted(model.cum, v, side="right") - 1
-            coder.narrow(miss, model.cum[x].astype(_U), (model.cum[x + 1] - model.cum[x]).astype(_U), r)
-            s[miss] = x
+            s[miss] = coder.decode(miss, model)
         out[t] = s
         model.update(s, hit)
-    ids = np.ascontiguousarray(out.T).ravel()[:n].astype("<u4")
+    ids = _turned(out).ravel()[:n].astype("<u4", copy=False)
     if zlib.crc32(ids.tobytes()) != ids_crc:
         raise CorruptBlock("the ids' checksum does not fit")
     return ids

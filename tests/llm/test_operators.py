@@ -16,7 +16,7 @@ from mercato.llm.chat import escape, format_conversations, read_back, unescape
 from mercato.llm.chunked_tokens import ChunkEncoder
 from mercato.llm.components import components
 from mercato.llm.fingerprints import fingerprint_edits, likeness, with_fingerprint
-from mercato.llm.id_coder import CorruptBlock, decode_block, encode_block
+from mercato.llm.id_coder import CorruptBlock, _Model, decode_block, encode_block
 from mercato.llm.id_files import read_ids, write_ids
 from mercato.llm.language import identify
 from mercato.llm.lexicon import compile_automaton, encode_decode
@@ -290,3 +290,47 @@ def test_language(spark):
     assert all(got[i].lang_pred == x for i, _, x in rows[:120]) and all(got[i].lang_pred == "und" for i in (500, 501, 502))
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, _, _ in rows)
     assert identify(df.limit(0)).count() == 0
+
+
+def test_symbols_are_found_by_stretch_and_by_search():
+    """Of a skewed model most places are found without a search, and all of them are right."""
+    model, rng = _Model(5000, 64), np.random.default_rng(2)
+    for _ in range(80):
+        model.predict()
+        model.update(np.where(rng.random(64) < 0.9, 7, rng.integers(0, 5000, 64)), np.zeros(64, bool))
+    v = rng.integers(0, model.total, 20_000)
+    assert model.symbols(v).tolist() == (np.searchsorted(model.cum, v, side="right") - 1).tolist()
+    assert (model.sure.take(v >> model.shift) == 7).mean() > 0.5
+    ends = np.unique(np.concatenate([model.cum[:-1], model.cum[1:] - 1]))
+    assert model.symbols(ends).tolist() == (np.searchsorted(model.cum, ends, side="right") - 1).tolist()
+
+
+def test_block_format_is_unchanged():
+    """Files of earlier versions stay readable: a block's bytes are what they were."""
+    ids = np.random.default_rng(9).zipf(1.3, 20_000) % 50_257
+    block = encode_block(ids.astype("<u4"), 50_257)
+    assert zlib.crc32(block) == 1644890261
+    assert decode_block(block).tolist() == ids.tolist()
+    with pytest.raises(ValueError):
+        encode_block(np.zeros(3, "<u4"), (1 << 27) + 1)
+
+
+def test_pieces_at_line_starts_are_asked_for_together():
+    """Pieces without a space in front go to the library many at a time, with the ids of whole texts."""
+    from tokenizers import Tokenizer
+
+    enc, asked = ChunkEncoder(common.tokenizer_path()), []
+    library = Tokenizer.from_file(common.tokenizer_path())
+
+    class Counted:
+        def encode_batch_fast(self, texts, **given):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **given)
+
+        encode = library.encode
+
+    enc.library = Counted()
+    texts = ["\n".join(f"w{i}x{j}, 's--{i}'ll\x1c" for i in range(40)) for j in range(50)]
+    got = enc.encode_many(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(asked) < 200
