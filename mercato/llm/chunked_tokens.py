@@ -8,6 +8,7 @@ worker keeps the ids of those it has met, in a bounded table.
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 from itertools import chain, compress
@@ -130,6 +131,8 @@ class ChunkEncoder(Encoder):
     def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
+        # A task has one core: the library's own threads, one a core in each worker, would only get into each other's way.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()

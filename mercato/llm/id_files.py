@@ -1,4 +1,4 @@
-"""Token ids of a corpus in files of ``id_coder`` blocks, in ascending order of document.
+"""Token ids of a corpus in files of ``mixing_blocks`` (or, of earlier versions, ``id_coder``) blocks, in ascending order of document.
 
 File: blocks of ``BLOCK`` ids (the last is shorter), then a footer with the documents' ids and lengths, zlib-packed with its crc32, then
 ``TAIL`` (place and size of the footer, magic). A file is one range of documents; the files' order is that of their ranges.
@@ -18,9 +18,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, mixing_blocks
 from .chunked_tokens import encoded
-from .id_coder import HEAD, CorruptBlock, decode_block, encode_block
+from .id_coder import HEAD, CorruptBlock, decode_block
 
 BLOCK = 1 << 20
 TAIL = struct.Struct("<QII4s")
@@ -42,7 +42,7 @@ def write_file(out, documents, vocab: int) -> tuple[int, int]:
         ids = np.concatenate(held)
         full = len(ids) if least == 1 else len(ids) - len(ids) % BLOCK
         for a in range(0, full, BLOCK):
-            at += out.write(encode_block(ids[a : min(a + BLOCK, full)], vocab))
+            at += out.write(mixing_blocks.encode(ids[a : min(a + BLOCK, full)], vocab))
         held, size = [ids[full:]], len(ids) - full
 
     for doc_id, ids in documents:
@@ -73,7 +73,8 @@ def read_file(source):
         parts, have = [rest], len(rest)
         while have < n:
             head = source.read(HEAD.size)
-            parts.append(decode_block(head + source.read(HEAD.unpack(head)[4])))
+            block = head + source.read(HEAD.unpack(head)[4])
+            parts.append(mixing_blocks.decode(block) if head.startswith(mixing_blocks.MAGIC) else decode_block(block))
             have += len(parts[-1])
         ids = np.concatenate(parts) if len(parts) > 1 else rest
         rest = ids[n:]
