@@ -114,7 +114,7 @@ def names_in_texts(spark, sf_dir):
     named = named_lines(spark, sf_dir).where(usable(F.col("name"), 3))
     catalogue = named.groupBy(F.col("name").alias("phrase")).agg(F.count("*").alias("n")).where("n > 1").select("phrase", F.col("phrase").alias("value"))
     texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    hits = longest_hits(phrase_hits(texts, catalogue))
+    hits = longest_hits(phrase_hits(texts, catalogue, most_words=None))
     return hits.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("named"), F.countDistinct("phrase").alias("names"), F.min("at").alias("first_at"))
 
 
