@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import event_kind
 from ..operators import filters as flt
+from ..operators.fields import matched
 from ..operators.quantiles import interpolated
 from ..sources.tables import OWN_BRAND, observations, over_obs, read
 from .boards import OFFICIAL
-from .matching import CANDIDATES, scored_pairs
+from .matching import CANDIDATES, by_field, candidates, positions, scored_pairs
 from .moves import MOVES, moves
 from .registry import query
 
@@ -153,7 +154,11 @@ def deviation_mix(spark, sf_dir):
 @query(over_obs(CANDIDATES + MOVES + """, k AS (SELECT DISTINCT rival AS product_id, country FROM tt WHERE total >= 0.6) SELECT product_id, country, obs_date, round(change_pct + 1e-9, 4) AS change_pct FROM moves m SEMI JOIN k USING (product_id, country) ORDER BY abs(round(change_pct, 6)) DESC, product_id, country, obs_date LIMIT 4"""))
 def weekly_alerts(spark, sf_dir, most=4):
     """The report's few moves that hit own matches: a semi join before the top is taken."""
-    k = scored_pairs(spark, sf_dir).where("total >= 0.6").select(F.col("rival").alias("product_id"), "country")
+
+    def read(f):
+        return [f.rival["id"][matched(f, 0.6)], f.cell[0]]
+
+    k = by_field(candidates(spark, sf_dir), read, "product_id long, country string")
     hit = moves(spark, sf_dir).join(k, ["product_id", "country"], "left_semi")
     return hit.orderBy(F.desc(F.abs(F.round("change_pct", 6))), "product_id", "country", "obs_date").limit(most).select("product_id", "country", "obs_date", r4(F.col("change_pct")).alias("change_pct"))
 
