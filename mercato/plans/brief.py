@@ -11,7 +11,7 @@ from ..operators.fields import matched
 from ..operators.quantiles import interpolated
 from ..sources.tables import OWN_BRAND, observations, over_obs, read
 from .boards import OFFICIAL
-from .matching import CANDIDATES, by_field, candidates, positions, scored_pairs
+from .matching import CANDIDATES, by_field, candidates, positions
 from .moves import MOVES, moves
 from .registry import query
 
@@ -146,7 +146,7 @@ def daily_brief(spark, sf_dir):
 @query(over_obs(CANDIDATES + """, f AS (SELECT mine, country, any_value(my_price) AS p, median(rival_price) AS m FROM pr GROUP BY mine, country) SELECT country, count(CASE WHEN p > 1.05 * m THEN 1 END) AS dearer, count(CASE WHEN p < 0.95 * m THEN 1 END) AS cheaper, count(*) AS products FROM f GROUP BY country"""))
 def deviation_mix(spark, sf_dir):
     """How many own products are dearer or cheaper than their field, by country."""
-    f = scored_pairs(spark, sf_dir).groupBy("mine", "country").agg(F.first("my_price").alias("p"), F.median("rival_price").alias("m"))
+    f = positions(spark, sf_dir).select("country", F.col("my_price").alias("p"), F.col("field").alias("m"))
     n = lambda c: F.count(F.when(c, 1))
     return f.groupBy("country").agg(n(F.col("p") > 1.05 * F.col("m")).alias("dearer"), n(F.col("p") < 0.95 * F.col("m")).alias("cheaper"), F.count("*").alias("products"))
 
