@@ -37,11 +37,15 @@ def price_moves(spark, sf_dir):
 @query(over_obs(MOVES + ", " + IDENT_SQL.removeprefix("WITH ") + """ SELECT m.country, count(*) AS n, count(DISTINCT m.product_id) AS products, round(min(change_pct) + 1e-9, 4) AS deepest FROM moves m JOIN ident i ON i.p_partkey = m.product_id
     WHERE NOT i.is_bucket AND (m.category = i.category OR i.category IS NULL) AND abs(round(change_pct, 2) - (round(curr_price, 2) - round(prev_price, 2)) / nullif(round(prev_price, 2), 0) * 100) <= 0.01 GROUP BY m.country"""))
 def sound_moves(spark, sf_dir):
-    """Moves of single products in their own category whose shown percentage agrees with their two shown prices."""
-    shown = moves(spark, sf_dir).select("product_id", "country", "category", "change_pct", *[F.round(c, 2).alias(c) for c in ("curr_price", "prev_price")])
+    """Moves of single products in their own category whose shown percentage agrees with their two shown prices.
+
+    Shown is the double that is nearest to a hundred times the value, rounded: a decimal's own digits would be rounded otherwise at halves.
+    """
+    cents = lambda c: F.round(F.col(c) * 100) / 100
+    shown = moves(spark, sf_dir).select("product_id", "country", "category", "change_pct", *[cents(c).alias(c) for c in ("curr_price", "prev_price")])
     own = identified_parts(spark, sf_dir).select(F.col("p_partkey").alias("product_id"), F.col("category").alias("own_category"), F.col("is_bucket").cast("int").alias("is_bucket"))
     rows = shown.join(own, "product_id").where(flt.not_bucket() & flt.same_category("category", "own_category"))
-    sound = rows.withColumn("exact", F.col("change_pct")).withColumn("change_pct", F.round("change_pct", 2)).where(flt.self_consistent(0.01))
+    sound = rows.withColumn("exact", F.col("change_pct")).withColumn("change_pct", cents("change_pct")).where(flt.self_consistent(0.01))
     return sound.groupBy("country").agg(F.count("*").alias("n"), F.countDistinct("product_id").alias("products"), r4(F.min("exact")).alias("deepest"))
 
 

@@ -2,6 +2,7 @@
 
 from collections import Counter
 from datetime import date, datetime, timedelta
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 
@@ -97,3 +98,24 @@ def test_channel_health_takes_the_last_week_of_the_events(spark, tables):
     got = registry.queries()["channel_health"](spark, tables("events", rows, EVENT)).collect()
     week = [r for r in rows if r[1].date() > date(2025, 3, 13)]
     assert {(r.channel_id, r.attempts, r.failed, r.ok) for r in got} == {(c, len(x), sum(e[3] == "error" for e in x), sum(e[3] == "purchase" for e in x)) for c in range(3) for x in [[e for e in week if e[2] == c]]}
+
+
+def test_sound_moves_round_what_is_shown_as_the_sql_does(spark, tables):
+    import duckdb
+
+    cents = lambda x: int(abs(x) * 100 + 0.5) / 100 * (-1 if x < 0 else 1)
+    digits = lambda x: float(Decimal(repr(x)).quantize(Decimal("0.01"), ROUND_HALF_UP))
+
+    def sound(a, b, shown):
+        return abs(shown((b - a) / a * 100) - (shown(b) - shown(a)) / shown(a) * 100) <= 0.01
+
+    odd = [(64.195, 132.265), (65.835, 158.515), (66.575, 18.025), (126.915, 145.795), (18.935, 13.445)]
+    assert [sound(a, b, cents) for a, b in odd] == [True, True, True, False, False] == [not sound(a, b, digits) for a, b in odd]
+    lines = [(k, 1, datetime(2000, 1, d), p) for k, pair in enumerate(odd) for d, p in zip((1, 2), pair)]
+    sf_dir = star(tables, [(k, "old widget", "Brand#1", "SMALL", 1, 1.0) for k in range(len(odd))], lines)
+    con = duckdb.connect()
+    for t in ("nation", "region", "supplier", "part", "lineitem"):
+        con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet/*.parquet'")
+    want = con.execute(registry.oracle_sql()["sound_moves"]).fetchall()
+    assert [(r.n, r.products) for r in registry.queries()["sound_moves"](spark, sf_dir).collect()] == [r[1:3] for r in want]
+    assert want[0][1] == sum(sound(a, b, cents) for a, b in odd) != sum(sound(a, b, digits) for a, b in odd)
