@@ -5,7 +5,8 @@ import math
 import numpy as np
 import pytest
 
-from mercato.operators.fields import SEP, Field, matched, middles, nearest, stretch, sums
+from mercato.operators import fields
+from mercato.operators.fields import SEP, Field, matched, middles, nearest, places, stretch, sums
 from mercato.plans import registry
 
 RND = np.random.default_rng(4)
@@ -46,6 +47,9 @@ def test_fields_against_all_pairs(size, ties):
         for k in range(size[0]):
             best = sorted(((-math.floor(t * 1e9 + 0.5), f.rival["id"][j]) for i, j, _, t in ok if i == k))[:5]
             want += [(k, r) for _, r in best]
+        for at_once in (1, 7, 10_000):
+            got = [(i, j) for own, rival in fields.pairs(f, least, at_once) for i, j in zip(own.tolist(), rival.tolist())]
+            assert sorted(got) == sorted((i, j) for i, j, _, t in every if t >= least)
         own, rival, _ = nearest(f, 5, least, least_spec)
         assert sorted(zip(own.tolist(), f.rival["id"][rival].tolist())) == sorted((k, int(r)) for k, r in want)
         if size[0] and least_spec == 0:
@@ -64,12 +68,12 @@ def test_stretches_end_where_the_score_ends_however_poor_the_guess():
         assert [(a, b) for a, b in zip(lo, hi)] == [(int(np.argmax(g)), int(np.argmax(g) + g.sum())) for g in (np.abs(prices / x - 1) <= 0.3 for x in at)]
 
 
-@pytest.mark.parametrize("name", ["competitor_match", "my_position", "deviation_mix", "weekly_alerts", "move_threats", "match_invariant"])
+@pytest.mark.parametrize("name", ["competitor_match", "my_position", "deviation_mix", "weekly_alerts", "move_threats", "match_invariant", "own_vs_rivals", "spec_similarity", "protected_matches"])
 def test_no_pairs_are_joined(spark, name):
     plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
-    assert "MapInArrow" in plan and "rival_price" not in plan
+    assert "MapInArrow" in plan and "rrom" not in plan and "rival#" not in plan.split("MapInArrow", 1)[1].split("\n", 1)[1]
 
 
-def test_confirmed_pairs_are_told_without_a_second_join(spark):
-    plan = registry.queries()["protected_matches"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
-    assert "LeftAnti" not in plan and "Union" not in plan
+def test_places():
+    x = np.array([0.00005, -0.00005, 1.23455, -2.5, 0.1 + 0.2, -1e-12, np.nan])
+    assert str(places(x).tolist()) == str([0.0001, -0.0, 1.2346, -2.5, 0.3, 0.0, math.nan])
